@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitspark.llm import lattice_lm, near_dedup, packing, quality, token_counts, token_files
+from orbitspark.llm import decontaminate, exact_dedup, lattice_lm, near_dedup, packing, quality, sharding, token_counts, token_files
 from orbitspark.llm.common import table
 
 
@@ -10,10 +10,22 @@ def op1_lattice_lm(spark, sf_dir):
     return lattice_lm.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_histogram_shards(spark, sf_dir):
+    return sharding.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_pack_binary(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_stream_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_spaced_seeds(spark, sf_dir):
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simple8b(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,5 +43,5 @@ def op10_quality(spark, sf_dir):
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op3_pack_binary, op6_simple8b, op8_minhash_near_dedup, op9_token_counts, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op8_minhash_near_dedup, op9_token_counts, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

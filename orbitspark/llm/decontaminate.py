@@ -20,6 +20,8 @@ from orbitspark.llm.common import hinted, stash, whole_text
 
 #: Picked positions of the masks, which together find two substitutions in twelve words.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8))
+#: The positions that all three masks pick.
+COMMON = (0, 2)
 WINDOW, LEAST = 12, 5
 BITMAP_BITS = 20
 
@@ -42,6 +44,25 @@ def seed(words: Column, at: Column, mask: tuple[int, ...]) -> Column:
     return F.xxhash64(*(F.get(words, at + p if p else at) for p in mask), F.lit(sum(1 << p for p in mask)))
 
 
+def positions(words: Column, mask: tuple[int, ...]) -> Column:
+    last = F.size(words) - mask[-1] - 1
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def bitmap_test(table: DataFrame, column: str):
+    """A test that is true for every value of the column: one bit for each, in a bitmap of fixed size."""
+    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    bits = table.select(F.shiftright(slot, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    found = {r["cell"]: r["bits"] for r in bits.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}
+    bitmap = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(1 << BITMAP_BITS - 6))), ",").cast("array<bigint>")
+
+    def test(value: Column) -> Column:
+        bit = F.shiftrightunsigned(value, 64 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        return F.call_function("getbit", F.get(bitmap, F.shiftrightunsigned(value, 64 - BITMAP_BITS + 6).cast("int")), bit) == 1
+
+    return test
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that overlap: ids, hits, words that agree in the best window, first word.
 
@@ -54,10 +75,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_
     short = sorted(r[0] for r in items.where(F.size("b") < WINDOW).select(F.size("b")).distinct().collect())
     masks = {m: None for n in [WINDOW, *short] for m in masks_for(n, share)}
 
-    def positions(words: Column, mask: tuple[int, ...]) -> Column:
-        last = F.size(words) - mask[-1] - 1
-        return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
     wanted = []
     for n in [WINDOW, *short]:
         of = items.where(F.size("b") >= WINDOW if n == WINDOW else F.size("b") == n)
@@ -69,27 +86,27 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_
     seeds = stash(seeds, "seeds")
     n_seeds = seeds.count()
 
-    # One bit for each benchmark seed, in a table of fixed size: what fails the test can't be a hit.
-    slot = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
-    cells = seeds.select(F.shiftright(slot, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    found = {r["cell"]: r["bits"] for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}
-    bitmap = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(1 << BITMAP_BITS - 6))), ",").cast("array<bigint>")
+    in_seeds = bitmap_test(seeds, "seed")
+    starts = items.where(F.size("b") >= WINDOW).select("b", F.explode(positions(F.col("b"), COMMON)).alias("at")).select(seed(F.col("b"), F.col("at"), COMMON).alias("seed"))
+    in_starts = bitmap_test(starts, "seed")
 
-    def candidates(k: int, mask: tuple[int, ...]) -> Column:
+    def passing(at: Column, mask: tuple[int, ...], test) -> Column:
+        """Those of the positions whose seed passes the test, as (at, seed)."""
+        return F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), seed(F.col("w"), i, mask).alias("seed"))), lambda x: test(x["seed"]))
+
+    def candidates(mask: tuple[int, ...]) -> Column:
         """Positions of a document that may hit, with their seeds and the words around them."""
-        of = lambda i: F.get(F.col(f"s{k}"), i)
+        at = F.filter("some", lambda i: i < F.size("w") - mask[-1]) if mask in MASKS else positions(F.col("w"), mask)
         start = lambda i: F.greatest(i - WINDOW, F.lit(0))
-        cell = lambda s: F.shiftrightunsigned(s, 64 - BITMAP_BITS + 6).cast("int")
-        bit = lambda s: F.shiftrightunsigned(s, 64 - BITMAP_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
-        some = F.filter(positions(F.col("w"), mask), lambda i: F.call_function("getbit", F.get(bitmap, cell(of(i))), bit(of(i))) == 1)
-        return F.transform(some, lambda i: F.struct(i.alias("at"), of(i).alias("seed"), (i - start(i)).alias("back"), F.slice("w", start(i) + 1, i - start(i) + 2 * WINDOW).alias("near")))
-
-    def seeds_of(mask: tuple[int, ...]) -> Column:
-        return F.transform(positions(F.col("w"), mask), lambda i: seed(F.col("w"), i, mask))
+        return F.transform(
+            passing(at, mask, in_seeds),
+            lambda x: F.struct(x["at"].alias("at"), x["seed"].alias("seed"), (x["at"] - start(x["at"])).alias("back"), F.slice("w", start(x["at"]) + 1, x["at"] - start(x["at"]) + 2 * WINDOW).alias("near")),
+        )
 
+    # The common positions are tested first, so that most positions cost one short hash and not three.
     docs = docs.select(F.col(id_col).alias("doc"), words_of(whole_text(text_col)).alias("w"))
-    docs = docs.select("doc", "w", *(seeds_of(m).alias(f"s{k}") for k, m in enumerate(masks)))
-    hits = F.concat(*(candidates(k, m) for k, m in enumerate(masks)))
+    docs = docs.select("doc", "w", F.transform(passing(positions(F.col("w"), COMMON), COMMON, in_starts), lambda x: x["at"]).alias("some"))
+    hits = F.concat(*(candidates(m) for m in masks))
     met = docs.select("doc", F.explode_outer(hits).alias("x")).where("x is not null").select("doc", "x.*")
     bench = seeds.select("seed", "item", F.col("at").alias("item_at"), "b")
     met = met.join(hinted(bench, n_seeds, 200_000), "seed")

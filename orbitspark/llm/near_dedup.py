@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from orbitspark.llm.common import hinted, join_groups, stash, whole_text
 from orbitspark.llm.components import connected_components
-from orbitspark.llm.vocab import ChunkTable, slices
+from orbitspark.llm.vocab import ChunkTable, cut_words, slices
 
 U = np.uint64
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of a symbol; four symbols, each with a free bit above it, make a chunk of 60 bits.
 BITS, PER_CHUNK, MISS = 14, 4, 1e-5
 LANES = sum(((1 << BITS) - 1) << (BITS + 1) * i for i in range(PER_CHUNK))
@@ -58,15 +57,14 @@ class Shingler:
 
         self.width = width
         self.odd = [U(2 * x + 1) for x in np.random.default_rng(7).integers(1, 1 << 62, width).tolist()]
-        self.table = ChunkTable(lambda words, first: [(xxhash.xxh64_intdigest(w),) for w in words], np.uint64, 600_000)
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().translate(LOWER).split() for t in texts]
-        h, n = self.table.lookup([[b""] + w for w in words])
-        out, at = [], 0
-        for size in n.tolist():
-            x, at = h[at + 1 : at + size], at + size
-            size, wide = size - 1, min(size - 1, self.width)
+        self.table = ChunkTable(lambda words: (np.array([xxhash.xxh64_intdigest(w) for w in words], U), np.ones(len(words), np.int64)), np.uint64, 600_000)
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        cut = cut_words(texts, lower=True)
+        h, out, at = self.table.single(cut), [], 0
+        for size in cut.counts.tolist():
+            x, at = h[at : at + size], at + size
+            wide = min(size, self.width)
             if size < 1:
                 out.append(np.zeros(0, U))
                 continue
@@ -110,7 +108,7 @@ def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col:
 
         rid, shingles = TaskContext.get().partitionId() << 33, shingler(width)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
                 sets = shingles.sets(texts[a:b])
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -154,7 +152,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
     def run(batches):
         shingles = shingler(width)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
                 sets = [s.astype(np.int64).tolist() for s in shingles.sets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
@@ -167,15 +165,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
     return stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id, kept.
-
-    Documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets. A document
-    without words has an empty set and is linked with nothing; one with fewer words than ``width`` has
-    its whole word sequence as its one shingle. Null text counts as empty. Repeated rows of one id are
-    copies of each other: all have the same component. ``component_id`` is the smallest id of the
-    component. An empty table gives an empty table; other columns are ignored.
-    """
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: rid, id, h (text hash), n (set size), and of a document with a group its ``first``: smallest id of the component, its row and its text hash."""
     m = chunks_for(percent / 100)
     most = 2 * m - 1
     rows = signature_table(docs, m, width, id_col, text_col)
@@ -225,9 +216,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         comps = stash(connected_components(links), "comps")
 
     placed = classes.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
-    placed = placed.where("copies > 1 or comp is not null").select("key", "id", "copies", F.coalesce("comp", "cid").alias("comp"))
-    lowest = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
-    known = stash(placed.join(lowest, "comp").select("key", "copies", "component_id"), "placed")
-    out = join_groups(rows.select("rid", "id", "n", "key"), known, "key", "copies", total)
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    placed = placed.where("copies > 1 or comp is not null").select("key", "id", "cid", "h", "copies", F.coalesce("comp", "cid").alias("comp"))
+    lowest = placed.groupBy("comp").agg(F.min(F.struct("id", "cid", "h")).alias("first"))
+    known = stash(placed.join(lowest, "comp").select("key", "copies", "first"), "placed")
+    return join_groups(rows.select("rid", "id", "h", "n", "key"), known, "key", "copies", total).withColumn("first", F.when(F.col("n") > 0, F.col("first")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets. A document
+    without words has an empty set and is linked with nothing; one with fewer words than ``width`` has
+    its whole word sequence as its one shingle. Null text counts as empty. Repeated rows of one id are
+    copies of each other: all have the same component. ``component_id`` is the smallest id of the
+    component. An empty table gives an empty table; other columns are ignored.
+    """
+    out = grouped(docs, percent, width, id_col, text_col)
+    component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without the near duplicates of a row of smaller id, all columns as they are.
+
+    Of repeated rows that share id and text one stays; documents without words all stay.
+    """
+    rows = grouped(docs, percent, width, id_col, text_col).where("first is not null and first.cid <> rid")
+    again = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone = stash(rows.select(F.col("id").alias("_gone"), F.col("h").alias("_hash"), again.alias("_again")).distinct(), "gone")
+
+    def meets(side: DataFrame):
+        return docs[id_col].eqNullSafe(side["_gone"]) & (F.xxhash64(whole_text(docs[text_col])) == side["_hash"])
+
+    others, repeated = gone.where("not _again"), gone.where("_again")
+    others = hinted(others, others.count())
+    if repeated.isEmpty():
+        return docs.join(others, meets(others), "left_anti")
+    repeated = hinted(repeated, repeated.count())
+    once = docs.join(repeated, meets(repeated), "left_semi").dropDuplicates([id_col, text_col])
+    rest = docs.join(repeated, meets(repeated), "left_anti")
+    return rest.join(others, meets(others), "left_anti").unionByName(once)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from orbitspark.llm import decontaminate, exact_dedup, lattice_lm, near_dedup, packing, quality, sharding, token_counts, token_files
+import corpus_pipeline
+from orbitspark.llm import decontaminate, exact_dedup, html_text, lattice_lm, near_dedup, packing, quality, sharding, token_counts, token_files
 from orbitspark.llm.common import table
 
 
@@ -30,6 +31,10 @@ def op6_simple8b(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_tree_scoring(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op10_quality(spark, sf_dir):
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op8_minhash_near_dedup, op9_token_counts, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op7_tree_scoring, op8_minhash_near_dedup, op9_token_counts, op10_quality)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}

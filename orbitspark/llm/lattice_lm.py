@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import bucket_of_id, new_path, stash, whole_text
-from orbitspark.llm.vocab import ChunkTable, per_text, slices, tokenizer_path
+from orbitspark.llm.vocab import ChunkTable, cut_words, per_text, slices, tokenizer_path
 
 U = np.uint64
 #: An odd multiplier for rolling hashes, one for table slots, and table sizes in bits.
@@ -168,32 +168,22 @@ class Lattice:
         return total[:-1]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(LOWER).split()
-
-
 def count_words(docs: DataFrame, classes: int) -> DataFrame:
     """Occurrences of each lower-cased word in the texts of each class (columns ``class``, ``text``) and over all.
 
-    Words are counted in bounded tables on the executors before the shuffle.
+    Words are counted by the batch on the executors before the shuffle.
     """
 
     def run(batches):
-        from collections import Counter
-
-        seen = [Counter() for _ in range(classes)]
-
-        def flush():
-            for k, counts in enumerate(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([k] * len(counts), pa.int32())], names=["word", "c", "class"])
-                counts.clear()
-
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[k].update(words_of(text))
-                if sum(map(len, seen)) > 400_000:
-                    yield from flush()
-        yield from flush()
+            texts, kinds = batch.column(1), batch.column(0).to_numpy()
+            for a, b in slices(texts):
+                cut = cut_words(texts[a:b], lower=True)
+                n = len(cut.chunks)
+                pair = np.repeat(kinds[a:b], cut.counts).astype(np.int64) * n + cut.codes
+                pairs, c = np.unique(pair, return_counts=True)
+                words = pa.array(cut.chunks, pa.binary()).take(pa.array(pairs % n))
+                yield pa.RecordBatch.from_arrays([words, pa.array(c, pa.int64()), pa.array((pairs // n).astype(np.int32))], names=["word", "c", "class"])
 
     counted = docs.select("class", "text").mapInArrow(run, "word binary, c long, class int")
     by_class = [F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
@@ -291,7 +281,7 @@ def score_texts(docs: DataFrame, train: Column, class_col: str | None = None, vo
             lattice, common = Lattice(*model.value[:2]), model.value[2]
             unknown = np.full(n_classes + 1, -1.0)
 
-            def fill(words, first):
+            def fill(words):
                 """Of each word: its count (-1: not among the common words), log10 of its piece marginal, of its class marginals."""
                 pieces10 = lattice.log_marginals([b" " + w for w in words]) / np.log(10)
                 c = np.array([common.get(w, unknown) for w in words])
@@ -299,41 +289,33 @@ def score_texts(docs: DataFrame, train: Column, class_col: str | None = None, vo
                 with np.errstate(divide="ignore"):
                     full = np.logaddexp2(np.log2(arcs), np.log2(gamma) + pieces10[:, None] * np.log2(10)) * np.log10(2)
                 full[c[:, 0] < 0] = 0.0
-                return np.column_stack([c[:, 0], pieces10, full]).tolist()
+                return np.column_stack([c[:, 0], pieces10, full]).ravel(), np.full(len(words), wide)
 
             _SCORERS[key] = ChunkTable(fill, np.float64, 400_000)
         words_table = _SCORERS[key]
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                words = [words_of(t) for t in texts[a:b]]
-                values, n = words_table.lookup([[b""] + w for w in words])
-                values, n = values.reshape(-1, wide), n // wide
-                first = np.cumsum(n) - n
-                c, pieces10 = values[:, 0], values[:, 1]
-                values[first, 2:], c[first] = np.log10(end), 0.0
-                known = np.log10(np.maximum(c, 0) + 0.5)
-                known[c < 0] = 0.0
-                known[first] = 0.0
-                rare, tf, by_piece = [], [], []
-                for i, w in enumerate(words):
-                    left: dict = {}
-                    score: list = []
-                    for j in np.flatnonzero(c[first[i] + 1 : first[i] + n[i]] < 0).tolist():
-                        word = w[j]
-                        if word not in left:
-                            score.append(pieces10[first[i] + 1 + j])
-                        left[word] = left.get(word, 0) + 1
-                    rare.append(list(left.keys()))
-                    tf.append(list(left.values()))
-                    by_piece.append(score)
-                sums = np.concatenate([np.zeros((1, n_classes)), np.cumsum(values[:, 2:], axis=0)])
-                sums = sums[first + n] - sums[first]
+            texts = batch.column(2)
+            for a, b in slices(texts, 4_000_000):
+                cut = cut_words(texts[a:b], lower=True)
+                slots = words_table.slots_of(cut.chunks)
+                of_word = words_table.flat[words_table.starts[slots][:, None] + np.arange(wide)]
+                c = of_word[cut.codes, 0]
+                seen, known = per_text((c > 0).astype(np.int64), cut.counts), per_text(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0), cut.counts)
+                sums = np.column_stack([per_text(of_word[cut.codes, 2 + k], cut.counts) for k in range(n_classes)]) + np.log10(end)
+                # The words of each text that are not among the common ones, with how often they occur there.
+                at = np.flatnonzero(c < 0)
+                text_of = np.repeat(np.arange(b - a), cut.counts)[at]
+                pair, tf = np.unique(text_of * len(cut.chunks) + cut.codes[at], return_counts=True)
+                which = pair % max(1, len(cut.chunks))
+                offsets = pa.array(np.searchsorted(pair // max(1, len(cut.chunks)), np.arange(b - a + 1)), pa.int32())
+                rare = pa.ListArray.from_arrays(offsets, pa.array(cut.chunks, pa.binary()).take(pa.array(which)))
+                tf, by_piece = pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(of_word[which, 1]))
+                n = cut.counts + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(rid, rid + b - a)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(per_text((c > 0).astype(np.int64), n)), pa.array(per_text(known, n)),
-                        pa.array(list(sums), pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64())), pa.array(by_piece, pa.list_(pa.float64())),
+                        pa.array(np.arange(rid, rid + b - a)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(seen), pa.array(known),
+                        pa.array(list(sums), pa.list_(pa.float64())), rare, tf, by_piece,
                     ],
                     names=["rid", "id", "held_out", "n_tokens", "known", "base", "score", "rare", "tf", "piece"],
                 )

@@ -28,9 +28,18 @@ BY_RUN = _by_run()
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
+    if len(values) and values.max() < len(SHORT):
+        return SHORT[values]
+    return _bit_lengths(values)
+
+
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.searchsorted(U(1) << np.arange(64, dtype=U), values, side="right").astype(np.uint8)
 
 
+SHORT = _bit_lengths(np.arange(1 << 16, dtype=U))
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``values``, and the number of words of each block."""
     n = len(values)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import whole_text
-from orbitspark.llm.vocab import ChunkTable, load_tokenizer, per_text, slices, spaced_chunks
+from orbitspark.llm.vocab import ChunkTable, WholeTextEncoder, cut_at_spaces, load_tokenizer, per_text, slices
 
 #: Fixed value: the pre-token pattern of the byte-level BPE files.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,33 +48,25 @@ class TokenCounter:
     def __init__(self, name: str, whole: frozenset[str]):
         import regex
 
-        self.tokenizer, self.whole = load_tokenizer(name), whole
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.encoder, self.whole = WholeTextEncoder(name), whole
         self.pattern = regex.compile(PRE_TOKEN)
         self.table = ChunkTable(self._fill, np.int64)
 
-    def merged(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _fill(self, chunks: list[str], first: bool) -> list:
-        if not first:
-            chunks = [" " + c for c in chunks]
+    def _fill(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Letters and digits beyond Latin may differ between Unicode versions: the library cuts those chunks.
-        plain = [c.isascii() or max(c) < "\u0250" for c in chunks]
-        plain = [p and not any(s in c for s in self.special) for p, c in zip(plain, chunks)]
-        parts = [self.pattern.findall(c) if p else [c] for c, p in zip(chunks, plain)]
+        plain = [(c.isascii() or max(c) < "\u0250") and not any(s in c for s in self.encoder.special) for c in chunks]
+        parts = [self.pattern.findall(c) if ok else [c] for c, ok in zip(chunks, plain)]
         rest = list({p for ps, ok in zip(parts, plain) for p in ps if not (ok and p in self.whole)})
-        count = dict(zip(rest, self.merged(rest)))
-        return [[sum(count.get(p, 1) for p in ps)] for ps in parts]
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        def cut(text):
-            if not text:
-                return []
-            return [text] if any(s in text for s in self.special) else spaced_chunks(text)
+        marked = [p for p in rest if any(s in p for s in self.encoder.special)]
+        count = {p: len(self.encoder.tokenizer.encode(p, add_special_tokens=False).ids) for p in marked}
+        rest = [p for p in rest if p not in count]
+        count.update(zip(rest, self.encoder.encode_each(rest)[1].tolist()))
+        get = count.get
+        return np.array([sum([get(p, 1) for p in ps]) for ps in parts], np.int64), np.ones(len(parts), np.int64)
 
-        slots, chunks = self.table.slots_of([cut(t) for t in texts])
-        return per_text(self.table.flat[self.table.starts[slots]], chunks)
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        cut = cut_at_spaces(texts, self.encoder.special)
+        return per_text(self.table.single(cut), cut.counts)
 
 
 _COUNTERS: dict = {}
@@ -94,7 +86,7 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", id_col: str =
         if counter is None:
             counter = _COUNTERS[name] = TokenCounter(name, whole.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             parts = [counter.counts(texts[a:b]) for a, b in slices(texts)]
             tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])

@@ -113,7 +113,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.js
         task = TaskContext.get()
         writer, enc = FileWriter(folder, task.partitionId(), task.taskAttemptId(), max_ids), encoder(name)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
                 ids, counts = enc.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(counts), end_id)

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from orbitspark.plans import camera_queries, cloud_queries, frame_queries, run_queries
+
+MODULES = (frame_queries, cloud_queries, camera_queries, run_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.found.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.QUERIES.sql.items()}

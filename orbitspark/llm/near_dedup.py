@@ -57,7 +57,7 @@ class Shingler:
 
         self.width = width
         self.odd = [U(2 * x + 1) for x in np.random.default_rng(7).integers(1, 1 << 62, width).tolist()]
-        self.table = ChunkTable(lambda words: (np.array([xxhash.xxh64_intdigest(w) for w in words], U), np.ones(len(words), np.int64)), np.uint64, 600_000)
+        self.table = ChunkTable(lambda words: (np.array([xxhash.xxh64_intdigest(w) for w in words], U), np.ones(len(words), np.int64)), np.uint64, 250_000)
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         cut = cut_words(texts, lower=True)

@@ -55,6 +55,11 @@ def load_tokenizer(name: str):
     return tokenizer
 
 
+def lean() -> None:
+    """Arrow buffers of this Python worker go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def encoded(values: pa.Array, counts: np.ndarray) -> Cut:
     d = values.dictionary_encode()
     return Cut(d.dictionary.to_pylist(), d.indices.to_numpy(), counts)
@@ -93,8 +98,9 @@ def cut_words(texts: pa.Array, lower: bool = False) -> Cut:
     return encoded(values.filter(full).cast(pa.binary()), np.diff(offsets))
 
 
-def slices(texts: pa.Array, most: int = 16_000_000):
+def slices(texts: pa.Array, most: int = 4_000_000):
     """Ranges of a batch with about ``most`` bytes each, one text at least."""
+    lean()
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
     edges = np.flatnonzero(np.diff(group, prepend=-1))
@@ -120,7 +126,7 @@ class ChunkTable:
     ``fill(chunks)`` gives all values of new chunks in order, and how many each has.
     """
 
-    def __init__(self, fill, dtype, limit: int = 1_200_000):
+    def __init__(self, fill, dtype, limit: int = 600_000):
         self.fill, self.dtype, self.limit = fill, dtype, limit
         self.clear()
 
@@ -168,7 +174,7 @@ class ChunkTable:
 class WholeTextEncoder:
     """Ids of whole texts, the same as the library gives, for byte-level BPE and word-end BPE files."""
 
-    def __init__(self, name: str, limit: int = 1_200_000):
+    def __init__(self, name: str, limit: int = 600_000):
         self.tokenizer = load_tokenizer(name)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special, (self.between, self.between_id) = list(special), max(special.items(), key=lambda x: x[1])

@@ -7,10 +7,13 @@ a chunk on average but with probability ``MISS``. By pigeonhole some chunk of su
 differs in one symbol at most. Each chunk is indexed under its four keys with one symbol left out
 (the allowed chunk errors), so every pair within the signature distance shares a key.
 
-Links are confirmed on whole sets. Copies with equal sets are one class. In a bucket every class is
-compared with the first of the bucket; classes that are then still in different components are
-compared with one another, so no link between components is lost and no group is expanded into all
-its pairs.
+Links are confirmed on whole sets. Copies with equal sets are one class. Of the classes that share a
+bucket with another, shingles that no other of them holds are counted: they can be in no
+intersection, so they bound the similarity of a class to any other, and most classes of a large group
+whose edits are their own drop out by that bound. In each bucket every class is compared with the one
+of the fewest such shingles, which for edited copies is their original; classes that are then still in
+different components are compared with one another. So no link between components is lost and no
+group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -146,6 +149,26 @@ def distance(a: Column, b: Column, m: int) -> Column:
     return total
 
 
+def first_key(a: Column, b: Column, m: int) -> Column:
+    """Number of the first index key that two signatures share; null if they share none."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(m)):
+        apart = (a[i].bitwiseXOR(b[i]) + F.lit(LANES)).bitwiseAND(F.lit(TOPS))
+        lane = F.when(apart == 0, 0)
+        for k in range(PER_CHUNK):
+            lane = lane.when(apart == 1 << BITS + (BITS + 1) * k, k)
+        out = F.when(F.bit_count(apart) <= 1, lane + i * PER_CHUNK).otherwise(out)
+    return out
+
+
+def without_lone(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes (cid, n, m) of which m shingles are held by another one too, without those that m rules out."""
+    held = sets.select("cid", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
+    lone = held.where("c = 1").groupBy("cid").agg(F.count("*").alias("lone"))
+    out = sets.select("cid", F.size("set").cast("long").alias("n")).join(lone, "cid", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0)))
+    return out.where(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("cid", "n", "m")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Whole shingle sets of the wanted classes (cid, id, h), one row a class."""
 
@@ -176,41 +199,49 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     classes = full.join(classes.select(F.col("rep.rid").alias("rid"), "copies"), "rid").select(F.col("rid").alias("cid"), "id", "h", "n", "key", "sig", "copies")
     classes = stash(classes, "classes")
 
-    entries = classes.select("cid", F.explode(index_keys(F.col("sig"), m)).alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    shared = stash(entries.join(leaders, "bucket").select("bucket", "cid", "leader"), "buckets")
     plain = classes.select("cid", "id", "h", "n", "sig")
+    entries = classes.select("cid", F.posexplode(index_keys(F.col("sig"), m)).alias("slot", "bucket"))
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = stash(entries.join(crowded, "bucket").select("bucket", "slot", "cid"), "buckets")
+    wanted = shared.select("cid").distinct()
+    sets = set_table(docs, plain.join(wanted, "cid").select("cid", "id", "h"), width, id_col, text_col)
+    # A class that is ruled out holds nothing for the others: what is left is counted again.
+    able = stash(without_lone(sets, percent), "able")
+    for _ in range(2):
+        sets = stash(sets.join(hinted(able.select("cid"), able.count()), "cid", "left_semi"), "sets")
+        able = stash(without_lone(sets, percent), "able")
+    able = stash(able.join(plain.select("cid", "sig"), "cid"), "able")
+    members = shared.join(able.select("cid", (1 - F.col("m") / F.col("n")).alias("own")), "cid")
+    leaders = members.groupBy("bucket").agg(F.min_by("cid", "own").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
+    shared = stash(members.join(leaders, "bucket").select("bucket", "slot", "cid", "leader"), "buckets")
 
     def side(name: str) -> DataFrame:
-        return plain.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "sig")))
+        return able.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "m", "sig")))
 
-    def may_link(x: DataFrame) -> DataFrame:
-        """Pairs (a, b) with sizes and signatures near enough."""
-        sized = F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")
-        return x.join(side("a"), "a").join(side("b"), "b").where(sized & (distance(F.col("a_sig"), F.col("b_sig"), m) <= most)).select("a", "b", "a_n", "b_n")
+    # No intersection is larger than what either side shares with others.
+    most_shared = F.least("a_m", "b_m")
+    may = (F.lit(100) * most_shared >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - most_shared)) & (distance(F.col("a_sig"), F.col("b_sig"), m) <= most)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        sets = set_table(docs, plain.join(ids, "cid").select("cid", "id", "h"), width, id_col, text_col)
         met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return stash(met.where(F.lit(100) * both >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b"), name)
 
     first = shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    links = confirm(stash(may_link(first), "pairs"), "links")
+    first = stash(first.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_n", "b_n"), "pairs")
+    links = confirm(first, "links")
     comps = stash(connected_components(links), "comps")
 
     # What is still apart within a bucket: pairs of different components, but those already compared.
     placed = shared.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    apart = stash(placed.join(mixed_buckets, "bucket").where("cid <> leader").join(plain.select("cid", "n", "sig"), "cid"), "apart")
-    x = apart.select("bucket", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
-    y = apart.select("bucket", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"))
-    sized = F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")
-    near = distance(F.col("a_sig"), F.col("b_sig"), m) <= most
-    xx, yy = x.alias("x"), y.alias("y")
-    second = xx.join(yy, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & near)
-    second = stash(second.select("a", "b", "a_n", "b_n").distinct(), "pairs")
+    apart = stash(placed.join(mixed_buckets, "bucket").where("cid <> leader").select("bucket", "slot", "cid", "comp").join(able, "cid"), "apart")
+    x, y = (apart.select("bucket", "slot", F.col("cid").alias(k), F.col("comp").alias(f"{k}_comp"), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "m", "sig"))) for k in "ab")
+    second = x.join(
+        y.drop("slot").withColumnRenamed("bucket", "_bucket"),
+        (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & may & (F.col("slot") == first_key(F.col("a_sig"), F.col("b_sig"), m)),
+    )
+    second = stash(second.select("a", "b", "a_n", "b_n"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(confirm(second, "links"))
         comps = stash(connected_components(links), "comps")

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from orbitspark.llm.common import hinted, join_groups, new_path, stash, whole_text
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = "spark.sql.streaming.stateStore"
+#: State on disk, a bound on what all its stores of an executor hold in memory, and no store left open behind its task.
+ROCKSDB = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "96",
+    f"{STORE}.rocksdb.writeBufferSizeMB": "4", f"{STORE}.rocksdb.maxWriteBufferNumber": "2", f"{STORE}.unloadOnCommit": "true",
+}
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -36,15 +40,17 @@ def first_seen(arrivals: DataFrame, files_per_batch: int = 256) -> DataFrame:
     if folder is None:
         return spark.createDataFrame([], "digest string, first struct<id:long,rid:long>, copies long")
     state = new_path(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
         seen = stream.groupBy("digest").agg(F.min(F.struct("id", "rid")).alias("first"), F.count("*").alias("copies"))
         query = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     entries = spark.read.format("statestore").load(state)
     first, copies = entries.schema["value"].dataType.fieldNames()
     return entries.select(F.col("key.digest").alias("digest"), F.col("value")[first].alias("first"), F.col("value")[copies].alias("copies"))

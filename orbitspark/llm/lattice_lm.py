@@ -234,7 +234,7 @@ def score_texts(docs: DataFrame, train: Column, class_col: str | None = None, vo
     scored again; other columns are ignored. With no training rows no token is known, all pieces are
     equally likely and all words go by pieces. ``class_col`` names a column whose ``most_classes - 1``
     most frequent values in training, and all others together, have word counts of their own.
-    Counts of the ``frequent`` most common words ride along with the tasks (a fixed bound); all other
+    Counts of the most common words, ``frequent`` at most, ride along with the tasks (a fixed bound); all other
     words of all documents meet their counts in a shuffled join.
     """
     spark = docs.sparkSession
@@ -267,7 +267,15 @@ def score_texts(docs: DataFrame, train: Column, class_col: str | None = None, vo
         prior[k] = (m + 0.5) / (n_texts + 0.5 * n_classes)
     pieces = vocabulary_pieces(vocabulary)
     log_p = train_pieces(counts, pieces, rounds)
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    # Counts from which on there are at most ``frequent`` words, found from a histogram of a few hundred steps.
+    step = F.floor(F.log2("c") * 8).cast("int")
+    taken, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        taken += r["count"]
+        if taken > frequent:
+            break
+        least = r["s"]
+    top = counts.where(step >= least).toPandas()
     common = dict(zip(map(bytes, top["word"]), top[["c", *(f"c{k}" for k in ks)]].to_numpy(float)))
     model = spark.sparkContext.broadcast((pieces, log_p, common))
     key = new_path(spark, "model")

@@ -66,6 +66,7 @@ def bitmap_test(table: DataFrame, column: str):
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that overlap: ids, hits, words that agree in the best window, first word.
 
+    A window may reach over an end of either text; what lies outside does not agree.
     Null text counts as empty and overlaps with nothing, as do items under ``LEAST`` words. Rows of
     ``docs`` that agree in id and text are one document here. Empty tables give an empty table; other
     columns are ignored.

@@ -32,9 +32,9 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no main text.
 DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noscript object optgroup option select svg math search template textarea video".split()) | RAW
-CONTAINERS = frozenset("article blockquote body center dd div figure html main pre section td th".split())
+CONTAINERS = frozenset("article blockquote body center dd div figure html main pre section table td th".split())
 #: What an element counts for before its text does.
-WORTH = {"article": 30.0, "main": 15.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "body": -5.0, "html": -10.0, "dd": -3.0, "th": -5.0, "figure": -3.0}
+WORTH = {"article": 30.0, "main": 15.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "body": -5.0, "html": -10.0, "dd": -3.0, "th": -5.0, "figure": -3.0}
 #: Elements that a new one of the same group ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}

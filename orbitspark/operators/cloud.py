@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitspark.functions import linalg as la
 from orbitspark.functions.measures import finite
+from orbitspark.operators.quantiles import quantile_row
 
 AXES = ("x", "y", "z")
 
@@ -20,10 +21,10 @@ def iqr_bounds(points: DataFrame, k: float = 3.0) -> DataFrame:
 
     Quartiles are exact and interpolated. Bounds are null for a cloud without finite points.
     """
-    quartiles = points.where(is_valid_point()).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{c}") for c in AXES))
+    quartiles = quantile_row(points.where(is_valid_point()).select(*AXES), list(AXES), [0.25, 0.75])
     out = []
     for c in AXES:
-        low, high = F.get(f"q{c}", F.lit(0)), F.get(f"q{c}", F.lit(1))
+        low, high = F.get(c, F.lit(0)), F.get(c, F.lit(1))
         out += [(low - k * (high - low)).alias(f"lo_{c}"), (high + k * (high - low)).alias(f"hi_{c}")]
     return quartiles.select(*out)
 
@@ -54,15 +55,16 @@ def bounding_box(points: DataFrame) -> DataFrame:
 
 
 def medians(points: DataFrame) -> DataFrame:
-    return points.where(is_valid_point()).agg(*(F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in AXES))
+    row = quantile_row(points.where(is_valid_point()).select(*AXES), list(AXES), [0.5])
+    return row.select(*(F.get(c, F.lit(0)).alias(f"m{c}") for c in AXES))
 
 
 def robust_extent(points: DataFrame, percent: float = 98.0) -> DataFrame:
     """One row: median centre and the radius that holds ``percent`` of the points; (0, 0, 0) and 1 for none."""
-    centred = points.where(is_valid_point()).crossJoin(F.broadcast(medians(points)))
+    middle = medians(points)
     away = la.norm(la.sub(la.vec(*AXES), la.vec("mx", "my", "mz")))
-    radius = centred.agg(F.percentile(away, F.lit(percent / 100)).alias("r"))
-    row = medians(points).crossJoin(radius)
+    centred = points.where(is_valid_point()).crossJoin(F.broadcast(middle)).select(away.alias("away"))
+    row = middle.crossJoin(quantile_row(centred, ["away"], [percent / 100]).select(F.get("away", F.lit(0)).alias("r")))
     return row.select(*(F.coalesce(f"m{c}", F.lit(0.0)).alias(f"c{c}") for c in AXES), F.when(F.col("r").isNull(), 1.0).otherwise(F.greatest("r", F.lit(1e-6))).alias("radius"))
 
 
@@ -150,7 +152,7 @@ def disk_offsets(radius: float) -> Column:
 
 def shade_by_depth(seen: DataFrame, amount: float = 0.35) -> DataFrame:
     """Colours darkened by depth between the 2nd and 98th percentile of ``depth``."""
-    ends = seen.agg(F.percentile("depth", F.array(F.lit(0.02), F.lit(0.98))).alias("e"))
+    ends = quantile_row(seen.select("depth"), ["depth"], [0.02, 0.98]).select(F.col("depth").alias("e"))
     out = seen.crossJoin(F.broadcast(ends))
     near, far = F.get("e", F.lit(0)), F.get("e", F.lit(1))
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("depth") - near) / F.greatest(far - near, F.lit(1e-9))))

@@ -95,6 +95,18 @@ def test_outliers_and_bounds(spark):
     assert empty["min_x"] is None and empty["reason"] == "no finite points"
 
 
+def test_quantiles_of_long_columns(spark):
+    from orbitspark.operators.quantiles import quantile_row
+
+    rng = np.random.default_rng(12)
+    data = np.column_stack([rng.normal(size=20_000), rng.integers(0, 3, 20_000).astype(float), rng.pareto(0.5, 20_000)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "x double, y double, z double").repartition(5)
+    fractions = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+    for few in (10, 500, 50_000):
+        got = quantile_row(df, ["x", "y", "z"], fractions, at_once=100, few=few).first()
+        assert np.allclose([got[c] for c in "xyz"], np.percentile(data, [100 * f for f in fractions], axis=0).T, rtol=1e-12)
+
+
 def test_extent(spark):
     xyz = np.random.default_rng(2).normal(size=(300, 3))
     row = cl.robust_extent(points(spark, xyz)).first()

@@ -47,6 +47,8 @@ AROUND = re.compile(
     re.I,
 )
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
+#: Names of a layout that has a sidebar, not of the sidebar.
+LAYOUT = re.compile(r"(?:has|with|no|without)[_-]|sidebar[_-](?:left|right|none|off|on)\b|\w+[_-](?:enabled|open|closed)\b", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|\s)comments?(?=$|\s)", re.I)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -70,8 +72,16 @@ def surrounds(tag: str, attrs: str, in_article: bool) -> bool:
         return bool(COMMENT_NAMES.search(names))
     if tag in HEADINGS or tag == "header":
         return False
-    around = AROUND.search(names)
-    return bool(around) and not (ARTICLE_NAMES.search(names) and around[0].strip(" _-").lower() in ("header", "side", "text", "tags", "share", "social", "foot", "footer"))
+    boxes, own = False, False
+    for token in names.split():
+        around = AROUND.search(token)
+        if around and around[0].strip("_-") == token:
+            return True
+        if around and not LAYOUT.match(token):
+            boxes = True
+        elif ARTICLE_NAMES.search(token):
+            own = True
+    return boxes and not own
 
 
 class Page:

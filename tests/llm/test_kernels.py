@@ -174,6 +174,9 @@ PAGES = [
     ("<div><p>unclosed <i>and <b>nested<div>block</div>", "unclosed and nested\nblock"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
     ("<div class='cookie-notice'>We use cookies</div><article>Text<section id=related><a href=1>More</a><a href=2>links</a></section></article>", "Text"),
+    ("<div class='main-content sidebar-right'><h2>T</h2><p>The story, told in full.</p><div class='post-comments'><p>Nice, nice, nice.</p></div></div>", "T\nThe story, told in full."),
+    ("<div id=comments class=content><p>One comment, long enough to win over the text.</p></div><div class='post has-sidebar'><p>Body of it.</p></div>", "Body of it."),
+    ("<article><header><h1>Head</h1></header><p>Text.</p><div class='share-buttons'>Tweet</div><footer>By me</footer></article><header>Site</header>", "Head\nText."),
     ("", ""), (None, ""), ("<", "<"), ("<script>never closed", ""), ("a < b & c", "a < b & c"),
 ]
 

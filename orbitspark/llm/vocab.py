@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import weakref
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,7 +99,7 @@ def cut_words(texts: pa.Array, lower: bool = False) -> Cut:
     return encoded(values.filter(full).cast(pa.binary()), np.diff(offsets))
 
 
-def slices(texts: pa.Array, most: int = 4_000_000):
+def slices(texts: pa.Array, most: int = 6_000_000):
     """Ranges of a batch with about ``most`` bytes each, one text at least."""
     lean()
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -120,15 +121,32 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+_TABLES: weakref.WeakSet = weakref.WeakSet()
+
+
+def release(but: ChunkTable | None = None) -> None:
+    """Empties the tables that other operators have left in this Python worker."""
+    others = [t for t in _TABLES if t is not but and t.slots]
+    for table in others:
+        table.clear()
+    if others:
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class ChunkTable:
     """Values of chunks, a varying number each, kept for one Python worker and emptied beyond ``limit`` chunks.
 
     ``fill(chunks)`` gives all values of new chunks in order, and how many each has.
     """
 
-    def __init__(self, fill, dtype, limit: int = 600_000):
+    def __init__(self, fill, dtype, limit: int = 700_000):
         self.fill, self.dtype, self.limit = fill, dtype, limit
         self.clear()
+        _TABLES.add(self)
 
     def clear(self) -> None:
         self.slots: dict = {}
@@ -150,6 +168,7 @@ class ChunkTable:
         self.used += total
 
     def slots_of(self, chunks: list) -> np.ndarray:
+        release(but=self)
         if len(self.slots) > self.limit:
             self.clear()
         get = self.slots.get
@@ -174,7 +193,7 @@ class ChunkTable:
 class WholeTextEncoder:
     """Ids of whole texts, the same as the library gives, for byte-level BPE and word-end BPE files."""
 
-    def __init__(self, name: str, limit: int = 600_000):
+    def __init__(self, name: str, limit: int = 700_000):
         self.tokenizer = load_tokenizer(name)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special, (self.between, self.between_id) = list(special), max(special.items(), key=lambda x: x[1])
@@ -194,7 +213,8 @@ class WholeTextEncoder:
 
     def _fill(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         chunks = keys if self.spaced else [k.decode() for k in keys]
-        marked = [i for i, c in enumerate(chunks) if any(s in c for s in self.special)]
+        joined = "".join(chunks)
+        marked = [i for i, c in enumerate(chunks) if any(s in c for s in self.special)] if any(s in joined for s in self.special) else []
         if not marked:
             return self.encode_each(chunks)
         plain = sorted(set(range(len(chunks))).difference(marked))

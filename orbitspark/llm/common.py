@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,11 +36,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/orbitspark/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stash(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it: cuts lineage, survives lost executors.
+
+    ``batch_bytes`` bounds the Arrow batches that the write hands to Python, one row at least.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(BATCH_BYTES)
+    if batch_bytes:
+        spark.conf.set(BATCH_BYTES, batch_bytes)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stash(df: DataFrame) -> None:

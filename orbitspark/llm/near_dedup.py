@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from orbitspark.llm.common import hinted, join_groups, stash, whole_text
 from orbitspark.llm.components import connected_components
-from orbitspark.llm.vocab import ChunkTable, cut_words, slices
+from orbitspark.llm.vocab import ChunkTable, cut_words, slices, trim
 
 U = np.uint64
+#: Bytes of text whose sets a task makes at once, and of an Arrow batch.
+SLICE, BATCH = 3_000_000, 12_000_000
 #: Bits of a symbol; four symbols, each with a free bit above it, make a chunk of 60 bits.
 BITS, PER_CHUNK, MISS = 14, 4, 1e-5
 LANES = sum(((1 << BITS) - 1) << (BITS + 1) * i for i in range(PER_CHUNK))
@@ -112,7 +114,7 @@ def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col:
         rid, shingles = TaskContext.get().partitionId() << 33, shingler(width)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = shingles.sets(texts[a:b])
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sigs: list = [[]] * len(sets)
@@ -125,10 +127,11 @@ def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col:
                     names=["rid", "id", "h", "n", "key", "sig"],
                 )
                 rid += b - a
+        trim()
 
     text = whole_text(text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return stash(plain.mapInArrow(run, "rid long, id long, h long, n long, key binary, sig array<long>"), "signatures")
+    return stash(plain.mapInArrow(run, "rid long, id long, h long, n long, key binary, sig array<long>"), "signatures", BATCH)
 
 
 def index_keys(sig: Column, m: int) -> Column:
@@ -176,16 +179,19 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
         shingles = shingler(width)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
-                sets = [s.astype(np.int64).tolist() for s in shingles.sets(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
+            for a, b in slices(texts, SLICE):
+                sets = shingles.sets(texts[a:b])
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["cid", "set"])
+        trim()
 
     wanted = stash(wanted.distinct(), "wanted")
     text = whole_text(text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     w = hinted(wanted, wanted.count()).alias("w")
     met = plain.join(w, F.col("w.id").eqNullSafe(plain["id"]) & (F.col("w.h") == plain["h"])).select("w.cid", plain["text"])
-    return stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets")
+    return stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets", BATCH)
 
 
 def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitspark.llm.common import stash, whole_text
-from orbitspark.llm.vocab import encoder, slices
+from orbitspark.llm.vocab import encoder, slices, trim
+
+#: Bytes of text that a task encodes at once, and of an Arrow batch.
+SLICE, BATCH = 3_000_000, 12_000_000
 
 
 def binary_lengths(n: int, max_len: int) -> list[int]:
@@ -41,7 +44,7 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int
         enc = encoder(name)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids, counts = enc.encode(texts[a:b])
                 ids, at, rows = ids.astype("<u4"), 0, []
                 for i, n in enumerate(counts):
@@ -59,12 +62,13 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int
                     [batch.column(0).take(pa.array(cols[0])), *(pa.array(c, t) for c, t in zip(cols[1:], kinds)), pa.array([part] * len(rows), pa.int32())],
                     names=["id", "start", "length", "ids_crc32", "doc_tokens", "k", "ids", "part"],
                 )
+        trim()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, k long, ids array<long>, part int"
     )
-    pieces = stash(pieces, "pieces")
+    pieces = stash(pieces, "pieces", BATCH)
     # One row a bucket and partition of the input: the first sequence number of each.
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)

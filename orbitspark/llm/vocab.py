@@ -7,6 +7,7 @@ chunks, one after another, are the ids of the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import weakref
@@ -124,17 +125,20 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _TABLES: weakref.WeakSet = weakref.WeakSet()
 
 
+def trim() -> None:
+    """Memory that this Python worker has freed goes back to the system, where the C library can do that."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def release(but: ChunkTable | None = None) -> None:
     """Empties the tables that other operators have left in this Python worker."""
     others = [t for t in _TABLES if t is not but and t.slots]
     for table in others:
         table.clear()
     if others:
-        import ctypes
-
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
 
 class ChunkTable:

@@ -74,10 +74,15 @@ def q_invert(spark, sf_dir):
 SOME = CLOUD + """, pts AS (SELECT point_id, (x - 150) / 300 AS x, (y - 48) / 97 AS y, (z - 1200) / 2400 AS z FROM cloud WHERE point_id % 10 = 0)"""
 
 
+def scaled_points(spark, sf_dir):
+    """The whole cloud, scaled into the ring."""
+    c = cloud(spark, sf_dir)
+    return c.select("point_id", ((F.col("x") - 150) / 300).alias("x"), ((F.col("y") - 48) / 97).alias("y"), ((F.col("z") - 1200) / 2400).alias("z"))
+
+
 def some_points(spark, sf_dir):
     """A tenth of the cloud, scaled into the ring: the size of a sparse model."""
-    c = cloud(spark, sf_dir).where("point_id % 10 = 0")
-    return c.select("point_id", ((F.col("x") - 150) / 300).alias("x"), ((F.col("y") - 48) / 97).alias("y"), ((F.col("z") - 1200) / 2400).alias("z"))
+    return scaled_points(spark, sf_dir).where("point_id % 10 = 0")
 
 
 def eight_cameras(spark, sf_dir):
@@ -131,7 +136,10 @@ e4 AS (SELECT *, q + 2 * p * cos(phi) AS v1, q + 2 * p * cos(phi + 2.09439510239
 def tilted_ring(spark, sf_dir):
     c = cameras(spark, sf_dir)
     n = c.agg(F.count("*").alias("n"))
-    c = c.crossJoin(F.broadcast(n)).where(F.col("k") * 5 <= F.col("n") * 3).drop("n")
+    return tilted(spark, c.crossJoin(F.broadcast(n)).where(F.col("k") * 5 <= F.col("n") * 3).drop("n"))
+
+
+def tilted(spark, c):
     root = 0.75 ** 0.5
     turn = spark.range(1).select(*(F.lit(v).alias(f"r{i // 3}{i % 3}") for i, v in enumerate((1.0, 0.0, 0.0, 0.0, 0.5, -root, 0.0, root, 0.5))), *(F.lit(0.0).alias(f"t{i}") for i in range(3)))
     return cam.transform_poses(c, turn)
@@ -180,7 +188,8 @@ def q_alignment(spark, sf_dir):
 
 @query()
 def q_aligned_cloud_bbox(spark, sf_dir):
-    """Cameras and cloud aligned, outliers dropped in the aligned world, and its box."""
-    a = cam.estimate_alignment(tilted_ring(spark, sf_dir), some_points(spark, sf_dir))
-    moved = cam.transform_points(some_points(spark, sf_dir), a)
+    """All cameras, squeezed into three fifths of the ring, and the whole cloud aligned, outliers dropped in the aligned world, and its box."""
+    points = scaled_points(spark, sf_dir)
+    a = cam.estimate_alignment(tilted(spark, cameras(spark, sf_dir, 0.6)), points)
+    moved = cam.transform_points(points, a)
     return cl.bounding_box(cl.filter_outliers(moved))

@@ -64,12 +64,12 @@ FLAWED = CLOUD + """, flawed AS (
   FROM cloud), valid AS (SELECT * FROM flawed WHERE isfinite(x) AND isfinite(y) AND isfinite(z))"""
 
 
-def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring of cameras, one a supplier: radius 3, 1 above the plane, each looking at the origin."""
+def cameras(spark: SparkSession, sf_dir: str, arc: float = 1.0) -> DataFrame:
+    """A ring of cameras, one a supplier: radius 3, 1 above the plane, each looking at the origin; all within ``arc`` of the circle."""
     s = table(spark, sf_dir, "supplier")
     n = s.agg(F.count("*").alias("n"))
     s = s.select(F.col("s_suppkey").alias("k")).crossJoin(F.broadcast(n))
-    phi = F.lit(2 * pi) * F.col("k") / F.col("n")
+    phi = F.lit(2 * pi * arc) * F.col("k") / F.col("n")
     s = s.withColumn("c", F.cos(phi)).withColumn("s", F.sin(phi))
     q = F.sqrt(F.lit(10.0))
     zero = F.lit(0.0)

@@ -290,3 +290,28 @@ def test_video_probe(spark):
     assert (a["container"], a["rotation_deg"], a["duration_s"], a["nb_frames"], a["exit_code"]) == ("mp4", 270, 2.5, None, 0)
     assert a["avg_fps"] == pytest.approx(29.97, abs=0.01)
     assert [got[k]["exit_code"] for k in ("b.mp4", "c.mp4", "d.avi")] == [2, 2, 2]
+
+
+def test_aligned_box_is_that_of_the_whole_cloud(spark, sf_dir):
+    """All suppliers and all orders, against numpy."""
+    import datetime
+
+    import pyarrow.parquet as pq
+
+    from orbitspark.plans.camera_queries import q_aligned_cloud_bbox
+
+    ids = np.sort(pq.read_table(f"{sf_dir}/supplier.parquet")["s_suppkey"].to_numpy())
+    phi = 2 * np.pi * 0.6 * ids / len(ids)
+    tilt = np.array([[1, 0, 0], [0, 0.5, -(0.75**0.5)], [0, 0.75**0.5, 0.5]])
+    # The axes meet in the origin, so that the aligned world is turned back and not shifted.
+    front = np.array([3 * np.cos(phi[0]), 3 * np.sin(phi[0]), 1.0])
+    yaw = np.arctan2(front[1], front[0])
+    turn = np.array([[-np.sin(yaw), np.cos(yaw), 0], [0, 0, 1], [np.cos(yaw), np.sin(yaw), 0]]) @ tilt.T
+    o = pq.read_table(f"{sf_dir}/orders.parquet").to_pylist()
+    days = [(datetime.date.fromisoformat(str(r["o_orderdate"])[:10]) - datetime.date(1992, 1, 1)).days for r in o]
+    p = np.array([((float(r["o_totalprice"]) / 1000 - 150) / 300, (r["o_custkey"] % 97 - 48) / 97, (d - 1200) / 2400) for r, d in zip(o, days)]) @ turn.T
+    low, high = np.quantile(p, 0.25, axis=0), np.quantile(p, 0.75, axis=0)
+    p = p[((p >= low - 3 * (high - low)) & (p <= high + 3 * (high - low))).all(axis=1)]
+    got = q_aligned_cloud_bbox(spark, sf_dir).first()
+    assert got["n_points"] == len(p) > 0.9 * len(o)
+    assert np.allclose([[got[f"{n}_{c}"] for c in "xyz"] for n in ("min", "max")], [p.min(axis=0), p.max(axis=0)], atol=1e-9)

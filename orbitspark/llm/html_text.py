@@ -5,6 +5,9 @@ passes points for its length and commas to its ancestors, all to the nearest con
 next, ever less above. A container's worth is its points and what its element counts for, discounted
 by the share of its text that is links. The best container is kept, with those of its siblings that
 have points of their own or read like prose; an article that holds it is kept whole.
+
+Tags and roles of surroundings drop what they hold. Class names, ids and forms only lower the score of an
+element: it goes if its text is short, made of links or beside the text, and stays if it holds most of the page.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no main text.
-DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noscript object optgroup option select svg math search template textarea video".split()) | RAW
+DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer head iframe input map menu nav noscript object optgroup option select svg math search template textarea video".split()) | RAW
 CONTAINERS = frozenset("article blockquote body center dd div figure html main pre section table td th".split())
 #: What an element counts for before its text does.
 WORTH = {"article": 30.0, "main": 15.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "body": -5.0, "html": -10.0, "dd": -3.0, "th": -5.0, "figure": -3.0}
@@ -46,42 +49,63 @@ AROUND = re.compile(
     r"|footer|footnav|foot|header|masthead|topbar|pagination|pager|toolbar|widgets?|skip|legal|copyright|login|search|tags|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Those of them that hardly ever name a part of an article.
+FIRM = re.compile(
+    r"(?:ads?|adverts?|advert[a-z]*|adbox|adsense|adslot|sponsor[a-z]*|promo[a-z]*|sidebar|nav|navbar|breadcrumbs?|crumbs|comments?|commentlist|disqus|respond|cookies?|cookiebar|consent|gdpr|pop-?up|modal|overlay"
+    r"|newsletter|subscri[a-z]*|sign-?up|paywall|footer|footnav|masthead|topbar|pagination|pager|toolbar|widgets?|outbrain|taboola)",
+    re.I,
+)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 #: Names of a layout that has a sidebar, not of the sidebar.
 LAYOUT = re.compile(r"(?:has|with|no|without)[_-]|sidebar[_-](?:left|right|none|off|on)\b|\w+[_-](?:enabled|open|closed)\b", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|\s)comments?(?=$|\s)", re.I)
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def surrounds(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all it holds is taken for surroundings."""
+#: What an element may be by its tag and attributes: text, text of a lower score in three grades, or surroundings.
+TEXT, WEAK, FORM, LOW, OUT = range(5)
+#: The share of its points that text of a lower score passes on, and that counts when it is weighed against the rest of the page.
+PASSES = {WEAK: 0.5, FORM: 0.0, LOW: 0.0}
+WEIGHS = {WEAK: 1.0, FORM: 1.0, LOW: 0.25}
+#: Characters under which text of a lower score is short.
+SHORT = 140
+
+
+def surrounds(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element and all it holds is taken for surroundings, or how it is graded."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return OUT
+    plain = FORM if tag == "form" else TEXT
     if not attrs:
-        return False
+        return plain
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(found.get("style", "")):
-        return tag not in ("html", "body")
-    if found.get("role", "").lower() in ROLES:
-        return True
+        return OUT if tag not in ("html", "body") else TEXT
+    role = found.get("role", "").lower()
+    if role in ROLES:
+        return OUT
+    if role == "form":
+        plain = FORM
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     if not names or tag in ("html", "body", "main"):
-        return False
+        return plain
     if tag == "article":
-        return bool(COMMENT_NAMES.search(names))
+        return LOW if COMMENT_NAMES.search(names) else plain
     if tag in HEADINGS or tag == "header":
-        return False
-    boxes, own = False, False
+        return plain
+    boxes, own = TEXT, False
     for token in names.split():
         around = AROUND.search(token)
         if around and around[0].strip("_-") == token:
-            return True
+            return LOW if FIRM.fullmatch(token) and tag in BLOCK and tag != "p" else max(WEAK, plain)
         if around and not LAYOUT.match(token):
-            boxes = True
+            parts = re.split("[_-]+", token.strip("_-"))
+            firm = tag in BLOCK and tag not in ("p", "section") and (FIRM.fullmatch(parts[0]) or FIRM.fullmatch(parts[-1]))
+            boxes = max(boxes, LOW if firm else WEAK)
         elif ARTICLE_NAMES.search(token):
             own = True
-    return boxes and not own
+    return max(plain, TEXT if own else boxes)
 
 
 class Page:
@@ -89,6 +113,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents = ["html"], [-1]
+        self.grades: dict[int, int] = {}  # of elements of a lower score
         self.runs: list[list] = []  # element, text, characters in links
         self.read(html)
 
@@ -172,9 +197,12 @@ class Page:
                 tags.append(tag)
                 parents.append(stack[-1])
                 stack.append(i)
-                if not dead and surrounds(tag, attrs, articles > 0):
+                grade = TEXT if dead else surrounds(tag, attrs, articles > 0)
+                if grade == OUT:
                     dropped.add(i)
                     dead += 1
+                elif grade:
+                    self.grades[i] = grade
                 links += tag == "a"
                 articles += tag in ("article", "main")
                 if tag in RAW:
@@ -202,30 +230,52 @@ def main_text(html: str | None) -> str:
     page = Page(html or "")
     tags = page.tags
     points: dict[int, float] = {}
+    own: dict[int, float] = {}
     length: dict[int, int] = {}
     linked: dict[int, int] = {}
     chains: dict[int, list[int]] = {}
+    gains = []
     for i, text, in_links in page.runs:
         chain = chains.get(i)
         if chain is None:
             chain = chains[i] = page.above(i)
         size = len(text)
-        gain = 0.0 if tags[i] in HEADINGS else (1 + text.count(",") + text.count("，") + text.count("、") + min(size / 100, 3.0)) * min(1.0, size / 25)
-        level = 0
+        gains.append(0.0 if tags[i] in HEADINGS else (1 + text.count(",") + text.count("，") + text.count("、") + min(size / 100, 3.0)) * min(1.0, size / 25))
         for k in chain:
             length[k] = length.get(k, 0) + size
             linked[k] = linked.get(k, 0) + in_links
+            if k in page.grades:
+                own[k] = own.get(k, 0.0) + gains[-1]
+
+    def density(k: int) -> float:
+        return min(1.0, linked[k] / length[k])
+
+    # An element that holds most of the page is not taken for surroundings, whatever its name.
+    total = sum(gains)
+    grades = {}
+    for k, grade in page.grades.items():
+        rest = total - own.get(k, 0.0)
+        alone = rest <= 1e-9 and grade != LOW
+        if k in own and not (alone or (length[k] >= SHORT and own[k] * WEIGHS[grade] * (1 - density(k)) > rest)):
+            grades[k] = grade
+    lower = {i: [k for k in chain if k in grades] for i, chain in chains.items()} if grades else {}
+
+    for (i, _, _), gain in zip(page.runs, gains):
+        for k in lower.get(i, ()):
+            gain *= PASSES[grades[k]]
+        level = 0
+        for k in chains[i]:
             if tags[k] in CONTAINERS:
                 points[k] = points.get(k, 0.0) + (gain if level == 0 else gain / 2 if level == 1 else gain / (3 * level))
                 level += 1
+    # What holds nothing but surroundings can't be the text.
+    points = {k: v for k, v in points.items() if not any(g in grades and grades[g] != WEAK for g in page.above(k))} if grades else points
     if not points:
         return ""
 
-    def density(k: int) -> float:
-        return min(1.0, linked[k] / length[k])
-
     def worth(k: int) -> float:
-        score = points.get(k, 0.0) + WORTH.get(tags[k], 0.0)
+        bonus = WORTH.get(tags[k], 0.0)
+        score = points.get(k, 0.0) + (min(bonus, 0.0) if grades and any(g in grades for g in page.above(k)) else bonus)
         return score * (1 - density(k)) if score > 0 else score
 
     best = max(points, key=lambda k: (worth(k), -k))
@@ -235,6 +285,14 @@ def main_text(html: str | None) -> str:
     top = worth(best)
     parent = page.parents[best]
     keeps: dict[int, bool] = {}
+    spared: dict[int, bool] = {}
+
+    def spare(k: int) -> bool:
+        """Whether an element of a lower score within the text is kept: neither short nor made of links."""
+        if k not in spared:
+            least = 0.0 if grades[k] == WEAK and tags[best] not in ("body", "html") else 0.1 * total
+            spared[k] = grades[k] != LOW and length[k] >= SHORT and density(k) <= 0.33 and own[k] >= least
+        return spared[k]
 
     def keep_sibling(s: int) -> bool:
         """Whether an element beside the best container belongs to the text."""
@@ -242,21 +300,25 @@ def main_text(html: str | None) -> str:
             return density(s) == 0 and s < best
         if tags[s] == "p":
             return (length[s] > 80 and density(s) < 0.25) or (density(s) == 0 and length[s] > 20)
-        return points.get(s, 0.0) * (1 - density(s)) >= max(10.0, 0.2 * top)
+        gained = points.get(s, 0.0) / (PASSES[grades[s]] if grades.get(s) == WEAK and tags[s] == "section" else 1.0)
+        return gained * (1 - density(s)) >= max(10.0, 0.2 * top)
 
-    def wanted(chain: list[int]) -> bool:
+    def wanted(i: int) -> bool:
+        chain = chains[i]
         if best in chain:
             inner = chain[: chain.index(best)]
             # Lists and boxes of links within the text are not part of it.
-            return not any(tags[k] in ("ul", "ol", "div", "section", "table") and length[k] > 0 and density(k) > 0.6 for k in inner)
+            if any(tags[k] in ("ul", "ol", "div", "section", "table") and length[k] > 0 and density(k) > 0.6 for k in inner):
+                return False
+            return all(spare(k) for k in inner if k in grades)
         if parent < 0 or parent not in chain or tags[best] in ("article", "main", "body"):
             return False
         s = chain[chain.index(parent) - 1] if chain.index(parent) else parent
         if s not in keeps:
-            keeps[s] = s != parent and keep_sibling(s)
-        return keeps[s]
+            keeps[s] = s != parent and keep_sibling(s) and (s not in grades or spare(s))
+        return keeps[s] and all(spare(k) for k in chain[: chain.index(s)] if k in grades)
 
-    return "\n".join(text for i, text, _ in page.runs if wanted(chains[i]))
+    return "\n".join(text for i, text, _ in page.runs if wanted(i))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

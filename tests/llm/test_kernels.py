@@ -191,3 +191,31 @@ def test_main_text_of_deep_and_long_pages():
     assert html_text.main_text(deep) == "deep text"
     long = "<article>" + "".join(f"<p>paragraph {i}, with words</p>" for i in range(5000)) + "</article>"
     assert html_text.main_text(long).count("\n") == 4999
+
+
+PROSE = "A sentence of the paper, with some words, that goes on for long enough, as prose does, to count. "
+
+
+@pytest.mark.parametrize("box", ['section id="discussion"', 'section class="related-work"', 'div class="legal-history"', 'p class="alert"', 'section id="navigation"'])
+def test_names_alone_drop_no_text(box):
+    tag = box.split()[0]
+    body = f"<h1>T</h1><section><p>{PROSE * 4}</p></section><{box}>{'<p>' if tag != 'p' else ''}{PROSE * 2}End.</{tag}><section><p>{PROSE * 3}</p></section>"
+    for page in (f"<article>{body}</article>", f"<body><div class=menu><a href=/>Home</a></div><div id=content>{body}</div></body>"):
+        assert f"{PROSE * 2}End." in html_text.main_text(page)
+
+
+def test_form_around_the_page():
+    body = f"<div class=nav><a href=/>Home</a></div><div id=content><h2>T</h2><p>{PROSE * 3}</p><p>Short.</p></div>"
+    want = f"T\n{(PROSE * 3).strip()}\nShort."
+    assert html_text.main_text(f"<body><form action=x>{body}</form></body>") == want
+    assert html_text.main_text(f"<body><form role=form id=aspnetForm>{body}</form><div class=footer>Us</div></body>") == want
+    assert html_text.main_text("<form><p>All of it.</p></form>") == "All of it."
+
+
+def test_names_still_drop_surroundings():
+    story = f"<p>{PROSE * 3}</p><p>{PROSE * 2}</p>"
+    want = f"{(PROSE * 3).strip()}\n{(PROSE * 2).strip()}"
+    for box in (f"<div class=comments><p>{PROSE * 2}</p></div>", f"<div class=comments-area>{'<p>' + PROSE + '</p>'}</div>", "<div class=share-buttons>Tweet</div>", "<form>Sign up <input></form>", f"<div class=cookie-notice>{PROSE * 2}</div>"):
+        assert html_text.main_text(f"<article>{story}{box}</article>") == want
+        assert html_text.main_text(f"<body>{story}{box}</body>") == want
+    assert f"{PROSE * 9}".strip() in html_text.main_text(f"<body><p>Hi.</p><div class=comments><p>{PROSE * 9}</p></div></body>")

@@ -4,7 +4,7 @@ A page is read once into elements and blocks of text (runs between block-level t
 passes points for its length and commas to its ancestors, all to the nearest container, half to the
 next, ever less above. A container's worth is its points and what its element counts for, discounted
 by the share of its text that is links. The best container is kept, with those of its siblings that
-have points of their own or read like prose; an article that holds it is kept whole.
+have points of their own or read like prose and what lies between them; an article that holds it is kept whole.
 
 Tags and roles of surroundings drop what they hold. Class names, ids and forms only lower the score of an
 element: it goes if its text is short, made of links or beside the text, and stays if it holds most of the page.
@@ -33,6 +33,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl".split())
 #: Elements that hold no main text.
 DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer head iframe input map menu nav noscript object optgroup option select svg math search template textarea video".split()) | RAW
 CONTAINERS = frozenset("article blockquote body center dd div figure html main pre section table td th".split())
@@ -303,20 +304,41 @@ def main_text(html: str | None) -> str:
         gained = points.get(s, 0.0) / (PASSES[grades[s]] if grades.get(s) == WEAK and tags[s] == "section" else 1.0)
         return gained * (1 - density(s)) >= max(10.0, 0.2 * top)
 
+    def keep_siblings() -> None:
+        """Those that belong to the text by themselves, then what lies between them, and lists next to them with their headings."""
+        row = dict.fromkeys(chain[at - 1] for chain in chains.values() if parent in chain and (at := chain.index(parent)))
+        row = sorted(row)
+        for s in row:
+            keeps[s] = s == best or (keep_sibling(s) and (s not in grades or spare(s)))
+        held = [j for j, s in enumerate(row) if keeps[s]]
+        for s in row[held[0] : held[-1]]:
+            keeps[s] = keeps[s] or (s not in grades and (tags[s] in LISTS or density(s) <= 0.6))
+        for step, edge in ((1, held[-1]), (-1, held[0])):
+            waiting = []
+            j = edge + step
+            while 0 <= j < len(row) and row[j] not in grades and density(row[j]) <= 0.6 and (tags[row[j]] in LISTS or tags[row[j]] in HEADINGS):
+                waiting.append(row[j])
+                if tags[row[j]] in LISTS:
+                    keeps.update(dict.fromkeys(waiting, True))
+                j += step
+
+    # Where the text is the whole page, boxes of links above its first heading or prose are menus.
+    first = next((i for i, text, in_links in page.runs if not in_links and (tags[i] in HEADINGS or len(text) >= 25)), len(tags)) if tags[best] in ("body", "html") else 0
+
+    def menu(i: int) -> bool:
+        return i < first and any(tags[k] in ("ul", "ol", "div", "section", "table") and density(k) > 0.6 for k in chains[i])
+
+    if parent >= 0 and tags[best] not in ("article", "main", "body"):
+        keep_siblings()
+
     def wanted(i: int) -> bool:
         chain = chains[i]
         if best in chain:
-            inner = chain[: chain.index(best)]
-            # Lists and boxes of links within the text are not part of it.
-            if any(tags[k] in ("ul", "ol", "div", "section", "table") and length[k] > 0 and density(k) > 0.6 for k in inner):
-                return False
-            return all(spare(k) for k in inner if k in grades)
+            return all(spare(k) for k in chain[: chain.index(best)] if k in grades) and not menu(i)
         if parent < 0 or parent not in chain or tags[best] in ("article", "main", "body"):
             return False
         s = chain[chain.index(parent) - 1] if chain.index(parent) else parent
-        if s not in keeps:
-            keeps[s] = s != parent and keep_sibling(s) and (s not in grades or spare(s))
-        return keeps[s] and all(spare(k) for k in chain[: chain.index(s)] if k in grades)
+        return keeps.get(s, False) and all(spare(k) for k in chain[: chain.index(s)] if k in grades)
 
     return "\n".join(text for i, text, _ in page.runs if wanted(i))
 

@@ -219,3 +219,19 @@ def test_names_still_drop_surroundings():
         assert html_text.main_text(f"<article>{story}{box}</article>") == want
         assert html_text.main_text(f"<body>{story}{box}</body>") == want
     assert f"{PROSE * 9}".strip() in html_text.main_text(f"<body><p>Hi.</p><div class=comments><p>{PROSE * 9}</p></div></body>")
+
+
+def test_links_within_the_article_are_kept():
+    links = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(4))
+    body = f"<p>{PROSE * 3}</p><div><a href=/x>A linked line.</a></div><table><tr><td><a href=/y>Linked cell</a></table><h2>References</h2><ol>{links}</ol>"
+    want = "\n".join([(PROSE * 3).strip(), "A linked line.", "Linked cell", "References", *(f"Reference {i}" for i in range(4))])
+    assert html_text.main_text(f"<article>{body}<nav><a href=/>Home</a></nav><ul role=navigation><li><a href=/>Top</a></ul></article>") == want
+    assert html_text.main_text(f"<body><ul><li><a href=/>Home</a></ul><h1>T</h1>{body}</body>") == f"T\n{want}"
+
+
+def test_siblings_of_a_split_body_are_kept():
+    long = f"<div><p>{PROSE * 3}</p><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div>"
+    links = "<ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>"
+    page = f"<body><ul><li><a href=/>Home</a></ul>{long}<h2>Later</h2><p>Brief.</p>{links}<pre>x = 1</pre>{long}<h2>Last</h2><ul><li>item</ul><h2>More from us</h2></body>"
+    part = [(PROSE * 3).strip()] * 3
+    assert html_text.main_text(page).split("\n") == [*part, "Later", "Brief.", "One", "Two", "x = 1", *part, "Last", "item"]

@@ -33,11 +33,15 @@ def words_of(text: Column) -> Column:
 
 
 def masks_for(length: int, share: float) -> tuple[tuple[int, ...], ...]:
-    """The masks that find an item of this many words: for a short item, all its words but those that may differ."""
+    """The masks that find an item of this many words: for a short item, all its words but those that may differ.
+
+    The first picked position is 0, so that a mask fits where words before it are missing; it is tried all along the item.
+    """
     if length >= WINDOW:
         return MASKS
     picked = length - int((1 - share) * length + 1e-9)
-    return tuple(combinations(range(length), picked)) if length >= LEAST else ()
+    shapes = (tuple(p - c[0] for p in c) for c in combinations(range(length), picked))
+    return tuple(dict.fromkeys(shapes)) if length >= LEAST else ()
 
 
 def seed(words: Column, at: Column, mask: tuple[int, ...]) -> Column:
@@ -88,7 +92,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_
     n_seeds = seeds.count()
 
     in_seeds = bitmap_test(seeds, "seed")
-    starts = items.where(F.size("b") >= WINDOW).select("b", F.explode(positions(F.col("b"), COMMON)).alias("at")).select(seed(F.col("b"), F.col("at"), COMMON).alias("seed"))
+    # Short items too, where a mask of theirs is one of the three.
+    started = [n for n in short if set(MASKS) & set(masks_for(n, share))]
+    starts = items.where((F.size("b") >= WINDOW) | F.size("b").isin(started)).select("b", F.explode(positions(F.col("b"), COMMON)).alias("at")).select(seed(F.col("b"), F.col("at"), COMMON).alias("seed"))
     in_starts = bitmap_test(starts, "seed")
 
     def passing(at: Column, mask: tuple[int, ...], test) -> Column:

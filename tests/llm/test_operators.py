@@ -199,6 +199,26 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_overlaps(df, table.limit(0)).count() == 0
 
 
+def test_decontamination_of_every_length_and_substitution(spark):
+    """All substitutions and cuts at both ends of a document that leave 0.8 of an item of 5 to 12 words, and one more."""
+    from itertools import combinations
+
+    bench = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(5, 13)]
+    docs, around = [], " ".join(f"f{j}" for j in range(15))
+    for n, text in bench:
+        most = n - int(np.ceil(0.8 * n - 1e-9))
+        for changed in (c for k in range(most + 2) for c in combinations(range(n), k)):
+            words = [f"other{j}" if j in changed else w for j, w in enumerate(text.split())]
+            docs.append((f"{n} within {changed}", f"{around} {' '.join(words)} {around}"))
+            first, last = next(j for j in range(n) if j not in changed), max(j for j in range(n) if j not in changed) + 1
+            docs.append((f"{n} start {changed}", " ".join(words[first:]) + " " + around))
+            docs.append((f"{n} end {changed}", around + " " + " ".join(words[:last])))
+            docs.append((f"{n} alone {changed}", " ".join(words[first:last])))
+    want = {(d, int(d.split()[0])) for d, _ in docs if d.count(",") - d.count(",)") + (d[-2] != "(") <= int(d.split()[0]) - int(np.ceil(0.8 * int(d.split()[0]) - 1e-9))}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(bench, "item_id int, text string")).collect()}
+    assert got == want == brute_overlaps(docs, bench) and len(want) > 700
+
+
 def shingles(text):
     w = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -24,7 +24,7 @@ def _ingest(spark, args):
     cams, pts = sparse_model.read_cameras(spark, args.model), sparse_model.read_points(spark, args.model)
     selected = spark.read.parquet(args.frames).where("selected").select("frame_id")
     out = pipelines.ingest(cams, pts, selected)
-    ply.write_ply(out["points"], args.out, args.run_id, {"axes": "y up" if out["alignment"].first()["status"] == "estimated" else "not aligned"})
+    ply.write_ply(out["points"], args.out, args.run_id, {"axes": "y up" if out["alignment"].first()["status"] == "estimated" else "not aligned"}, ply.parts_for(out["points"].count()))
     print(report(out["diagnostics"].first().asDict(recursive=True), out["alignment"].first().asDict(recursive=True)))
     return 0
 

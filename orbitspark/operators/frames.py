@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def numbered(df: DataFrame, run: str, *order: str) -> DataFrame:
@@ -70,24 +72,44 @@ def with_windows(df: DataFrame, run: str, windows: int) -> DataFrame:
 def select_quality(df: DataFrame, run: str, windows: int, tau: float, value: str = "sharpness", span: float = 500.0) -> DataFrame:
     """One frame a window: the sharpest that differs from the last pick by ``tau``, else the sharpest.
 
-    The fold over a run's windows carries the last pick; its state is one run's candidates, which
-    sampling bounds. Differences are |value - value| / span.
+    Rows go by in order of run, window and rank, so that only the last pick and the first rank are held,
+    whatever the length of a run. Differences are |value - value| / span.
     """
     df = with_windows(df, run, windows)
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(run, "window").orderBy(F.desc("sharpness"), "src_index")))
-    one = F.struct("window", "rank", "src_index", F.col(value).alias("v"))
-    runs = ranked.groupBy(run).agg(F.sort_array(F.collect_list(one)).alias("c"))
-    windows_of = F.array_distinct(F.transform("c", lambda x: x["window"]))
-
-    def pick(state: Column, w: Column) -> Column:
-        own = F.filter("c", lambda x: x["window"] == w)
-        fresh = F.filter(own, lambda x: state["last"].isNull() | (F.abs(x["v"] - state["last"]) / span >= tau))
-        chosen = F.coalesce(F.get(fresh, F.lit(0)), F.get(own, F.lit(0)))
-        row = F.struct(w.alias("window"), chosen["rank"].alias("pick_rank"), (F.size(fresh) == 0).alias("fallback"))
-        return F.struct(F.concat(state["picks"], F.array(row)).alias("picks"), chosen["v"].alias("last"))
-
-    empty = F.struct(F.array().cast("array<struct<window:int,pick_rank:int,fallback:boolean>>").alias("picks"), F.lit(None).cast("double").alias("last"))
-    picks = runs.select(run, F.explode(F.aggregate(windows_of, empty, pick, lambda s: s["picks"])).alias("p")).select(run, "p.*")
+    rows = ranked.select(run, "window", "rank", F.col(value).cast("double").alias("v")).repartition(F.col(run)).sortWithinPartitions(run, "window", "rank")
+    schema = StructType([*rows.schema.fields[:2], StructField("pick_rank", IntegerType()), StructField("fallback", BooleanType())])
+
+    def fold(batches):
+        at, last, top, done = None, None, None, True
+        for batch in batches:
+            key, out = batch.schema.field(0).type, []
+            for r, w, k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if k == 1:
+                    if not done:  # none of the window before was fresh
+                        out.append((*at, 1, True))
+                        last = top
+                    if at is None or at[0] != r:
+                        last = None
+                    at, top, done = (r, w), v, False
+                if not done and fresh(v, last):
+                    out.append((*at, k, False))
+                    last, done = v, True
+            yield table(out, key)
+        if not done:
+            yield table([(*at, 1, True)], key)
+
+    def fresh(v, last):
+        if last is None:
+            return True
+        far = None if v is None else abs(v - last) / span
+        return far is not None and not far < tau  # NaN is the greatest
+
+    def table(out, key):
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.int32(), pa.int32(), pa.bool_()))], names=schema.names)
+
+    picks = rows.mapInArrow(fold, schema)
     out = ranked.join(picks, [run, "window"]).withColumn("selected", F.col("rank") == F.col("pick_rank"))
     tried = F.col("fallback") | (F.col("rank") < F.col("pick_rank"))
     return out.withColumn("reject_reason", F.when(F.col("selected"), None).when(tried, "redundant").otherwise("less_sharp_in_window"))

@@ -145,8 +145,9 @@ def q_condition_violations(spark, sf_dir):
 SELECT c.run_id, round(e.value + e.value / 2, 6) AS selection_time_s FROM c LEFT JOIN events e ON e.event_id = c.f""")
 def q_selection_time(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    stages = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("select"), F.col("value"), F.lit("package"), F.col("value") / 2)).otherwise(F.create_map(F.lit("probe"), F.col("value")))
-    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.map_entries(stages).alias("m")))), lambda x: F.map_from_entries(x["m"])).alias("commands"))
+    first = F.expr("min_by(struct(value), event_id) FILTER (WHERE event_type = 'purchase')")
+    stages = F.create_map(F.lit("select"), F.col("first.value"), F.lit("package"), F.col("first.value") / 2)
+    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(first.alias("first")).withColumn("commands", F.when(F.col("first").isNotNull(), F.array(stages)))
     return runs.select("run_id", F.round(rn.selection_time(F.col("commands")), 6).alias("selection_time_s"))
 
 

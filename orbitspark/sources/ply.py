@@ -12,6 +12,14 @@ from orbitspark.errors import AlreadyThere, MissingOrForeign
 ROW = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 FIELDS = (("float", "x"), ("float", "y"), ("float", "z"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue"))
 
+#: Points that a task holds at once: 30 MB.
+POINTS_A_FILE = 2_000_000
+
+
+def parts_for(n_points: int) -> int:
+    """Files so that each holds about ``POINTS_A_FILE`` points."""
+    return max(1, -(-n_points // POINTS_A_FILE))
+
 
 def header(count: int, comments: dict[str, str]) -> bytes:
     lines = ["ply", "format binary_little_endian 1.0", *(f"comment {k}: {v}" for k, v in comments.items()), f"element vertex {count}", *(f"property {t} {n}" for t, n in FIELDS), "end_header", ""]

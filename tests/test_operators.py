@@ -315,3 +315,53 @@ def test_aligned_box_is_that_of_the_whole_cloud(spark, sf_dir):
     got = q_aligned_cloud_bbox(spark, sf_dir).first()
     assert got["n_points"] == len(p) > 0.9 * len(o)
     assert np.allclose([[got[f"{n}_{c}"] for c in "xyz"] for n in ("min", "max")], [p.min(axis=0), p.max(axis=0)], atol=1e-9)
+
+
+def test_quality_holds_no_run_in_memory(spark):
+    """Against a plain fold, with runs longer than an Arrow batch, missing and odd values; no array of a run in the plan."""
+    rng = np.random.default_rng(4)
+    rows = [(r, i, None if i % 17 == 5 else float("nan") if i % 29 == 7 else float(rng.integers(0, 60))) for r, n in (("a", 900), ("b", 3), ("c", 1), ("d", 120), ("e", 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "run_id string, src_index int, sharpness double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = fr.select_quality(df.repartition(5), "run_id", 8, 0.1)
+        got = {(r["run_id"], r["window"]): (r["src_index"], r["fallback"]) for r in out.where("selected").collect()}
+        seen = fr.with_windows(df, "run_id", 8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for run in "abcd":
+        last = None
+        for w in sorted({r["window"] for r in seen if r["run_id"] == run}):
+            key = lambda r: (r["sharpness"] is None, 0 if r["sharpness"] is None else -np.inf if math.isnan(r["sharpness"]) else -r["sharpness"], r["src_index"])
+            own = sorted((r for r in seen if r["run_id"] == run and r["window"] == w), key=key)
+            fresh = [r for r in own if last is None or (r["sharpness"] is not None and not abs(r["sharpness"] - last) / 500 < 0.1)]
+            pick = (fresh or own)[0]
+            want[run, w], last = (pick["src_index"], not fresh), pick["sharpness"]
+    assert got == want and any(f for _, f in want.values()) and len(want) == 8 + 3 + 1 + 8
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_selection_time_holds_no_run_in_memory(spark, sf_dir):
+    from orbitspark.plans.run_queries import q_selection_time
+
+    assert "collect_list" not in q_selection_time(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_ingest_writes_files_by_point_count(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from orbitspark import cli
+
+    points = spark.range(1000).selectExpr("id as point_id", "double(id) as x", "0D as y", "0D as z", "1 as r", "2 as g", "3 as b")
+    one = spark.createDataFrame([("estimated",)], "status string")
+    monkeypatch.setattr(cli.sparse_model, "read_cameras", lambda *a: None)
+    monkeypatch.setattr(cli.sparse_model, "read_points", lambda *a: None)
+    monkeypatch.setattr(cli.pipelines, "ingest", lambda *a: {"points": points, "alignment": one, "diagnostics": one})
+    monkeypatch.setattr(cli, "report", lambda *a: "")
+    monkeypatch.setattr(ply, "POINTS_A_FILE", 300, raising=False)
+    spark.createDataFrame([("f", True)], "frame_id string, selected boolean").write.parquet(f"{tmp_path}/frames")
+    assert cli._ingest(spark, SimpleNamespace(model="m", frames=f"{tmp_path}/frames", out=f"file://{tmp_path}/out", run_id="r")) == 0
+    assert len(list((tmp_path / "out").glob("*.ply"))) == 4
+    assert ply.read_ply(spark, f"{tmp_path}/out").count() == 1000

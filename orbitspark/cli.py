@@ -1,4 +1,4 @@
-"""Command line: check, align, verify, compare, export. Refusals end with their exit code."""
+"""Command line: check, ingest, verify, compare. Refusals end with their exit code."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from orbitspark.errors import PackageBroken, Refusal
+from orbitspark.errors import ConditionsDiffer, PackageBroken, Refusal
 from orbitspark.functions.text import report
+from orbitspark.operators import runs as rn
 from orbitspark.plans import pipelines
 from orbitspark.sources import checksums, ply, sparse_model, video
 
@@ -37,8 +38,15 @@ def _verify(spark, args):
 
 
 def _compare(spark, args):
-    pipelines.compare(spark.read.parquet(args.runs), spark.read.parquet(args.conditions)).select("exp_id", "relative_difference", "verdict").show(truncate=False)
-    return 0
+    runs, conditions = spark.read.parquet(args.runs), spark.read.parquet(args.conditions)
+    done = pipelines.compare(runs, conditions).select("exp_id", "relative_difference", "verdict").orderBy("exp_id")
+    for r in done.toLocalIterator():
+        print(r["exp_id"], r["relative_difference"], r["verdict"])
+    refused = False
+    for r in rn.condition_violations(runs, conditions).orderBy("exp_id", "run_id").toLocalIterator():
+        refused = True
+        print(r["exp_id"], r["run_id"], "differs from the conditions in", ", ".join(r["differs"]))
+    return ConditionsDiffer.exit_code if refused else 0
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -199,6 +199,13 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_overlaps(df, table.limit(0)).count() == 0
 
 
+def test_decontamination_of_scripts_without_spaces(spark):
+    bench = [(1, "昨日の夕方に公園を散歩していました"), (2, "วันนี้อากาศดีมาก"), (3, "我们在北京大学图书馆学习数学。")]
+    docs = [("a", "Intro. その人は昨日の夕方に公園を散歩していましたと言う。"), ("b", "เขาบอกว่าวันนี้อากาศดีมากจริง"), ("c", "去年我们在上海大学图书馆学习数学和物理"), ("d", "天気がよければ、東京へ行きたい"), ("e", "plain words of another text")]
+    found = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(bench, "item_id int, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
 def test_decontamination_of_every_length_and_substitution(spark):
     """All substitutions and cuts at both ends of a document that leave 0.8 of an item of 5 to 12 words, and one more."""
     from itertools import combinations

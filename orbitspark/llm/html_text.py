@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is read once into elements and blocks of text (runs between block-level tags). Each block
-passes points for its length and commas to its ancestors, all to the nearest container, half to the
-next, ever less above. A container's worth is its points and what its element counts for, discounted
+passes points for its length and commas to its ancestors, all to the nearest container, half as many
+to each one above. A container's worth is its points and what its element counts for, discounted
 by the share of its text that is links. The best container is kept, with those of its siblings that
 have points of their own or read like prose and what lies between them; an article that holds it is kept whole.
 
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+#: A tag without quotes; with quoted attributes; and, once a quote was found that nothing closes, one that ends before the next "<".
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>\"']*+)>")
+QUOTED = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+NEAR = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: Character references of more digits than any character has.
+LONG_REFERENCE = re.compile(r"&#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?")
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -71,21 +72,26 @@ PASSES = {WEAK: 0.5, FORM: 0.0, LOW: 0.0}
 WEIGHS = {WEAK: 1.0, FORM: 1.0, LOW: 0.25}
 #: Characters under which text of a lower score is short.
 SHORT = 140
+#: Surroundings that may hold the text of a page that has none elsewhere.
+LENIENT = frozenset("aside dialog footer header".split())
+#: What an end tag of a few elements doesn't reach beyond.
+WALLS = ("table", "td", "article", "main", "body")
 
 
-def surrounds(tag: str, attrs: str, in_article: bool) -> int:
-    """Whether an element and all it holds is taken for surroundings, or how it is graded."""
+def surrounds(tag: str, attrs: str, in_article: bool, lenient: bool = False) -> int:
+    """Whether an element and all it holds is taken for surroundings, or how it is graded; if lenient, some only get a grade."""
+    out = FORM if lenient else OUT
     if tag in DROPPED or (tag == "header" and not in_article):
-        return OUT
+        return out if tag in LENIENT else OUT
     plain = FORM if tag == "form" else TEXT
     if not attrs:
         return plain
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(found.get("style", "")):
-        return OUT if tag not in ("html", "body") else TEXT
+        return out if tag not in ("html", "body") else TEXT
     role = found.get("role", "").lower()
     if role in ROLES:
-        return OUT
+        return out if role not in ("menu", "menubar", "navigation") else OUT
     if role == "form":
         plain = FORM
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
@@ -109,144 +115,170 @@ def surrounds(tag: str, attrs: str, in_article: bool) -> int:
     return max(plain, TEXT if own else boxes)
 
 
+def plain(text: str) -> str:
+    """Text with its character references decoded and white space runs as one space."""
+    if "&#" in text:
+        text = LONG_REFERENCE.sub(lambda m: m[0] if len(m[0]) < 12 else f"&#{m[1]};" if m[1] and len(m[1]) < 8 else f"&#x{m[2]};" if m[2] and len(m[2]) < 7 else "\ufffd", text)
+    return SPACE.sub(" ", unescape(text)).strip()
+
+
 class Page:
-    """Elements in page order with their parents, and the blocks of text that are not surroundings."""
+    """Elements in page order with their parents, and the blocks of text that are not surroundings.
+
+    A page is read in one pass whose time is proportional to its length, however deep or broken it is: no
+    tag is looked for where none ends, an unclosed quote is looked for once, and open elements are found by name.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, lenient: bool = False):
         self.tags, self.parents = ["html"], [-1]
         self.grades: dict[int, int] = {}  # of elements of a lower score
         self.runs: list[list] = []  # element, text, characters in links
+        self.lenient = lenient
+        self.stack, self.blocks, self.places = [0], [0], {}  # open elements, where the blocks are among them, and each name
+        self.dropped: set[int] = set()
+        self.links = self.articles = 0
+        self.pieces: list[tuple[str, bool]] = []
         self.read(html)
 
+    def nearest(self, *names: str) -> int:
+        """Where in the stack the innermost open element of these names is; 0 for none."""
+        return max((p[-1] for name in names if (p := self.places.get(name))), default=0)
+
+    def flush(self) -> None:
+        if self.pieces:
+            text = plain("".join(p for p, _ in self.pieces))
+            if text:
+                self.runs.append([self.stack[self.blocks[-1]], text, sum(len(plain(p)) for p, link in self.pieces if link)])
+            self.pieces = []
+
+    def push(self, tag: str, attrs: str) -> None:
+        i, depth = len(self.tags), len(self.stack)
+        self.tags.append(tag)
+        self.parents.append(self.stack[-1])
+        self.stack.append(i)
+        self.places.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
+        grade = TEXT if self.dropped else surrounds(tag, attrs, self.articles > 0, self.lenient)
+        if grade == OUT:
+            self.dropped.add(i)
+        elif grade:
+            self.grades[i] = grade
+        self.links += tag == "a"
+        self.articles += tag in ("article", "main")
+
+    def pop_to(self, depth: int) -> None:
+        """Ends the open elements from this place of the stack on."""
+        while len(self.stack) > depth:
+            i = self.stack.pop()
+            tag = self.tags[i]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.dropped.discard(i)
+            self.links -= tag == "a"
+            self.articles -= tag in ("article", "main")
+
+    def close(self, tag: str, block: bool) -> None:
+        k = self.nearest(tag)
+        if not k or (not block and self.blocks[-1] > k):  # an inline end tag reaches no further than its block
+            return
+        if tag in ("p", "li", "a", "span") and self.nearest(*WALLS) > k:
+            return
+        self.pop_to(k)
+
+    def open(self, tag: str, attrs: str, block: bool) -> None:
+        if block:  # a block ends an open paragraph
+            k = self.blocks[-1]
+            name = self.tags[self.stack[k]]
+            if k and (name == "p" or (name in HEADINGS and tag in HEADINGS)):
+                self.pop_to(k)
+        if tag in ENDS:
+            k = self.nearest(*ENDS[tag])
+            if k > self.nearest(*SCOPE[tag]):
+                self.pop_to(k)
+        self.push(tag, attrs)
+
     def read(self, html: str) -> None:
-        tags, parents = self.tags, self.parents
-        stack, dead, links, articles, at, n = [0], 0, 0, 0, 0, len(html)
-        pieces: list[tuple[str, bool]] = []
-        owner = 0
-
-        def flush() -> None:
-            if pieces:
-                text = SPACE.sub(" ", unescape("".join(p for p, _ in pieces))).strip()
-                if text:
-                    self.runs.append([owner, text, sum(len(SPACE.sub(" ", unescape(p)).strip()) for p, link in pieces if link)])
-                pieces.clear()
-
-        def pop() -> None:
-            nonlocal dead, links, articles
-            i = stack.pop()
-            dead -= i in dropped
-            links -= tags[i] == "a"
-            articles -= tags[i] in ("article", "main")
-
-        dropped: set[int] = set()
-        search = TOKEN.search
-        while at < n:
-            m = search(html, at)
-            start = m.start() if m else n
-            if start > at and not dead:
-                pieces.append((html[at:start], links > 0))
-            if not m:
-                break
-            at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if tag is None:
-                if m["data"] and not dead:
-                    pieces.append((m["data"].replace("&", "&amp;"), links > 0))
+        at = start = 0
+        last, broken, data = html.rfind(">"), False, True
+        while (lt := html.find("<", start)) >= 0:
+            start = lt + 1
+            first = html[start : start + 1]
+            if first == "!" and html.startswith("<!--", lt):
+                self.put(html[at:lt])
+                end = lt + 1 if html.startswith("<!-->", lt) else html.find("-->", lt + 4)
+                if end < 0:
+                    at = len(html)
+                    break
+                at = start = end + (4 if end == lt + 1 else 3)
+                continue
+            if lt > last:  # no tag ends from here on, but a comment may begin
+                if (comment := html.find("<!--", lt)) < 0:
+                    break
+                start = comment
+                continue
+            if first in ("!", "?") and first:
+                self.put(html[at:lt])
+                end = html.find("]]>", lt) if data and html.startswith("<![CDATA[", lt) else -1
+                if end >= 0:
+                    self.put(html[lt + 9 : end].replace("&", "&amp;"))
+                    at = start = end + 3
+                else:
+                    data = data and not html.startswith("<![CDATA[", lt)
+                    at = start = html.find(">", lt) + 1
                 continue
-            tag, attrs, closes = tag.lower(), m["attrs"] or m["attrs2"] or "", m["close"] or m["close2"]
+            m = TAG.match(html, lt) or (NEAR if broken else QUOTED).match(html, lt)
+            if m:
+                closes, tag, attrs = m.groups()
+                end = m.end()
+            else:
+                m = NAME.match(html, lt)
+                if not m:
+                    continue
+                broken = True
+                end = html.find(">", m.end()) + 1
+                closes, tag, attrs = m[1], m[2], html[m.end() : end - 1]
+            self.put(html[at:lt])
+            at = start = end
+            tag = tag.lower()
             block = tag in BLOCK
             if block:
-                flush()
+                self.flush()
             if closes:
-                if tag == "p" and not any(tags[i] == "p" for i in stack):
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    name = tags[stack[k]]
-                    if name == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if not block and name in BLOCK:  # an inline end tag reaches no further than its block
-                        break
-                    if name in ("table", "td", "article", "main", "body") and tag in ("p", "li", "a", "span"):
-                        break
-            elif tag == "br" or tag == "wbr":
-                if not dead:
-                    pieces.append((" " if tag == "br" else "", links > 0))
-            elif tag in VOID:
-                pass
-            else:
-                if block:
-                    for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                        name = tags[stack[k]]
-                        if name == "p" or (name in HEADINGS and tag in HEADINGS):
-                            while len(stack) > k:
-                                pop()
-                            break
-                        if name in BLOCK:
-                            break
-                if tag in ENDS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        name = tags[stack[k]]
-                        if name in ENDS[tag]:
-                            while len(stack) > k:
-                                pop()
-                            break
-                        if name in SCOPE[tag]:
-                            break
-                i = len(tags)
-                tags.append(tag)
-                parents.append(stack[-1])
-                stack.append(i)
-                grade = TEXT if dead else surrounds(tag, attrs, articles > 0)
-                if grade == OUT:
-                    dropped.add(i)
-                    dead += 1
-                elif grade:
-                    self.grades[i] = grade
-                links += tag == "a"
-                articles += tag in ("article", "main")
+                self.close(tag, block)
+            elif tag == "br":
+                self.put(" ")
+            elif tag not in VOID:
+                self.open(tag, attrs, block)
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-                    at = end.start() if end else n
+                    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                    at = start = found.start() if found else len(html)
                 elif attrs.rstrip().endswith("/") and not block and tag not in ("a", "span", "b", "i", "em", "strong"):
-                    pop()
-            k = len(stack) - 1
-            while k > 0 and tags[stack[k]] not in BLOCK:
-                k -= 1
-            owner = stack[k]
-        flush()
-
-    def above(self, i: int) -> list[int]:
-        """The element and its ancestors, nearest first."""
-        out = []
-        while i >= 0:
-            out.append(i)
-            i = self.parents[i]
-        return out
+                    self.pop_to(len(self.stack) - 1)
+        self.put(html[at:])
+        self.flush()
 
+    def put(self, text: str) -> None:
+        if text and not self.dropped:
+            self.pieces.append((text, self.links > 0))
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: blocks joined by line ends; empty if there is none. Null counts as empty."""
-    page = Page(html or "")
-    tags = page.tags
-    points: dict[int, float] = {}
-    own: dict[int, float] = {}
-    length: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    chains: dict[int, list[int]] = {}
-    gains = []
+
+def chosen_text(page: Page, least: int = 0) -> str:
+    """The blocks of a page that belong to its main text. Sums go up and marks go down the elements, each in one pass."""
+    tags, parents, n = page.tags, page.parents, len(page.tags)
+    length, linked, own, gains = [0] * n, [0] * n, [0.0] * n, []
     for i, text, in_links in page.runs:
-        chain = chains.get(i)
-        if chain is None:
-            chain = chains[i] = page.above(i)
         size = len(text)
         gains.append(0.0 if tags[i] in HEADINGS else (1 + text.count(",") + text.count("，") + text.count("、") + min(size / 100, 3.0)) * min(1.0, size / 25))
-        for k in chain:
-            length[k] = length.get(k, 0) + size
-            linked[k] = linked.get(k, 0) + in_links
-            if k in page.grades:
-                own[k] = own.get(k, 0.0) + gains[-1]
+        length[i] += size
+        linked[i] += in_links
+        own[i] += gains[-1]
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        length[p] += length[i]
+        linked[p] += linked[i]
+        own[p] += own[i]
 
     def density(k: int) -> float:
         return min(1.0, linked[k] / length[k])
@@ -255,45 +287,49 @@ def main_text(html: str | None) -> str:
     total = sum(gains)
     grades = {}
     for k, grade in page.grades.items():
-        rest = total - own.get(k, 0.0)
-        alone = rest <= 1e-9 and grade != LOW
-        if k in own and not (alone or (length[k] >= SHORT and own[k] * WEIGHS[grade] * (1 - density(k)) > rest)):
+        rest = total - own[k]
+        alone = rest <= 1e-9 and grade != LOW and length[k] >= least
+        if length[k] and not (alone or (length[k] >= SHORT and own[k] * WEIGHS[grade] * (1 - density(k)) > rest)):
             grades[k] = grade
-    lower = {i: [k for k in chain if k in grades] for i, chain in chains.items()} if grades else {}
 
+    share, graded, barred, nearest = [1.0] * n, [False] * n, [False] * n, [0] * n
+    for i in range(1, n):
+        p, grade = parents[i], grades.get(i, TEXT)
+        share[i] = share[p] * PASSES.get(grade, 1.0)
+        graded[i] = graded[p] or grade != TEXT
+        barred[i] = barred[p] or grade in (FORM, LOW)
+        nearest[i] = i if tags[i] in CONTAINERS else nearest[p]
+    gained, holds = [0.0] * n, [False] * n
     for (i, _, _), gain in zip(page.runs, gains):
-        for k in lower.get(i, ()):
-            gain *= PASSES[grades[k]]
-        level = 0
-        for k in chains[i]:
-            if tags[k] in CONTAINERS:
-                points[k] = points.get(k, 0.0) + (gain if level == 0 else gain / 2 if level == 1 else gain / (3 * level))
-                level += 1
+        gained[nearest[i]] += gain * share[i]
+        holds[nearest[i]] = True
+    for i in range(n - 1, 0, -1):
+        if holds[i]:
+            up = nearest[parents[i]]
+            gained[up] += gained[i] / 2
+            holds[up] = True
     # What holds nothing but surroundings can't be the text.
-    points = {k: v for k, v in points.items() if not any(g in grades and grades[g] != WEAK for g in page.above(k))} if grades else points
+    points = {k: gained[k] for k in range(n) if holds[k] and not barred[k]}
     if not points:
         return ""
 
     def worth(k: int) -> float:
         bonus = WORTH.get(tags[k], 0.0)
-        score = points.get(k, 0.0) + (min(bonus, 0.0) if grades and any(g in grades for g in page.above(k)) else bonus)
+        score = points[k] + (min(bonus, 0.0) if graded[k] else bonus)
         return score * (1 - density(k)) if score > 0 else score
 
-    best = max(points, key=lambda k: (worth(k), -k))
-    for k in page.above(best):
+    best = k = max(points, key=lambda k: (worth(k), -k))
+    while k >= 0:
         if tags[k] == "article" and k in points:
             best = k
-    top = worth(best)
-    parent = page.parents[best]
-    keeps: dict[int, bool] = {}
-    spared: dict[int, bool] = {}
+        k = parents[k]
+    top, parent = worth(best), parents[best]
+    page_wide = tags[best] in ("body", "html")
 
     def spare(k: int) -> bool:
         """Whether an element of a lower score within the text is kept: neither short nor made of links."""
-        if k not in spared:
-            least = 0.0 if grades[k] == WEAK and tags[best] not in ("body", "html") else 0.1 * total
-            spared[k] = grades[k] != LOW and length[k] >= SHORT and density(k) <= 0.33 and own[k] >= least
-        return spared[k]
+        enough = 0.0 if grades[k] == WEAK and not page_wide else 0.1 * total
+        return grades[k] != LOW and length[k] >= SHORT and density(k) <= 0.33 and own[k] >= enough
 
     def keep_sibling(s: int) -> bool:
         """Whether an element beside the best container belongs to the text."""
@@ -301,53 +337,50 @@ def main_text(html: str | None) -> str:
             return density(s) == 0 and s < best
         if tags[s] == "p":
             return (length[s] > 80 and density(s) < 0.25) or (density(s) == 0 and length[s] > 20)
-        gained = points.get(s, 0.0) / (PASSES[grades[s]] if grades.get(s) == WEAK and tags[s] == "section" else 1.0)
-        return gained * (1 - density(s)) >= max(10.0, 0.2 * top)
-
-    def keep_siblings() -> None:
-        """Those that belong to the text by themselves, then what lies between them, and lists next to them with their headings."""
-        row = dict.fromkeys(chain[at - 1] for chain in chains.values() if parent in chain and (at := chain.index(parent)))
-        row = sorted(row)
-        for s in row:
-            keeps[s] = s == best or (keep_sibling(s) and (s not in grades or spare(s)))
-        held = [j for j, s in enumerate(row) if keeps[s]]
-        for s in row[held[0] : held[-1]]:
-            keeps[s] = keeps[s] or (s not in grades and (tags[s] in LISTS or density(s) <= 0.6))
+        points_of = points.get(s, 0.0) / (PASSES[grades[s]] if grades.get(s) == WEAK and tags[s] == "section" else 1.0)
+        return points_of * (1 - density(s)) >= max(10.0, 0.2 * top)
+
+    keeps = {best}
+    if parent >= 0 and tags[best] not in ("article", "main", "body"):
+        # Those that belong to the text by themselves, then what lies between them, and lists next to them with their headings.
+        row = [i for i in range(parent + 1, n) if parents[i] == parent and length[i]]
+        held = [j for j, s in enumerate(row) if s == best or (keep_sibling(s) and (s not in grades or spare(s)))]
+        keeps.update(row[j] for j in held)
+        keeps.update(s for s in row[held[0] : held[-1]] if s not in grades and (tags[s] in LISTS or density(s) <= 0.6))
         for step, edge in ((1, held[-1]), (-1, held[0])):
             waiting = []
             j = edge + step
             while 0 <= j < len(row) and row[j] not in grades and density(row[j]) <= 0.6 and (tags[row[j]] in LISTS or tags[row[j]] in HEADINGS):
                 waiting.append(row[j])
                 if tags[row[j]] in LISTS:
-                    keeps.update(dict.fromkeys(waiting, True))
+                    keeps.update(waiting)
+                    waiting = []
                 j += step
 
     # Where the text is the whole page, boxes of links above its first heading or prose are menus.
-    first = next((i for i, text, in_links in page.runs if not in_links and (tags[i] in HEADINGS or len(text) >= 25)), len(tags)) if tags[best] in ("body", "html") else 0
-
-    def menu(i: int) -> bool:
-        return i < first and any(tags[k] in ("ul", "ol", "div", "section", "table") and density(k) > 0.6 for k in chains[i])
+    first = next((i for i, text, in_links in page.runs if not in_links and (tags[i] in HEADINGS or len(text) >= 25)), n) if page_wide else 0
+    wanted, menu = [i in keeps for i in range(n)], [False] * n
+    for i in range(1, n):
+        p = parents[i]
+        wanted[i] = wanted[i] or (wanted[p] and (i not in grades or spare(i)))
+        menu[i] = menu[p] or (tags[i] in ("ul", "ol", "div", "section", "table") and length[i] > 0 and density(i) > 0.6)
+    return "\n".join(text for i, text, _ in page.runs if wanted[i] and not (i < first and menu[i]))
 
-    if parent >= 0 and tags[best] not in ("article", "main", "body"):
-        keep_siblings()
 
-    def wanted(i: int) -> bool:
-        chain = chains[i]
-        if best in chain:
-            return all(spare(k) for k in chain[: chain.index(best)] if k in grades) and not menu(i)
-        if parent < 0 or parent not in chain or tags[best] in ("article", "main", "body"):
-            return False
-        s = chain[chain.index(parent) - 1] if chain.index(parent) else parent
-        return keeps.get(s, False) and all(spare(k) for k in chain[: chain.index(s)] if k in grades)
+def main_text(html: str | None) -> str:
+    """The main text of a page: blocks joined by line ends; empty if there is none. Null counts as empty.
 
-    return "\n".join(text for i, text, _ in page.runs if wanted(i))
+    A page without text outside what counts as surroundings is read again: then asides, headers, footers and hidden
+    elements may hold it, if they are long and not made of links. Long, deep and broken pages take time in proportion.
+    """
+    return chosen_text(Page(html or "")) or chosen_text(Page(html or "", lenient=True), SHORT)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per page: the columns of ``keep``, text and n_chars.
 
     Null html counts as empty and gives an empty text. Repeated rows give repeated rows; an empty table
-    gives none; other columns are ignored.
+    gives none; other columns are ignored. Pages of any length are read whole, in time and memory in proportion to it.
     """
     n = len(keep)
 

@@ -1,6 +1,7 @@
 """The parts that run inside tasks, without Spark, against brute force."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -235,3 +236,33 @@ def test_siblings_of_a_split_body_are_kept():
     page = f"<body><ul><li><a href=/>Home</a></ul>{long}<h2>Later</h2><p>Brief.</p>{links}<pre>x = 1</pre>{long}<h2>Last</h2><ul><li>item</ul><h2>More from us</h2></body>"
     part = [(PROSE * 3).strip()] * 3
     assert html_text.main_text(page).split("\n") == [*part, "Later", "Brief.", "One", "Two", "x = 1", *part, "Last", "item"]
+
+
+@pytest.mark.parametrize("unit", ["<div>x", '<a "', "<a ", "<b>x", "<a '\"", "</div>x", "<b><div></b>", "<li>x", "<td>x<tr>", "<!--", "<![CDATA[", "<a<b", "<ul><li>", "<table><p>", "<i></b>", '<a title="b>" ', "<section class='related'>ab, cd "])
+@pytest.mark.parametrize("end", ["", ">", "'>\"x<p>y</p>"])
+def test_long_broken_pages_take_linear_time(unit, end):
+    began = time.perf_counter()
+    html_text.main_text(unit * (1_000_000 // len(unit)) + end)
+    assert time.perf_counter() - began < 15
+
+
+def test_layouts_without_an_article_element():
+    story, want = f"<h1>T</h1><p>{PROSE * 3}</p><p>{PROSE * 2}</p>", f"T\n{(PROSE * 3).strip()}\n{(PROSE * 2).strip()}"
+    around = "<div class=topbar><a href=/>Home</a> <a href=/a>About</a></div>", "<div class=sidebar><h3>More</h3><ul><li><a href=/1>One more</a><li><a href=/2>And more</a></ul></div><div id=footer>Us, 2020</div>"
+    for box in ("div class=legal", "div class='post tags'", "td", "section", "div id=main-content", "blockquote", "center", "div role=main"):
+        tag = box.split()[0]
+        body = f"<{box}>{story}</{tag}>" if tag != "td" else f"<table><tr><td>{story}</td></tr></table>"
+        assert html_text.main_text(f"<body>{around[0]}{body}{around[1]}</body>") == want, box
+    assert html_text.main_text(f"<form id=aspnetForm><article>{story}</article></form>") == want
+    named = f"<article><section class=search-results-explained><p>{PROSE * 3}</p></section><section id=social><p>{PROSE * 2}</p></section></article>"
+    assert html_text.main_text(named) == want[2:]
+
+
+def test_text_only_within_surroundings():
+    for box in ("aside", "header", "footer", "div style='display:none'", "div role=complementary"):
+        assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><{box}><p>{PROSE * 3}</p></{box.split()[0]}></body>") == (PROSE * 3).strip()
+        assert html_text.main_text(f"<body><{box}>Us, 2020</{box.split()[0]}></body>") == ""
+
+
+def test_long_character_references():
+    assert html_text.main_text("<p>a&#" + "9" * 5000 + ";b &#x" + "f" * 5000 + "; &#0000000000065; &#x000000000041;") == "a�b � A A"

@@ -36,11 +36,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/orbitspark/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it: cuts lineage, survives lost executors.
-
-    ``batch_bytes`` bounds the Arrow batches that the write hands to Python, one row at least.
-    """
+def stash_at(df: DataFrame, name: str, batch_bytes: int | None = None) -> tuple[DataFrame, str]:
+    """``stash``, and the folder of the table."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(BATCH_BYTES)
     if batch_bytes:
@@ -49,17 +46,45 @@ def stash(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH_BYTES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it: cuts lineage, survives lost executors.
+
+    ``batch_bytes`` bounds the Arrow batches that the write hands to Python, one row at least.
+    """
+    return stash_at(df, name, batch_bytes)[0]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_stash(df: DataFrame) -> None:
     """Delete the folder behind a table made by ``stash`` once nothing reads it any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+class Scratch:
+    """The written tables of one operator; those that its result doesn't read are deleted when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def stash(self, df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+        out, path = stash_at(df, name, batch_bytes)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, but: list[DataFrame]) -> None:
+        for df, path in self.tables:
+            if not any(df is kept for kept in but):
+                drop_folder(self.spark, path)
+        self.tables = [(df, path) for df, path in self.tables if any(df is kept for kept in but)]
 
 
 def whole_text(text: str | Column = "text") -> Column:

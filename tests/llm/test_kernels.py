@@ -127,6 +127,18 @@ def test_lattice_sums_all_segmentations():
                 if x in prob:
                     total[pieces.index(x)] += q / z
     assert np.allclose(counts, total)
+    assert np.allclose(lattice.expected_counts(words, np.arange(5.0)), sum(k * lattice.expected_counts([w]) for k, w in enumerate(words)))
+
+
+def test_long_words_count_as_a_whole(monkeypatch):
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b" ab", b"ab", b"abc", b"bc", b"cab", b" c"})
+    lattice = lattice_lm.Lattice(pieces, np.log(np.random.default_rng(1).random(len(pieces) + 1)))
+    words = [b" " + b"abcab" * k for k in (1, 9, 30, 100)] + [b" ", b" b"]
+    marginals, counts = lattice.log_marginals(words), lattice.expected_counts(words, np.arange(1.0, 7.0))
+    for limit, block in ((0, 7), (0, 4096), (10**6, 4096)):
+        monkeypatch.setattr(lattice_lm, "LONG", limit)
+        monkeypatch.setattr(lattice_lm, "BLOCK", block)
+        assert np.allclose(lattice.log_marginals(words), marginals) and np.allclose(lattice.expected_counts(words, np.arange(1.0, 7.0)), counts)
 
 
 def shingles(text, width=5):

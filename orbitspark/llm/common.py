@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -97,25 +98,46 @@ def bucket_of_id(doc_id: str, buckets: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % buckets
 
 
-def hinted(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
-    """Broadcast ``df`` if its counted ``rows`` stay below ``most``; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if rows <= most else df
+#: Bytes up to which a table is broadcast.
+MOST_BROADCAST = 32 << 20
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Left join of ``rows`` with ``groups`` (one row a key, ``weight`` rows each in ``rows``) that stands hot keys.
+def bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes, whole strings and arrays counted."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((bytes_of(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(column, F.lit(24).cast("long"), lambda a, x: a + bytes_of(x, kind.elementType)), F.lit(24).cast("long"))
+    return F.lit(8).cast("long")
 
-    Groups with more than a thousandth of all rows number under 1000 whatever the input, so they
-    are broadcast; their rows get a key of their own each in the shuffled join of the others.
-    ``rows`` needs a unique column ``rid``. Columns of ``groups`` are null where a row has no group.
+
+def hinted(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Broadcast a written table whose bytes, all counted, stay within ``most``; otherwise leave the join to a shuffle."""
+    return F.broadcast(df) if fits(df, most) else df
+
+
+def fits(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    row = sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= most
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, inner: bool = False) -> DataFrame:
+    """Left (or inner) join of ``rows`` with ``groups`` (one row a key, ``weight`` rows each in ``rows``) that stands hot keys.
+
+    Groups with more than a thousandth of all ``total`` rows number under 1000 whatever the input, so they
+    are broadcast; the shuffled join of the others never sees their rows' keys. Columns of ``groups`` are
+    null where a row has no group.
     """
     limit = max(1000, total // 1000)
     values = [c for c in groups.columns if c != key]
     heavy = groups.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
-    light = groups.where(F.col(weight) <= limit).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"))
-    kind = rows.schema[key].dataType.simpleString()
-    own = F.concat(F.lit("#"), F.col("rid").cast("string")).cast(kind) if kind in ("string", "binary") else F.lit(None).cast(kind)
+    light = groups.where(F.col(weight) <= limit).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"), F.lit(0).cast("long").alias("_ls"))
     out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_k", F.when(F.col("_hv").isNull(), F.col(key)).otherwise(own))
-    out = out.join(light, F.col("_k") == F.col("_lk"), "left").withColumn("_v", F.coalesce("_hv", "_lv"))
+    # A row of a heavy group matches none of the light ones: its own number spreads such rows over all tasks.
+    out = out.withColumn("_s", F.when(F.col("_hv").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    out = out.join(light, (F.col(key) == F.col("_lk")) & (F.col("_s") == F.col("_ls")), "left").withColumn("_v", F.coalesce("_hv", "_lv"))
+    if inner:
+        out = out.where(F.col("_v").isNotNull())
     return out.select(*rows.columns, *(F.col("_v")[c].alias(c) for c in values))

@@ -165,7 +165,7 @@ def brute_overlaps(docs, bench, share=0.8):
         for item, b in bench:
             b = tokens(b)
             n = min(12, len(b))
-            if n < 5:
+            if not n:
                 continue
             need = int(np.ceil(share * n - 1e-9))
             for shift in range(-len(w), len(b)) if len(w) < 5000 else ():
@@ -187,14 +187,19 @@ def test_decontamination(spark, odd):
         cut = item[rng.integers(0, 3) : len(item) - rng.integers(0, 3)]
         words = [*rng.choice(vocabulary, rng.integers(0, 30)), *(w.upper() if k % 2 else w for w in cut), *rng.choice(vocabulary, rng.integers(0, 30))]
         docs.append((1000 + k, ("  " if k % 3 else ", ").join(words)))
+    docs += [(1998, bench[5][1].upper()), (1999, f"before {bench[5][1]} after")]
     table = spark.createDataFrame(bench, "item_id long, text string")
     for extra in (False, True):
         df = docs_of(spark, docs, extra)
-        got = {(str(r["doc_id"]), r["item_id"]) for r in decontaminate.find_overlaps(df, table).collect()}
         want = brute_overlaps(docs, bench)
-        assert got == want and len(want) > 40
+        for most_bytes in (None, 0):
+            got = {(str(r["doc_id"]), r["item_id"]) for r in decontaminate.find_overlaps(df, table, most_bytes=most_bytes).collect()}
+            assert got == want and len(want) > 40
+        sizes = {k: len(tokens(t)) for k, t in bench}
+        removed = {d for d, k in want if sizes[k] >= 5} | {str(i) for i, t in docs for _, b in bench if tokens(t) and tokens(t) == tokens(b)}
+        assert removed < {d for d, _ in want}
         clean = decontaminate.keep_clean(df, table)
-        assert clean.columns == df.columns and sorted(str(r["doc_id"]) for r in clean.select("doc_id").collect()) == sorted(str(i) for i, _ in docs if str(i) not in {d for d, _ in want})
+        assert clean.columns == df.columns and sorted(str(r["doc_id"]) for r in clean.select("doc_id").collect()) == sorted(str(i) for i, _ in docs if str(i) not in removed)
     assert decontaminate.find_overlaps(empty(spark), table).count() == 0
     assert decontaminate.find_overlaps(df, table.limit(0)).count() == 0
 
@@ -207,14 +212,14 @@ def test_decontamination_of_scripts_without_spaces(spark):
 
 
 def test_decontamination_of_every_length_and_substitution(spark):
-    """All substitutions and cuts at both ends of a document that leave 0.8 of an item of 5 to 12 words, and one more."""
+    """All substitutions and cuts at both ends of a document that leave 0.8 of an item of 1 to 12 words, and one more."""
     from itertools import combinations
 
-    bench = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(5, 13)]
+    bench = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(1, 13)]
     docs, around = [], " ".join(f"f{j}" for j in range(15))
     for n, text in bench:
         most = n - int(np.ceil(0.8 * n - 1e-9))
-        for changed in (c for k in range(most + 2) for c in combinations(range(n), k)):
+        for changed in (c for k in range(min(n, most + 2)) for c in combinations(range(n), k)):
             words = [f"other{j}" if j in changed else w for j, w in enumerate(text.split())]
             docs.append((f"{n} within {changed}", f"{around} {' '.join(words)} {around}"))
             first, last = next(j for j in range(n) if j not in changed), max(j for j in range(n) if j not in changed) + 1
@@ -226,6 +231,26 @@ def test_decontamination_of_every_length_and_substitution(spark):
     assert got == want == brute_overlaps(docs, bench) and len(want) > 700
 
 
+def test_decontamination_with_a_long_item(spark):
+    """An item of 20,000 words takes as many seeds as words, each with a neighbourhood and not with the whole item."""
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in rng.integers(0, 9000, 20_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "three small words")], "item_id int, text string")
+    docs = [(k, " ".join(["lead"] * 5 + words[a : a + 12] + ["tail"] * 5)) for k, a in enumerate((0, 7777, 19_988))] + [(9, " ".join(words[100:109])), (10, "Three small words!")]
+    got = decontaminate.find_overlaps(docs_of(spark, docs), bench)
+    assert sorted((r["doc_id"], r["item_id"], r["words"], r["item_words"]) for r in got.collect()) == [(0, 1, 12, 20_000), (1, 1, 12, 20_000), (2, 1, 12, 20_000), (10, 2, 3, 3)]
+
+
+def test_decontamination_of_a_hot_passage(spark):
+    """One passage in a third of the documents, with the join shuffled and salted."""
+    rng = np.random.default_rng(9)
+    item = " ".join(f"q{j}" for j in range(30))
+    docs = [(k, random_text(rng, 30) + " " + (item if k % 3 == 0 else "")) for k in range(3000)]
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    assert {r["doc_id"] for r in decontaminate.find_overlaps(docs_of(spark, docs), bench, most_bytes=0).collect()} == set(range(0, 3000, 3))
+    assert decontaminate.keep_clean(docs_of(spark, docs), bench).count() == 2000
+
+
 def shingles(text):
     w = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

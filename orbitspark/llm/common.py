@@ -63,11 +63,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the folder behind a table made by ``stash`` once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        drop_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 class Scratch:
@@ -81,6 +79,12 @@ class Scratch:
         self.tables.append((out, path))
         return out
 
+    def discard(self, df: DataFrame) -> None:
+        for other, path in self.tables:
+            if other is df:
+                drop_folder(self.spark, path)
+        self.tables = [(other, path) for other, path in self.tables if other is not df]
+
     def drop(self, but: list[DataFrame]) -> None:
         for df, path in self.tables:
             if not any(df is kept for kept in but):
@@ -98,6 +102,8 @@ def bucket_of_id(doc_id: str, buckets: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % buckets
 
 
+#: Rows up to which no group counts as hot.
+LIGHT = 1000
 #: Bytes up to which a table is broadcast.
 MOST_BROADCAST = 32 << 20
 
@@ -130,7 +136,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total
     are broadcast; the shuffled join of the others never sees their rows' keys. Columns of ``groups`` are
     null where a row has no group.
     """
-    limit = max(1000, total // 1000)
+    limit = max(LIGHT, total // 1000)
     values = [c for c in groups.columns if c != key]
     heavy = groups.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
     light = groups.where(F.col(weight) <= limit).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"), F.lit(0).cast("long").alias("_ls"))

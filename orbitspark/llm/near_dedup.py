@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import hinted, join_groups, stash, whole_text
+from orbitspark.llm.common import Scratch, hinted, join_groups, whole_text
 from orbitspark.llm.components import connected_components
 from orbitspark.llm.vocab import ChunkTable, cut_words, slices, trim
 
 U = np.uint64
 #: Bytes of text whose sets a task makes at once, and of an Arrow batch.
 SLICE, BATCH = 3_000_000, 12_000_000
+#: Classes of a bucket, and pairs of one class, that meet in one task.
+SPLIT = 500
 #: Bits of a symbol; four symbols, each with a free bit above it, make a chunk of 60 bits.
 BITS, PER_CHUNK, MISS = 14, 4, 1e-5
 LANES = sum(((1 << BITS) - 1) << (BITS + 1) * i for i in range(PER_CHUNK))
@@ -104,7 +106,7 @@ def shingler(width: int) -> Shingler:
     return _SHINGLERS[width]
 
 
-def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Per row: rid, id, n (set size), key (of the set), text hash, sig (m chunks; empty for an empty set)."""
     import xxhash
 
@@ -131,7 +133,7 @@ def signature_table(docs: DataFrame, m: int, width: int, id_col: str, text_col:
 
     text = whole_text(text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return stash(plain.mapInArrow(run, "rid long, id long, h long, n long, key binary, sig array<long>"), "signatures", BATCH)
+    return scratch.stash(plain.mapInArrow(run, "rid long, id long, h long, n long, key binary, sig array<long>"), "signatures", BATCH)
 
 
 def index_keys(sig: Column, m: int) -> Column:
@@ -172,7 +174,7 @@ def without_lone(sets: DataFrame, percent: int) -> DataFrame:
     return out.where(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("cid", "n", "m")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Whole shingle sets of the wanted classes (cid, id, h), one row a class."""
 
     def run(batches):
@@ -186,20 +188,52 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["cid", "set"])
         trim()
 
-    wanted = stash(wanted.distinct(), "wanted")
+    wanted = scratch.stash(wanted.distinct(), "wanted")
     text = whole_text(text_col)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    w = hinted(wanted, wanted.count()).alias("w")
+    w = hinted(wanted).alias("w")
     met = plain.join(w, F.col("w.id").eqNullSafe(plain["id"]) & (F.col("w.h") == plain["h"])).select("w.cid", plain["text"])
-    return stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets", BATCH)
+    return scratch.stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets", BATCH)
 
 
-def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) whose whole sets are similar enough. The set of a class in many pairs goes to several tasks."""
+    often = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    salts = F.ceil(F.col("pairs") / SPLIT).cast("long")
+    dealt = join_groups(pairs, often, "a", "pairs", total, inner=True).withColumn("salt", F.pmod(F.xxhash64("b"), salts))
+    x = sets.join(often, F.col("cid") == F.col("a")).select(F.col("a").alias("_a"), F.col("set").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    met = dealt.join(x, (F.col("a") == F.col("_a")) & (F.col("salt") == F.col("_salt"))).join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where(F.lit(100) * both >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+
+
+def bucket_pairs(apart: DataFrame, may: Column, m: int, total: int, split: int | None = None) -> DataFrame:
+    """Pairs of classes of one bucket, of different components, that may be similar, each at its first common key.
+
+    A bucket of more than ``split`` classes is cut into blocks; each two blocks meet in a task of their own.
+    """
+    split = split or SPLIT
+    crowd = apart.groupBy("bucket").agg(F.count("*").alias("size"))
+    rows = join_groups(apart, crowd, "bucket", "size", total, inner=True).withColumn("blocks", F.ceil(F.col("size") / split).cast("long")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+
+    def side(k: str) -> DataFrame:
+        mine, other = ("i", "j") if k == "a" else ("j", "i")
+        columns = (F.col(c).alias(f"{k}_{c}") for c in ("bucket", "slot", "comp", "n", "m", "sig"))
+        return rows.select(F.col("cid").alias(k), *columns, F.col("block").alias(f"{k}_{mine}"), every.alias(f"{k}_{other}"))
+
+    same_task = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j"))
+    return side("a").join(side("b"), same_task & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & may & (F.col("a_slot") == first_key(F.col("a_sig"), F.col("b_sig"), m))).select("a", "b", "a_n", "b_n")
+
+
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """One row a document: rid, id, h (text hash), n (set size), and of a document with a group its ``first``: smallest id of the component, its row and its text hash."""
     m = chunks_for(percent / 100)
     most = 2 * m - 1
-    rows = signature_table(docs, m, width, id_col, text_col)
+    stash = scratch.stash
+    rows = signature_table(docs, m, width, id_col, text_col, scratch)
     total = rows.count()
+    in_buckets = total * m * PER_CHUNK
     full = rows.where("n > 0")
     classes = full.groupBy("key").agg(F.min(F.struct("id", "rid")).alias("rep"), F.count("*").alias("copies"))
     classes = full.join(classes.select(F.col("rep.rid").alias("rid"), "copies"), "rid").select(F.col("rid").alias("cid"), "id", "h", "n", "key", "sig", "copies")
@@ -207,19 +241,19 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
 
     plain = classes.select("cid", "id", "h", "n", "sig")
     entries = classes.select("cid", F.posexplode(index_keys(F.col("sig"), m)).alias("slot", "bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    shared = stash(entries.join(crowded, "bucket").select("bucket", "slot", "cid"), "buckets")
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stash(join_groups(entries, crowded, "bucket", "size", in_buckets, inner=True).select("bucket", "slot", "cid"), "buckets")
     wanted = shared.select("cid").distinct()
-    sets = set_table(docs, plain.join(wanted, "cid").select("cid", "id", "h"), width, id_col, text_col)
+    sets = set_table(docs, plain.join(wanted, "cid").select("cid", "id", "h"), width, id_col, text_col, scratch)
     # A class that is ruled out holds nothing for the others: what is left is counted again.
     able = stash(without_lone(sets, percent), "able")
     for _ in range(2):
-        sets = stash(sets.join(hinted(able.select("cid"), able.count()), "cid", "left_semi"), "sets")
+        sets = stash(sets.join(hinted(able.select("cid")), "cid", "left_semi"), "sets")
         able = stash(without_lone(sets, percent), "able")
     able = stash(able.join(plain.select("cid", "sig"), "cid"), "able")
     members = shared.join(able.select("cid", (1 - F.col("m") / F.col("n")).alias("own")), "cid")
-    leaders = members.groupBy("bucket").agg(F.min_by("cid", "own").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    shared = stash(members.join(leaders, "bucket").select("bucket", "slot", "cid", "leader"), "buckets")
+    leaders = members.groupBy("bucket").agg(F.min_by("cid", "own").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    shared = stash(join_groups(members, leaders, "bucket", "size", in_buckets, inner=True).select("bucket", "slot", "cid", "leader"), "buckets")
 
     def side(name: str) -> DataFrame:
         return able.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "m", "sig")))
@@ -228,34 +262,28 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     most_shared = F.least("a_m", "b_m")
     may = (F.lit(100) * most_shared >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - most_shared)) & (distance(F.col("a_sig"), F.col("b_sig"), m) <= most)
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return stash(met.where(F.lit(100) * both >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b"), name)
-
-    first = shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    first = stash(first.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_n", "b_n"), "pairs")
-    links = confirm(first, "links")
-    comps = stash(connected_components(links), "comps")
+    led = shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    often = led.groupBy("a").agg(F.count("*").alias("pairs"))
+    leading = join_groups(led, often.join(side("a"), "a"), "a", "pairs", total, inner=True)
+    first = stash(leading.join(side("b"), "b").where(may).select("a", "b", "a_n", "b_n"), "pairs")
+    links = stash(confirm(first, sets, percent, total), "links")
+    comps = stash(connected_components(links, scratch=scratch), "comps")
 
     # What is still apart within a bucket: pairs of different components, but those already compared.
     placed = shared.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    apart = stash(placed.join(mixed_buckets, "bucket").where("cid <> leader").select("bucket", "slot", "cid", "comp").join(able, "cid"), "apart")
-    x, y = (apart.select("bucket", "slot", F.col("cid").alias(k), F.col("comp").alias(f"{k}_comp"), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "m", "sig"))) for k in "ab")
-    second = x.join(
-        y.drop("slot").withColumnRenamed("bucket", "_bucket"),
-        (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & may & (F.col("slot") == first_key(F.col("a_sig"), F.col("b_sig"), m)),
-    )
-    second = stash(second.select("a", "b", "a_n", "b_n"), "pairs")
+    mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    apart = join_groups(placed.where("cid <> leader"), mixed_buckets, "bucket", "size", in_buckets, inner=True)
+    apart = stash(apart.select("bucket", "slot", "cid", "comp").join(able, "cid"), "apart")
+    second = stash(bucket_pairs(apart, may, m, in_buckets), "pairs")
     if not second.isEmpty():
-        links = links.unionByName(confirm(second, "links"))
-        comps = stash(connected_components(links), "comps")
+        links = links.unionByName(confirm(second, sets, percent, total))
+        comps = stash(connected_components(links, scratch=scratch), "comps")
 
     placed = classes.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
     placed = placed.where("copies > 1 or comp is not null").select("key", "id", "cid", "h", "copies", F.coalesce("comp", "cid").alias("comp"))
-    lowest = placed.groupBy("comp").agg(F.min(F.struct("id", "cid", "h")).alias("first"))
-    known = stash(placed.join(lowest, "comp").select("key", "copies", "first"), "placed")
+    members_of = placed.groupBy("comp").agg(F.min(F.struct("id", "cid", "h")).alias("first"), F.count("*").alias("members"))
+    known = stash(join_groups(placed, members_of, "comp", "members", total, inner=True).select("key", "copies", "first"), "placed")
+    scratch.drop(but=[rows, known])
     return join_groups(rows.select("rid", "id", "h", "n", "key"), known, "key", "copies", total).withColumn("first", F.when(F.col("n") > 0, F.col("first")))
 
 
@@ -268,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
     copies of each other: all have the same component. ``component_id`` is the smallest id of the
     component. An empty table gives an empty table; other columns are ignored.
     """
-    out = grouped(docs, percent, width, id_col, text_col)
+    out = grouped(docs, percent, width, id_col, text_col, Scratch(docs.sparkSession))
     component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -278,18 +306,20 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
 
     Of repeated rows that share id and text one stays; documents without words all stay.
     """
-    rows = grouped(docs, percent, width, id_col, text_col).where("first is not null and first.cid <> rid")
+    scratch = Scratch(docs.sparkSession)
+    rows = grouped(docs, percent, width, id_col, text_col, scratch).where("first is not null and first.cid <> rid")
     again = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
-    gone = stash(rows.select(F.col("id").alias("_gone"), F.col("h").alias("_hash"), again.alias("_again")).distinct(), "gone")
+    gone = scratch.stash(rows.select(F.col("id").alias("_gone"), F.col("h").alias("_hash"), again.alias("_again")).distinct(), "gone")
+    scratch.drop(but=[gone])
 
     def meets(side: DataFrame):
         return docs[id_col].eqNullSafe(side["_gone"]) & (F.xxhash64(whole_text(docs[text_col])) == side["_hash"])
 
     others, repeated = gone.where("not _again"), gone.where("_again")
-    others = hinted(others, others.count())
+    others = hinted(others)
     if repeated.isEmpty():
         return docs.join(others, meets(others), "left_anti")
-    repeated = hinted(repeated, repeated.count())
+    repeated = hinted(repeated)
     once = docs.join(repeated, meets(repeated), "left_semi").dropDuplicates([id_col, text_col])
     rest = docs.join(repeated, meets(repeated), "left_anti")
     return rest.join(others, meets(others), "left_anti").unionByName(once)

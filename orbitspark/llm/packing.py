@@ -69,10 +69,12 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int
         run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, k long, ids array<long>, part int"
     )
     pieces = stash(pieces, "pieces", BATCH)
-    # One row a bucket and partition of the input: the first sequence number of each.
+    # One row a length and partition of the input: the first sequence number of each. Lengths, thirteen at most, are summed apart.
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.groupBy("length").agg(F.sum("n").alias("n")).select(F.col("length").alias("of"), F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("base"))
+    firsts = counts.join(F.broadcast(bases), F.col("length") == F.col("of")).select("length", "part", (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
     out = pieces.join(firsts, ["length", "part"])
     return out.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else [])

@@ -101,6 +101,8 @@ def parse_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 0, max_ids: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all whole texts, append ``end_id`` to each, write files into ``folder``; returns file, n_ids, n_docs.
 
+    ``folder`` is a URI of a file system that pyarrow knows (file, hdfs, s3, gs); the reader takes any that Spark knows. Ids are whole numbers.
+
     Null text counts as empty (the end id alone). Documents go in ascending id, a null id first; rows
     of equal ids in the order of their text's hash. An empty table writes no file.
     """
@@ -143,8 +145,11 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, with
                     names=["file", "id", "local", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
+    # Files are numbered within their writer's partition; only the sums of those are ordered in one task, a row a partition.
+    parts = manifest.withColumn("part", F.substring_index("file", "-", 2))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = parts.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("base"))
+    firsts = parts.join(bases, "part").select("file", (F.col("base") + before(Window.partitionBy("part").orderBy("file"))).alias("first"))
     if manifest.isEmpty():
         files = spark.createDataFrame([], "path string, content binary")
     else:

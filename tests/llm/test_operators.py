@@ -103,6 +103,7 @@ def test_sharding(spark, odd, odd_docs):
     rows = sharding.histogram_shards(odd_docs, 4).collect()
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in odd)
     sizes, share, largest = shard_laws(rows, 4, odd)
+    assert max(abs(s - share) for s in sizes) <= 2 * (0.001 * share + largest)
     assert sharding.histogram_shards(empty(spark)).count() == 0
     assert sharding.histogram_shards(docs_of(spark, [(1, "a")]), 8).first()["slot"] == 0
 
@@ -152,6 +153,36 @@ def test_exact_dedup_of_a_hot_group(spark):
     assert got.where("keep_id = 0 and group_size = 1500").count() == 1500 and got.where("kept").count() == 3001
 
 
+def test_exact_dedup_of_hot_groups_without_a_broadcast(spark, odd, odd_docs, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 4)
+    rows = [*odd, *((10_000 + i, "same  text" if i % 3 == 0 else f"text {i % 50}") for i in range(900))]
+    for digest in (lambda text: F.sha2(text, 256), lambda text: F.substring(F.sha2(text, 256), 1, 1)):
+        out = exact_dedup.exact_duplicates(docs_of(spark, rows, True).repartition(5), digest, most_bytes=0).collect()
+        want, groups = brute_dedup(rows)
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in out) == want and sum(r["kept"] for r in out) == groups
+
+
+def test_exact_dedup_of_later_arrivals(spark, odd):
+    """The same store takes a second and a third batch: the state goes on, and earlier rows may lose to later ones of a smaller id."""
+    store, seen = common.new_path(spark, "store"), []
+    for batch in (odd[10:], odd[:10] + [(-100, odd[20][1]), (5, odd[5][1]), (200, "new")], [], [(201, "new"), (-200, None)]):
+        seen += batch
+        out = exact_dedup.exact_duplicates(docs_of(spark, batch) if batch else empty(spark), store=store).collect()
+        want, groups = brute_dedup(seen)
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in out) == want and sum(r["kept"] for r in out) == groups
+    assert spark.conf.get(f"{exact_dedup.STORE}.rocksdb.maxMemoryUsageMB", None) is None
+
+
+def test_join_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "LIGHT", 10)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 100, k) for k in range(400)] + [(None, -1), (999, -2)], "key long, v long")
+    groups = rows.where("key is not null and key <> 999").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    want = {r["key"]: (r["n"], r["low"]) for r in groups.collect()}
+    got = common.join_groups(rows, groups, "key", "n", 402).collect()
+    assert len(got) == 402 and all((r["n"], r["low"]) == want.get(r["key"], (None, None)) for r in got)
+    assert common.join_groups(rows, groups, "key", "n", 402, inner=True).count() == 400
+
+
 def tokens(text):
     import re
 
@@ -298,6 +329,21 @@ def test_near_duplicates(spark, near_rows):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0 and near_dedup.keep_one_of_each(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_hot_groups(spark, near_rows, monkeypatch):
+    """Buckets, leaders and hubs split into several tasks give the same result."""
+    monkeypatch.setattr(common, "LIGHT", 4)
+    monkeypatch.setattr(near_dedup, "SPLIT", 3)
+    low, sizes = brute_components(near_rows, 85)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in near_dedup.near_duplicates(docs_of(spark, near_rows).repartition(4)).collect())
+    assert got == sorted((str(i), n, str(c[1] if c[0] else None)) for (i, _), n, c in zip(near_rows, sizes, low))
+
+
+def test_components_of_a_hub(spark):
+    links = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(6000, 9000).select(F.col("id").alias("a"), F.lit(9000).cast("long").alias("b")))
+    got = components.connected_components(links).groupBy("comp").count().collect()
+    assert sorted((r["comp"], r["count"]) for r in got) == [(0, 5000), (6000, 3001)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(k, k + 1) for k in range(400, 460)] + [(500, 600 + k) for k in range(50)]

@@ -178,6 +178,20 @@ def test_bradley_terry_separates():
     assert len(quality.features("")) == len(quality.features("a | b $$$ C")) == len(quality.NAMES)
 
 
+def test_hashed_features_of_words():
+    words = [b"a", b"abc", "né".encode(), b"abc"[::-1]]
+    flat, lens = quality.grams(words)
+    assert lens.tolist() == [2 * len(w) + 1 for w in words] and flat.min() >= 0 and flat.max() < quality.WIDTH
+    parts = np.split(flat, np.cumsum(lens)[:-1])
+    for w, part in zip(words, parts):  # one word alone has the same features
+        assert (quality.grams([w])[0] == part).all()
+    assert sorted(parts[1][3:6]) == sorted(parts[3][3:6]) and parts[1][-1] != parts[3][-1]
+    texts = pa.array(["a abc a", "", "né  abc"])
+    got = quality.shares(texts)
+    want = [2 * np.bincount(parts[0], minlength=quality.WIDTH) + np.bincount(parts[1], minlength=quality.WIDTH), np.zeros(quality.WIDTH), np.bincount(np.concatenate([parts[1], parts[2]]), minlength=quality.WIDTH)]
+    assert (got[:, :-1] == np.array(want)).all() and got[:, -1].tolist() == [13, 0, 14]
+
+
 PAGES = [
     ("<html><body><nav><a href=/>Home</a></nav><article><h1>Title &amp; more</h1><p>One,  two&nbsp;three.<p>Four <b>five</b><br>six</article><footer>foot</footer></body></html>", "Title & more\nOne, two three.\nFour five six"),
     ('<body><div class="ad">Buy now, buy</div><div id="content"><h2>Head</h2><p>Prose with, commas, and enough words to be counted as text here.</p><ul><li>first item</li><li>second</li></ul></div><div class="comments"><p>I say, this is a long comment, really long, with commas.</p></div></body>', "Head\nProse with, commas, and enough words to be counted as text here.\nfirst item\nsecond"),

@@ -439,6 +439,30 @@ def test_quality(spark, odd_docs):
     assert sum(a[i] != b[i] for i in a) <= 0.005 * len(a)
 
 
+def test_quality_score_is_the_logistic_of_the_feature_sum(spark, odd_docs):
+    """The values by word, summed in slices, against the feature vector of each whole text."""
+    import pyarrow as pa
+
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = [r["text"] or "" for r in docs.limit(50).collect()] + [r["text"] or "" for r in odd_docs.collect()] + ["x"]
+    counts = quality.shares(pa.array(texts))
+    x = np.array([quality.features(t) for t in texts])
+    linear = ((counts[:, :-1] @ model["gram"]) - counts[:, -1] * model["usual"]) / (counts[:, -1] + quality.PRIOR) - model["least"]
+    want = 1 / (1 + np.exp(-np.clip(quality.standard(x, model["mean"], model["scale"]) @ model["w"] + linear + model["shift"], -30, 30)))
+    assert np.allclose(quality.worths(model, pa.array(texts)), want) and model["gram"].any()
+
+
+def test_quality_labels_that_repeat_or_contradict(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["quality"], r["toxic"]) for r in labels.collect()]
+    extra = spark.createDataFrame([(10**9, 0, 0), (10**9, 1, 0), (None, 1, 0), (rows[0][0], None, 0)] + rows * 2, labels.schema)
+    more = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(10**9).cast("long")))
+    a, b = (quality.score_documents(docs, quality.train(d, t)) for d, t in ((docs, labels), (more, extra)))
+    a, b = ({r["doc_id"]: r["score"] for r in x.collect()} for x in (a, b))
+    assert all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>Hello, &lt;b&gt;</article>"), (2, None, None), (3, "v", ""), (1, "u", "<article><p>Hello, &lt;b&gt;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -27,7 +27,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words longer than this (in bytes, with the space) run alone, ``BLOCK`` positions at a time, the others in groups of equal length.
 LONG, BLOCK = 48, 4096
 #: Bytes of text in a slice, and of an Arrow batch.
-SLICE, BATCH = 4_000_000, 12_000_000
+SLICE, BATCH = 8_000_000, 16_000_000
 
 
 def vocabulary_pieces(name: str) -> tuple[list[bytes], np.ndarray]:
@@ -278,12 +278,29 @@ def word_scores(words: DataFrame, pieces: list[bytes], log_p: np.ndarray) -> Dat
         lattice = Lattice(*model.value)
         for batch in batches:
             by_piece = lattice.log_marginals([b" " + w for w in batch.column(0).to_pylist()]) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(by_piece)], names=["word", "c", "by_piece"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(by_piece)], names=["word", "c", "slices", "by_piece"])
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, by_piece double")
+    return words.select("word", "c", "slices").mapInArrow(run, "word binary, c long, slices long, by_piece double")
 
 
-def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k.model", rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def most_common(scored: DataFrame, most: int) -> tuple[DataFrame, dict[bytes, tuple[int, float]]]:
+    """The words held by the most slices, ``most`` of them at most, and what is known of each.
+
+    The cut is found from a histogram of a few hundred steps.
+    """
+    step = F.floor(F.log2("slices") * 8).cast("int")
+    taken, least = 0, 1 << 30
+    for r in scored.where("slices > 1").groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["s"]
+    top = scored.where("slices > 1").where(step >= least)
+    rows = top.select("word", "c", "by_piece").toPandas()
+    return top.select("word"), {bytes(w): (c, p) for w, c, p in zip(rows["word"], rows["c"], rows["by_piece"])}
+
+
+def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k.model", rounds: int = 3, frequent: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all ``docs`` with a subword lattice and a smoothed word-unigram base, both learnt from the rows where ``train`` holds.
 
     Returns id, held_out (``train`` does not hold), n_tokens (words and one end), n_known, train_tokens,
@@ -293,12 +310,13 @@ def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k
     scores; other columns are ignored. With no training rows no token is known and the pieces keep their first
     weights. An empty table gives an empty table. Words of any length count as a whole.
 
-    A slice sends each of its distinct words once, so no word is more than one row a slice in any shuffle.
+    A slice sends each of its distinct words once, so no word is more than one row a slice in any shuffle. Values of
+    the words that most slices hold, ``frequent`` at most, ride along with the tasks (a fixed bound) instead of being joined.
     """
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), whole_text(text_col).alias("text"))
     cut = scratch.stash(cut_texts(plain), "slices", BATCH)
-    counts = cut.select(F.explode(F.arrays_zip("words", "trained")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c"))
+    counts = cut.select(F.explode(F.arrays_zip("words", "trained")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c"), F.count("*").alias("slices"))
     counts = scratch.stash(counts, "word-counts")
     seen, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_texts = cut.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
@@ -309,17 +327,21 @@ def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k
     known_end = 1 if n_texts else 0
 
     scored = scratch.stash(word_scores(counts, *train_pieces(counts.where("c > 0"), vocabulary, rounds)), "word-scores")
-    asked = cut.select(F.col("slice").alias("slice"), F.posexplode("words").alias("pos", "word"))
-    values = asked.join(scored, "word").select("slice", "pos", F.log10(F.col("c") + F.lit(0.5)).alias("base"), (F.col("c") > 0).alias("known"), "by_piece")
+    top, known_words = most_common(scored, frequent)
+    common = docs.sparkSession.sparkContext.broadcast(known_words)
+    asked = cut.select(F.col("slice").alias("slice"), F.posexplode("words").alias("pos", "word")).join(F.broadcast(top), "word", "left_anti")
+    values = asked.join(scored, "word").select("slice", "pos", "c", "by_piece")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         row = left.combine_chunks()
-        flat = {c: row.column(c).chunk(0).flatten() for c in ("ids", "held", "counts", "ends", "at", "times")}
-        order = right.column("pos").to_numpy()
-        of_word = np.zeros((len(order), 3))
-        for k, c in enumerate(("base", "known", "by_piece")):
-            of_word[order, k] = right.column(c).to_numpy()
+        flat = {c: row.column(c).chunk(0).flatten() for c in ("ids", "held", "counts", "ends", "at", "times", "words")}
+        shared, nothing = common.value, (0.0, 0.0)
+        of_word = np.array([shared.get(w, nothing) for w in flat["words"].to_pylist()], float).reshape(-1, 2)
+        asked = right.column("pos").to_numpy()
+        for k, c in enumerate(("c", "by_piece")):
+            of_word[asked, k] = right.column(c).to_numpy()
+        of_word = np.column_stack([np.log10(of_word[:, 0] + 0.5), of_word[:, 0] > 0, of_word[:, 1]])
         at, times, counts = flat["at"].to_numpy(), flat["times"].to_numpy(), flat["counts"].to_numpy()
         sums = per_text(of_word[at] * times[:, None], np.diff(flat["ends"].to_numpy(), prepend=0))
         n = counts + 1
@@ -331,7 +353,7 @@ def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k
         )
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    texts = cut.select(F.col("slice").alias("of"), "ids", "held", "counts", "ends", "at", "times")
+    texts = cut.select(F.col("slice").alias("of"), "ids", "held", "counts", "ends", "at", "times", "words")
     out = scratch.stash(texts.groupBy("of").cogroup(values.groupBy("slice")).applyInArrow(finish, schema), "lattice-scores", BATCH)
     scratch.drop(but=[out])
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -365,7 +365,7 @@ def test_components(spark):
 
 def test_lattice_scores(spark, odd, odd_docs):
     train = common.bucket_of_id("doc_id") != 1
-    got = lattice_lm.score_texts(odd_docs, train).collect()
+    got = lattice_lm.score_texts(odd_docs, train, frequent=8).collect()
     words = lambda t: (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     c = collections.Counter()
@@ -417,8 +417,9 @@ def test_lattice_score_is_the_sum_over_all_segmentations(spark):
         prob, end = normal(use, 0.01 + sum(counts.values()))
     ends = (len(learn) + 0.5) / (sum(counts.values()) + len(learn) + 1)
     want = sorted((i, round(sum(math.log10(end * sum(math.prod(prob[x] for x in s) for s in segmentations(b" " + w))) + math.log10(1 - ends) for w in words(t)) + math.log10(ends), 6)) for i, t in texts)
-    got = lattice_lm.score_texts(docs_of(spark, texts, True).repartition(3), common.bucket_of_id("doc_id") != 1, rounds=2)
-    assert sorted((r["doc_id"], round(r["score"], 6)) for r in got.collect()) == want
+    for frequent in (0, 3, 1000):
+        got = lattice_lm.score_texts(docs_of(spark, texts, True).repartition(3), common.bucket_of_id("doc_id") != 1, rounds=2, frequent=frequent)
+        assert sorted((r["doc_id"], round(r["score"], 6)) for r in got.collect()) == want
 
 
 def test_quality(spark, odd_docs):

@@ -1,17 +1,22 @@
-"""Command line: check, ingest, verify, compare. Refusals end with their exit code."""
+"""Command line: check, prepare, ingest, verify, export, report, visual-check, media, view, compare. Refusals end with their exit code."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from orbitspark.errors import ConditionsDiffer, PackageBroken, Refusal
-from orbitspark.functions.text import report
+from orbitspark.errors import ConditionsDiffer, InputUnusable, MissingOrForeign, PackageBroken, Refusal
+from orbitspark.functions.text import full_report, report
+from orbitspark.operators import cloud as cl
+from orbitspark.operators import results as rs
+from orbitspark.operators import scenes
 from orbitspark.operators import runs as rn
 from orbitspark.plans import pipelines
-from orbitspark.sources import checksums, ply, sparse_model, video
+from orbitspark.sources import checksums, ply, run_folders, sparse_model, video
 
 
 def _check(spark, args):
@@ -30,6 +35,85 @@ def _ingest(spark, args):
     return 0
 
 
+def _prepare(spark, args):
+    """Selects from a table of candidates (run_id, src_index, timestamp_us, sharpness, path) and packs the selected frames."""
+    candidates = spark.read.parquet(args.candidates)
+    fate = pipelines.prepare(candidates.drop("path"), budget=args.budget, selector=args.selector, min_frames=args.min_frames)
+    totals = run_folders.build_package(fate, candidates.select("src_index", "path"), args.package, {"run_id": candidates.first()["run_id"], "frame_budget": args.budget, "selector": args.selector})
+    print(totals)
+    return 0
+
+
+def _export(spark, args):
+    print(run_folders.export_cloud(spark, args.run, args.out, args.force))
+    return 0
+
+
+def _optional(spark, path):
+    try:
+        return run_folders.read_json(spark, path)
+    except MissingOrForeign as e:
+        return {"missing": str(e)}
+
+
+def _report(spark, args):
+    manifest = run_folders.find_run(spark, args.run)
+    diagnostics, cameras = (_optional(spark, f"{args.run}/{p}") for p in (run_folders.DIAGNOSTICS, run_folders.CAMERAS))
+    status = _optional(spark, f"{args.run}/{run_folders.STATUS}")
+    of = lambda doc, key: doc if "missing" in doc else doc.get(key)
+    documents = {
+        "Status": status if "missing" not in status else None, "Conventions": of(cameras, "conventions"), "Alignment": of(cameras, "world_alignment"), "Input": manifest.get("input"), "Integrity": manifest.get("integrity"),
+        "Assumptions": manifest.get("assumptions"), "Frames": of(diagnostics, "frames"), "Reconstruction": of(diagnostics, "cameras"), "Measures": of(diagnostics, "points"), "Visual check": of(diagnostics, "visual_check"),
+        "Limits": of(diagnostics, "interpretation_limits"), "Reproduction": {k: manifest.get(k) for k in ("code_id", "seed", "params")},
+    }
+    text = full_report(manifest["run_id"], documents)
+    if args.out:
+        run_folders.write_text(spark, args.out, text, overwrite=True)
+    print(text)
+    return 0
+
+
+def _visual_check(spark, args):
+    """Shows the checks of a run, or records one."""
+    manifest, path = run_folders.find_run(spark, args.run), f"{args.run}/{run_folders.DIAGNOSTICS}"
+    document = run_folders.read_json(spark, path)
+    run_folders.require_same_run(manifest["run_id"], **{"the diagnostics": document})
+    stored = document.setdefault("visual_check", {})
+    if args.item:
+        if args.item not in rs.ITEMS or args.result not in rs.OUTCOMES:
+            raise InputUnusable(f"no such item or result: {args.item}, {args.result}")
+        now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).first()[0]
+        stored[args.item] = {"result": args.result, "note": args.note, "checked_at": None if args.result == "not_checked" else now}
+        run_folders.write_json(spark, path, document, overwrite=True)
+    for item in [*rs.ITEMS, *(k for k in stored if k not in rs.ITEMS)]:
+        print(item, stored.get(item, {}).get("result", "not_checked"))
+    return 0
+
+
+def _media(spark, args):
+    """Pixel tables of the named views of a run's cloud, the turntable, and their index."""
+    manifest = run_folders.find_run(spark, args.run)
+    points = ply.read_ply(spark, f"{args.run}/normalized")
+    cameras = scenes.view_cameras(cl.robust_extent(points), args.size)
+    if args.turntable:
+        cameras = cameras.unionByName(scenes.view_cameras(cl.robust_extent(points), args.size, args.turntable))
+    scenes.render_points(points, cameras).write.partitionBy("view").parquet(f"{args.out}/pixels")
+    scenes.media_index(cameras, manifest["run_id"]).coalesce(1).write.json(f"{args.out}/index")
+    return 0
+
+
+def _view(spark, args):
+    """What a viewer would show: entities and the texts of its panels, as tables."""
+    manifest, status = run_folders.find_run(spark, args.run), run_folders.read_json(spark, f"{args.run}/{run_folders.STATUS}")
+    if not status.get("viewable"):
+        from orbitspark.errors import ResultEmpty
+
+        raise ResultEmpty(f"the status is {status.get('status')}")
+    n = ply.read_ply(spark, f"{args.run}/normalized").count()
+    print(manifest["run_id"], status.get("banner"), cl.count_label(n, n))
+    return 0
+
+
 def _verify(spark, args):
     problems = checksums.verify(spark, args.folder, not args.lenient).orderBy("path").limit(11).collect()
     for r in problems[:10]:
@@ -53,20 +137,32 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="orbitspark")
     sub = parser.add_subparsers(required=True)
     for name, run, options in (
-        ("check", _check, ("probe_json",)), ("ingest", _ingest, ("model", "frames", "out", "run_id")), ("verify", _verify, ("folder",)), ("compare", _compare, ("runs", "conditions")),
+        ("check", _check, ("probe_json",)), ("prepare", _prepare, ("candidates", "package")), ("ingest", _ingest, ("model", "frames", "out", "run_id")), ("verify", _verify, ("folder",)), ("export", _export, ("run",)),
+        ("report", _report, ("run",)), ("visual-check", _visual_check, ("run",)), ("media", _media, ("run", "out")), ("view", _view, ("run",)), ("compare", _compare, ("runs", "conditions")),
     ):
         p = sub.add_parser(name)
         for o in options:
             p.add_argument(o)
-        if name == "verify":
-            p.add_argument("--lenient", action="store_true")
-        p.set_defaults(run=run)
+        for flag, of, settings in (
+            ("--lenient", ("verify",), {"action": "store_true"}), ("--force", ("export",), {"action": "store_true"}), ("--out", ("export", "report"), {}), ("--item", ("visual-check",), {}), ("--result", ("visual-check",), {}),
+            ("--note", ("visual-check",), {}), ("--size", ("media",), {"type": int, "default": 640}), ("--turntable", ("media",), {"type": int, "default": 0}), ("--budget", ("prepare",), {"type": int, "default": 48}),
+            ("--selector", ("prepare",), {"default": "uniform"}), ("--min-frames", ("prepare",), {"type": int, "default": 12}),
+        ):
+            if name in of:
+                p.add_argument(flag, **settings)
+        p.set_defaults(handler=run)
     args = parser.parse_args(argv)
     try:
-        return args.run(SparkSession.builder.appName("orbitspark").getOrCreate(), args)
+        return args.handler(SparkSession.builder.appName("orbitspark").getOrCreate(), args)
     except Refusal as e:
         print(e, file=sys.stderr)
         return e.exit_code
+    except PySparkException as e:  # a refusal that a task raised: its name is in the message
+        found = next((c for c in Refusal.__subclasses__() if f"{c.__module__}.{c.__name__}:" in str(e) or f"{c.__name__}:" in str(e)), None)
+        if found is None:
+            raise
+        print(next((line for line in str(e).splitlines() if found.__name__ in line), found.__name__), file=sys.stderr)
+        return found.exit_code
 
 
 if __name__ == "__main__":

@@ -12,7 +12,7 @@ BANNERS = {
 }
 EXAMPLE = "precomputed example"
 #: The closed set of warning codes, and the thresholds at which they fire.
-WARNINGS = ("many_blurry_frames", "low_diversity", "short_video", "few_registered_cameras", "precomputed_example", "background_dominates", "reprojection_error_unavailable", "orientation_not_estimated")
+WARNINGS = ("many_blurry_frames", "low_viewpoint_diversity", "short_video", "few_registered_cameras", "precomputed_example", "background_dominates", "reprojection_error_unavailable", "orientation_not_estimated")
 BLURRY_SHARE, LOW_DIVERSITY, SHORT_SECONDS, FEW_REGISTERED = 0.3, 0.02, 5.0, 0.6
 #: Fixed values of the verdict.
 IMPROVEMENT, REGRESSION, POINT_CAP = 1.10, 0.90, 100_000
@@ -39,7 +39,7 @@ def banner(state: Column, example: Column) -> Column:
 def warning_codes(blurry: Column, diversity: Column, seconds: Column, registered: Column) -> Column:
     """Codes of what was observed; a measure that is missing raises none."""
     rules = (
-        ("many_blurry_frames", blurry >= BLURRY_SHARE), ("low_diversity", diversity <= LOW_DIVERSITY), ("short_video", seconds < SHORT_SECONDS), ("few_registered_cameras", registered <= FEW_REGISTERED),
+        ("many_blurry_frames", blurry >= BLURRY_SHARE), ("low_viewpoint_diversity", diversity <= LOW_DIVERSITY), ("short_video", seconds < SHORT_SECONDS), ("few_registered_cameras", registered <= FEW_REGISTERED),
     )
     return F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in rules)))
 

@@ -8,7 +8,7 @@ from orbitspark.functions import linalg as la
 from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
 from orbitspark.plans.book import Book, r6, s6
-from orbitspark.plans.views import CAMERAS, CLOUD, cameras, cloud, table, transform
+from orbitspark.plans.views import CAMERAS, CLOUD, cameras, cameras_sql, cloud, table, transform
 
 QUERIES = query = Book()
 IJ = [(i, j) for i in range(3) for j in range(3)]
@@ -16,6 +16,7 @@ MOVE = "mv AS (SELECT 0.6::DOUBLE AS a00, -0.8::DOUBLE AS a01, 0.0::DOUBLE AS a0
 
 
 def r4(c, name):
+    c = F.col(c) if isinstance(c, str) else c
     return (F.round(c, 4) + F.lit(0.0)).alias(name)
 
 
@@ -71,7 +72,7 @@ def q_invert(spark, sf_dir):
     return cam.invert_transform(transform(spark)).select(*(r6(c, c) for c in cam.R + cam.T))
 
 
-SOME = CLOUD + """, pts AS (SELECT point_id, (x - 150) / 300 AS x, (y - 48) / 97 AS y, (z - 1200) / 2400 AS z FROM cloud WHERE point_id % 10 = 0)"""
+SCALED = CLOUD + """, pts AS (SELECT point_id, (x - 150) / 300 AS x, (y - 48) / 97 AS y, (z - 1200) / 2400 AS z FROM cloud)"""
 
 
 def scaled_points(spark, sf_dir):
@@ -80,30 +81,24 @@ def scaled_points(spark, sf_dir):
     return c.select("point_id", ((F.col("x") - 150) / 300).alias("x"), ((F.col("y") - 48) / 97).alias("y"), ((F.col("z") - 1200) / 2400).alias("z"))
 
 
-def some_points(spark, sf_dir):
-    """A tenth of the cloud, scaled into the ring: the size of a sparse model."""
-    return scaled_points(spark, sf_dir).where("point_id % 10 = 0")
+def seeing_cameras(spark, sf_dir):
+    return cameras(spark, sf_dir).withColumns({"fx": F.lit(500.0), "fy": F.lit(520.0), "cx": F.lit(320.0), "cy": F.lit(240.0)})
 
 
-def eight_cameras(spark, sf_dir):
-    c = cameras(spark, sf_dir).where("k <= 8")
-    return c.withColumns({"fx": F.lit(500.0), "fy": F.lit(520.0), "cx": F.lit(320.0), "cy": F.lit(240.0)})
-
-
-VIEW = CAMERAS + ", " + SOME + """, cc AS (SELECT k, point_id, r00 * x + r01 * y + r02 * z + t0 AS vx, r10 * x + r11 * y + r12 * z + t1 AS vy, r20 * x + r21 * y + r22 * z + t2 AS depth FROM cams, pts WHERE k <= 8),
+VIEW = CAMERAS + ", " + SCALED + """, cc AS (SELECT k, point_id, r00 * x + r01 * y + r02 * z + t0 AS vx, r10 * x + r11 * y + r12 * z + t1 AS vy, r20 * x + r21 * y + r22 * z + t2 AS depth FROM cams, pts),
 proj AS (SELECT k, point_id, depth, 500 * vx / depth + 320 AS u, 520 * vy / depth + 240 AS v FROM cc)"""
 
 
-@query(f"WITH {VIEW} SELECT k, point_id, depth > 0 AS valid, {s6('CASE WHEN depth > 0 THEN u END', 'u')}, {s6('CASE WHEN depth > 0 THEN v END', 'v')}, {s6('depth', 'depth')} FROM proj")
+@query(f"WITH {VIEW} SELECT k, point_id, depth > 0 AS valid, {s4('CASE WHEN depth > 0 THEN u END', 'u')}, {s4('CASE WHEN depth > 0 THEN v END', 'v')}, {s4('depth', 'depth')} FROM proj")
 def q_project(spark, sf_dir):
-    seen = cam.project(some_points(spark, sf_dir), eight_cameras(spark, sf_dir))
-    return seen.select("k", "point_id", "valid", r6("u", "u"), r6("v", "v"), r6("depth", "depth"))
+    seen = cam.project(scaled_points(spark, sf_dir), seeing_cameras(spark, sf_dir))
+    return seen.select("k", "point_id", "valid", r4("u", "u"), r4("v", "v"), r4("depth", "depth"))
 
 
 @query(f"""WITH {VIEW}, obs AS (SELECT k, point_id FROM proj WHERE depth > 1e-6 AND u >= 0 AND u < 640 AND v >= 0 AND v < 480)
 SELECT point_id, count(*) AS track_length, array_to_string(list_sort(list(k)), ',') AS seen_by FROM obs GROUP BY point_id""")
 def q_observations_tracks(spark, sf_dir):
-    seen = cam.project(some_points(spark, sf_dir), eight_cameras(spark, sf_dir), 1e-6).where("valid and u >= 0 and u < 640 and v >= 0 and v < 480")
+    seen = cam.project(scaled_points(spark, sf_dir), seeing_cameras(spark, sf_dir), 1e-6).where("valid and u >= 0 and u < 640 and v >= 0 and v < 480")
     return seen.groupBy("point_id").agg(F.count("*").alias("track_length"), F.array_join(F.sort_array(F.collect_list("k")), ",").alias("seen_by"))
 
 
@@ -123,10 +118,10 @@ def q_look_at(spark, sf_dir):
     return posed.select("k", *(r6(c, c) for c in cam.R + cam.T))
 
 
-#: The first three fifths of a ring that is tilted by sixty degrees about x, so that nothing is axis-aligned.
-TILT_SQL = CAMERAS + """, part_ring AS (SELECT k, cx, 0.5::DOUBLE * cy - sqrt(0.75) * cz AS cy, sqrt(0.75) * cy + 0.5::DOUBLE * cz AS cz, ux, 0.5::DOUBLE * uy - sqrt(0.75) * uz AS uy, sqrt(0.75) * uy + 0.5::DOUBLE * uz AS uz,
+#: All cameras within three fifths of a ring that is tilted by sixty degrees about x, so that nothing is axis-aligned.
+TILT_SQL = cameras_sql(0.6) + """, part_ring AS (SELECT k, cx, 0.5::DOUBLE * cy - sqrt(0.75) * cz AS cy, sqrt(0.75) * cy + 0.5::DOUBLE * cz AS cz, ux, 0.5::DOUBLE * uy - sqrt(0.75) * uz AS uy, sqrt(0.75) * uy + 0.5::DOUBLE * uz AS uz,
  r20 AS fx, 0.5::DOUBLE * r21 - sqrt(0.75) * r22 AS fy, sqrt(0.75) * r21 + 0.5::DOUBLE * r22 AS fz, (SELECT count(*) FROM cams) AS total FROM centres),
-arc_ring AS (SELECT * FROM part_ring WHERE k * 5 <= total * 3),
+arc_ring AS (SELECT * FROM part_ring),
 mo AS (SELECT count(*) AS n, avg(cx) AS mx, avg(cy) AS my, avg(cz) AS mz, avg(ux) AS ux, avg(uy) AS uy, avg(uz) AS uz, var_pop(cx) AS xx, covar_pop(cx, cy) AS xy, covar_pop(cx, cz) AS xz, var_pop(cy) AS yy, covar_pop(cy, cz) AS yz, var_pop(cz) AS zz FROM arc_ring),
 e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM mo), e2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM e1),
 e3 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 AS phi FROM e2),
@@ -134,9 +129,7 @@ e4 AS (SELECT *, q + 2 * p * cos(phi) AS v1, q + 2 * p * cos(phi + 2.09439510239
 
 
 def tilted_ring(spark, sf_dir):
-    c = cameras(spark, sf_dir)
-    n = c.agg(F.count("*").alias("n"))
-    return tilted(spark, c.crossJoin(F.broadcast(n)).where(F.col("k") * 5 <= F.col("n") * 3).drop("n"))
+    return tilted(spark, cameras(spark, sf_dir, 0.6))
 
 
 def tilted(spark, c):
@@ -173,17 +166,15 @@ def q_nearest_point_rays(spark, sf_dir):
 
 
 #: The tilted ring lies 3 wide and 1 high above its centre; its azimuths are those of the plain ring, and up agrees by 3/sqrt(10).
-@query(f"""WITH {TILT_SQL}, az AS (SELECT k, 360.0::DOUBLE * k / total AS angle FROM arc_ring), gaps AS (SELECT coalesce(lead(angle) OVER (ORDER BY angle), min(angle) OVER () + 360) - angle AS gap FROM az),
-q AS (SELECT n, sqrt(greatest(v3, 0)) / sqrt(v2) AS planarity, (SELECT 360 - max(gap) FROM gaps) AS arc FROM e5)
+@query(f"""WITH {TILT_SQL}, az AS (SELECT k, 216.0::DOUBLE * k / total AS angle FROM arc_ring), gaps AS (SELECT coalesce(lead(angle) OVER (ORDER BY angle), min(angle) OVER () + 360) - angle AS gap FROM az),
+q AS (SELECT n, sqrt(greatest(v3, 0)) / sqrt(v2) AS planarity, (SELECT 360 - max(gap) FROM gaps) AS arc FROM e5),
+o AS (SELECT arg_min(c, k) AS c, arg_min(s, k) AS s FROM ring), r AS (SELECT -s AS r00, 0.5::DOUBLE * c AS r01, sqrt(0.75) * c AS r02, 0.0::DOUBLE AS r10, -sqrt(0.75) AS r11, 0.5::DOUBLE AS r12, c AS r20, 0.5::DOUBLE * s AS r21, sqrt(0.75) * s AS r22, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS t2 FROM o)
 SELECT CASE WHEN n >= 6 AND planarity <= 0.25 AND arc >= 180 THEN 'estimated' ELSE 'not_estimated' END AS status, 'optical_axes' AS centre_method, n AS num_cameras, {s4('planarity', 'planarity')}, {s4('arc', 'arc_coverage_deg')}, {s4('3 / sqrt(10.0)', 'sign_agreement')},
-       {s4("CASE WHEN n >= 6 AND arc >= 180 THEN 0 ELSE 1 END", 'first_x_is_zero')} FROM q""")
+       {', '.join(s4(x, x) for x in cam.R + cam.T)} FROM q, r""")
 def q_alignment(spark, sf_dir):
-    c = tilted_ring(spark, sf_dir)
-    a = cam.estimate_alignment(c)
-    first = cam.transform_poses(c.orderBy("k").limit(1), a.select(*cam.R, *cam.T))
-    x = first.select(cam.centre()[0].alias("x"))
-    flag = F.when(F.abs("x") < 1e-6, 0.0).otherwise(1.0)
-    return a.crossJoin(x).select("status", "centre_method", "num_cameras", r4("planarity", "planarity"), r4("arc_coverage_deg", "arc_coverage_deg"), r4("sign_agreement", "sign_agreement"), r4(flag, "first_x_is_zero"))
+    """The first camera goes to +Z and the ring's normal to +Y; the axes meet in the origin, so nothing is shifted."""
+    a = cam.estimate_alignment(tilted_ring(spark, sf_dir))
+    return a.select("status", "centre_method", "num_cameras", r4("planarity", "planarity"), r4("arc_coverage_deg", "arc_coverage_deg"), r4("sign_agreement", "sign_agreement"), *(r4(F.col(c), c) for c in cam.R + cam.T))
 
 
 @query()

@@ -67,12 +67,6 @@ def q_voxel_representatives(spark, sf_dir):
     return cl.voxel_representatives(cloud(spark, sf_dir), 40.0).select("point_id", "i", "j", "k", "n_in_voxel")
 
 
-@query()
-def q_voxel_decimate(spark, sf_dir):
-    kept, size = cl.voxel_decimate(flawed_cloud(spark, sf_dir), 500)
-    return kept.select("point_id", *(r6(c, c) for c in AXES)).withColumn("voxel_size", F.lit(size).cast("double"))
-
-
 SEEN = CLOUD + """, seen AS (SELECT point_id, r, g, b, z + 10 AS depth, CAST(round_even(x, 0) AS BIGINT) AS px, CAST(round_even(y, 0) AS BIGINT) AS py FROM cloud)"""
 
 

@@ -141,7 +141,7 @@ def q_low_diversity(spark, sf_dir):
 
 @query(f"""WITH {DIFFS}, m AS (SELECT run_id, median(diff) AS d FROM diffs GROUP BY run_id),
 f AS (SELECT run_id, avg(CASE WHEN sharpness < 100 THEN 1.0::DOUBLE ELSE 0 END) AS blurry, max(timestamp_us) / 1e6 AS seconds, avg(CASE WHEN event_type = 'purchase' THEN 0.0::DOUBLE ELSE 1 END) AS registered FROM frames GROUP BY run_id)
-SELECT f.run_id, concat_ws(',', CASE WHEN blurry >= 0.3 THEN 'many_blurry_frames' END, CASE WHEN d <= 0.02 THEN 'low_diversity' END, CASE WHEN seconds < 5.0 THEN 'short_video' END, CASE WHEN registered <= 0.6 THEN 'few_registered_cameras' END) AS codes
+SELECT f.run_id, concat_ws(',', CASE WHEN blurry >= 0.3 THEN 'many_blurry_frames' END, CASE WHEN d <= 0.02 THEN 'low_viewpoint_diversity' END, CASE WHEN seconds < 5.0 THEN 'short_video' END, CASE WHEN registered <= 0.6 THEN 'few_registered_cameras' END) AS codes
 FROM f JOIN m ON f.run_id = m.run_id""")
 def q_warnings(spark, sf_dir):
     m = diffs(spark, sf_dir).groupBy("run_id").agg(F.median("diff_to_prev_selected").alias("d"))

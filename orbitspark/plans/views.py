@@ -78,13 +78,18 @@ def cameras(spark: SparkSession, sf_dir: str, arc: float = 1.0) -> DataFrame:
     return s.select("k", *(f"r{i}{j}" for i in range(3) for j in range(3)), *((-(F.col(f"r{i}0") * F.col("px") + F.col(f"r{i}1") * F.col("py") + F.col(f"r{i}2") * F.col("pz"))).alias(f"t{i}") for i in range(3)))
 
 
-CAMERAS = """ring AS (SELECT s_suppkey AS k, cos(2 * pi() * s_suppkey / count(*) OVER ()) AS c, sin(2 * pi() * s_suppkey / count(*) OVER ()) AS s FROM supplier),
+CAMERAS = """ring AS (SELECT s_suppkey AS k, cos(2 * pi() * 1.0::DOUBLE * s_suppkey / count(*) OVER ()) AS c, sin(2 * pi() * 1.0::DOUBLE * s_suppkey / count(*) OVER ()) AS s FROM supplier),
 cams0 AS (SELECT k, -s AS r00, c AS r01, 0.0::DOUBLE AS r02, c / sqrt(10) AS r10, s / sqrt(10) AS r11, -3 / sqrt(10) AS r12, -3 * c / sqrt(10) AS r20, -3 * s / sqrt(10) AS r21, -1 / sqrt(10) AS r22,
           3 * c AS px, 3 * s AS py, 1.0::DOUBLE AS pz FROM ring),
 cams AS (SELECT *, -(r00 * px + r01 * py + r02 * pz) AS t0, -(r10 * px + r11 * py + r12 * pz) AS t1, -(r20 * px + r21 * py + r22 * pz) AS t2 FROM cams0),
 centres AS (SELECT *, -(r00 * t0 + r10 * t1 + r20 * t2) AS cx, -(r01 * t0 + r11 * t1 + r21 * t2) AS cy, -(r02 * t0 + r12 * t1 + r22 * t2) AS cz, -r10 AS ux, -r11 AS uy, -r12 AS uz FROM cams)"""
 
 
+def cameras_sql(arc: float) -> str:
+    """The ring within a part of the circle."""
+    return CAMERAS.replace("1.0::DOUBLE * s_suppkey", f"{arc}::DOUBLE * s_suppkey")
+
+
 def transform(spark: SparkSession) -> DataFrame:
     """A fixed rigid transform: a turn by the 3-4-5 angle about z, then a shift."""
     return spark.range(1).select(*(F.lit(float(v)).alias(f"r{i // 3}{i % 3}") for i, v in enumerate((0.6, -0.8, 0, 0.8, 0.6, 0, 0, 0, 1))), F.lit(1.0).alias("t0"), F.lit(-2.0).alias("t1"), F.lit(0.5).alias("t2"))

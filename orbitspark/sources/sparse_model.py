@@ -12,7 +12,10 @@ from orbitspark.errors import MissingOrForeign
 from orbitspark.functions import linalg as la
 
 #: Parameters of each camera model by its number in the format.
-MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8)}
+MODELS = {
+    0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8), 6: ("FULL_OPENCV", 12), 7: ("FOV", 5),
+    8: ("SIMPLE_RADIAL_FISHEYE", 4), 9: ("RADIAL_FISHEYE", 5), 10: ("THIN_PRISM_FISHEYE", 12), 11: ("RAD_TAN_THIN_PRISM_FISHEYE", 16),
+}
 FILES = ("cameras.bin", "images.bin", "points3D.bin")
 
 
@@ -89,7 +92,8 @@ def frame_id(name: Column) -> Column:
 
 def intrinsics(model: Column, params: Column) -> dict[str, Column]:
     """fx, fy, cx, cy of models with one or two focal lengths; null for any other, never made up."""
-    one, two = model.isin("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL"), model.isin("PINHOLE", "OPENCV")
+    one = model.isin("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")
+    two = model.isin("PINHOLE", "OPENCV", "OPENCV_FISHEYE", "FULL_OPENCV", "FOV", "THIN_PRISM_FISHEYE", "RAD_TAN_THIN_PRISM_FISHEYE")
     at = lambda i, j: F.when(one, F.get(params, F.lit(i))).when(two, F.get(params, F.lit(j)))
     return {"fx": at(0, 0), "fy": at(0, 1), "cx": at(1, 2), "cy": at(2, 3)}
 

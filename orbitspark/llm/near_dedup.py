@@ -252,7 +252,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
         able = stash(without_lone(sets, percent), "able")
     able = stash(able.join(plain.select("cid", "sig"), "cid"), "able")
     members = shared.join(able.select("cid", (1 - F.col("m") / F.col("n")).alias("own")), "cid")
-    leaders = members.groupBy("bucket").agg(F.min_by("cid", "own").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leaders = members.groupBy("bucket").agg(F.min_by("cid", F.struct("own", "cid")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     shared = stash(join_groups(members, leaders, "bucket", "size", in_buckets, inner=True).select("bucket", "slot", "cid", "leader"), "buckets")
 
     def side(name: str) -> DataFrame:

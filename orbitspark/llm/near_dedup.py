@@ -11,9 +11,10 @@ Links are confirmed on whole sets. Copies with equal sets are one class. Of the
 bucket with another, shingles that no other of them holds are counted: they can be in no
 intersection, so they bound the similarity of a class to any other, and most classes of a large group
 whose edits are their own drop out by that bound. In each bucket every class is compared with the one
-of the fewest such shingles, which for edited copies is their original; classes that are then still in
-different components are compared with one another. So no link between components is lost and no
-group is expanded into all its pairs.
+of the fewest such shingles, its leader, which for edited copies is their original. Classes of one
+leader that are then still in different components share no more than what they have in common with
+the leader and the shingles beside it; only pairs that may reach the threshold by that are compared on
+whole sets. So no link between components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from orbitspark.llm.vocab import ChunkTable, cut_words, slices, trim
 U = np.uint64
 #: Bytes of text whose sets a task makes at once, and of an Arrow batch.
 SLICE, BATCH = 3_000_000, 12_000_000
-#: Classes of a bucket, and pairs of one class, that meet in one task.
+#: Classes of a leader, and pairs of one class, that meet in one task.
 SPLIT = 500
 #: Bits of a symbol; four symbols, each with a free bit above it, make a chunk of 60 bits.
 BITS, PER_CHUNK, MISS = 14, 4, 1e-5
@@ -154,18 +155,6 @@ def distance(a: Column, b: Column, m: int) -> Column:
     return total
 
 
-def first_key(a: Column, b: Column, m: int) -> Column:
-    """Number of the first index key that two signatures share; null if they share none."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(m)):
-        apart = (a[i].bitwiseXOR(b[i]) + F.lit(LANES)).bitwiseAND(F.lit(TOPS))
-        lane = F.when(apart == 0, 0)
-        for k in range(PER_CHUNK):
-            lane = lane.when(apart == 1 << BITS + (BITS + 1) * k, k)
-        out = F.when(F.bit_count(apart) <= 1, lane + i * PER_CHUNK).otherwise(out)
-    return out
-
-
 def without_lone(sets: DataFrame, percent: int) -> DataFrame:
     """Classes (cid, n, m) of which m shingles are held by another one too, without those that m rules out."""
     held = sets.select("cid", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
@@ -196,34 +185,58 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
     return scratch.stash(met.mapInArrow(run, "cid long, set array<long>").dropDuplicates(["cid"]), "sets", BATCH)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) whose whole sets are similar enough. The set of a class in many pairs goes to several tasks."""
+def with_sets(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The pairs (a, b, ...) with the whole sets x of a and y of b. The set of a class in many pairs goes to several tasks."""
     often = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
     salts = F.ceil(F.col("pairs") / SPLIT).cast("long")
     dealt = join_groups(pairs, often, "a", "pairs", total, inner=True).withColumn("salt", F.pmod(F.xxhash64("b"), salts))
     x = sets.join(often, F.col("cid") == F.col("a")).select(F.col("a").alias("_a"), F.col("set").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
-    met = dealt.join(x, (F.col("a") == F.col("_a")) & (F.col("salt") == F.col("_salt"))).join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    return dealt.join(x, (F.col("a") == F.col("_a")) & (F.col("salt") == F.col("_salt"))).join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) whose whole sets are similar enough."""
     both = F.size(F.array_intersect("x", "y"))
-    return met.where(F.lit(100) * both >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+    return with_sets(pairs, sets, total).where(F.lit(100) * both >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+
+
+def beside_leader(led: DataFrame, sets: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """Per leader and class (a leader, b class): ``inner``, shingles that the leader holds too, and ``outer``, others that a further class of this leader holds.
+
+    Two classes of one leader share no more than the smaller ``inner`` and what their ``outer`` have in common.
+    """
+    apart = with_sets(led, sets, total).select(F.col("a").alias("leader"), F.col("b").alias("cid"), F.size("y").cast("long").alias("n"), F.array_except("y", "x").alias("e"))
+    apart = scratch.stash(apart.withColumn("inner", F.col("n") - F.size("e")), "beside")
+    each = apart.select("leader", "cid", F.explode("e").alias("s")).withColumn("held", F.xxhash64("leader", "s"))
+    held = each.groupBy("held").agg(F.count("*").alias("c")).where("c > 1")
+    shingles = apart.agg(F.sum(F.size("e"))).first()[0] or 0
+    outer = join_groups(each, held, "held", "c", shingles, inner=True).groupBy("leader", "cid").agg(F.collect_list("s").alias("outer"))
+    return scratch.stash(apart.select("leader", "cid", "inner").join(outer, ["leader", "cid"], "left").withColumn("outer", F.coalesce("outer", F.array().cast("array<long>"))), "outer")
 
 
-def bucket_pairs(apart: DataFrame, may: Column, m: int, total: int, split: int | None = None) -> DataFrame:
-    """Pairs of classes of one bucket, of different components, that may be similar, each at its first common key.
+def apart_pairs(apart: DataFrame, may: Column, percent: int, total: int, split: int | None = None) -> DataFrame:
+    """Pairs of classes of one leader, of different components, that may be similar.
 
-    A bucket of more than ``split`` classes is cut into blocks; each two blocks meet in a task of their own.
+    What a pair has in common is bounded by what either has in common with the leader and by the shingles
+    beside it. A leader of more than ``split`` classes has them cut into blocks; each two blocks meet in a
+    task of their own.
     """
     split = split or SPLIT
-    crowd = apart.groupBy("bucket").agg(F.count("*").alias("size"))
-    rows = join_groups(apart, crowd, "bucket", "size", total, inner=True).withColumn("blocks", F.ceil(F.col("size") / split).cast("long")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    crowd = apart.groupBy("leader").agg(F.count("*").alias("size")).where("size > 1")
+    rows = join_groups(apart, crowd, "leader", "size", total, inner=True).withColumn("blocks", F.ceil(F.col("size") / split).cast("long")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
 
     def side(k: str) -> DataFrame:
         mine, other = ("i", "j") if k == "a" else ("j", "i")
-        columns = (F.col(c).alias(f"{k}_{c}") for c in ("bucket", "slot", "comp", "n", "m", "sig"))
+        columns = (F.col(c).alias(f"{k}_{c}") for c in ("leader", "comp", "n", "m", "sig", "inner", "outer"))
         return rows.select(F.col("cid").alias(k), *columns, F.col("block").alias(f"{k}_{mine}"), every.alias(f"{k}_{other}"))
 
-    same_task = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j"))
-    return side("a").join(side("b"), same_task & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & may & (F.col("a_slot") == first_key(F.col("a_sig"), F.col("b_sig"), m))).select("a", "b", "a_n", "b_n")
+    same_task = (F.col("a_leader") == F.col("b_leader")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j"))
+    least = F.least("a_inner", "b_inner")
+    rough = least + F.least(F.size("a_outer"), F.size("b_outer"))
+    close = least + F.size(F.array_intersect("a_outer", "b_outer"))
+    reach = [F.lit(100) * shared >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - shared) for shared in (rough, close)]
+    return side("a").join(side("b"), same_task & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & reach[0] & may & reach[1]).select("a", "b", "a_n", "b_n").distinct()
 
 
 def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -240,9 +253,9 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     classes = stash(classes, "classes")
 
     plain = classes.select("cid", "id", "h", "n", "sig")
-    entries = classes.select("cid", F.posexplode(index_keys(F.col("sig"), m)).alias("slot", "bucket"))
+    entries = classes.select("cid", F.explode(index_keys(F.col("sig"), m)).alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stash(join_groups(entries, crowded, "bucket", "size", in_buckets, inner=True).select("bucket", "slot", "cid"), "buckets")
+    shared = stash(join_groups(entries, crowded, "bucket", "size", in_buckets, inner=True).select("bucket", "cid"), "buckets")
     wanted = shared.select("cid").distinct()
     sets = set_table(docs, plain.join(wanted, "cid").select("cid", "id", "h"), width, id_col, text_col, scratch)
     # A class that is ruled out holds nothing for the others: what is left is counted again.
@@ -253,7 +266,8 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     able = stash(able.join(plain.select("cid", "sig"), "cid"), "able")
     members = shared.join(able.select("cid", (1 - F.col("m") / F.col("n")).alias("own")), "cid")
     leaders = members.groupBy("bucket").agg(F.min_by("cid", F.struct("own", "cid")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = stash(join_groups(members, leaders, "bucket", "size", in_buckets, inner=True).select("bucket", "slot", "cid", "leader"), "buckets")
+    led = join_groups(members, leaders, "bucket", "size", in_buckets, inner=True).where("cid <> leader")
+    led = stash(led.select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "led")
 
     def side(name: str) -> DataFrame:
         return able.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "m", "sig")))
@@ -262,19 +276,19 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     most_shared = F.least("a_m", "b_m")
     may = (F.lit(100) * most_shared >= F.lit(percent) * (F.col("a_n") + F.col("b_n") - most_shared)) & (distance(F.col("a_sig"), F.col("b_sig"), m) <= most)
 
-    led = shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     often = led.groupBy("a").agg(F.count("*").alias("pairs"))
     leading = join_groups(led, often.join(side("a"), "a"), "a", "pairs", total, inner=True)
     first = stash(leading.join(side("b"), "b").where(may).select("a", "b", "a_n", "b_n"), "pairs")
     links = stash(confirm(first, sets, percent, total), "links")
     comps = stash(connected_components(links, scratch=scratch), "comps")
 
-    # What is still apart within a bucket: pairs of different components, but those already compared.
-    placed = shared.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    apart = join_groups(placed.where("cid <> leader"), mixed_buckets, "bucket", "size", in_buckets, inner=True)
-    apart = stash(apart.select("bucket", "slot", "cid", "comp").join(able, "cid"), "apart")
-    second = stash(bucket_pairs(apart, may, m, in_buckets), "pairs")
+    # What is still apart: classes that share a bucket, thus its leader, and are of different components.
+    placed = led.select(F.col("a").alias("leader"), F.col("b").alias("cid")).join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    several = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    apart = stash(join_groups(placed, several, "leader", "size", total, inner=True).select("leader", "cid", "comp"), "apart")
+    beside = beside_leader(apart.select(F.col("leader").alias("a"), F.col("cid").alias("b")), sets, total, scratch)
+    apart = apart.join(beside, ["leader", "cid"]).join(able, "cid").where(F.lit(100) * (F.col("inner") + F.size("outer")) >= F.lit(percent) * F.col("n"))
+    second = stash(apart_pairs(stash(apart, "apart"), may, percent, total), "pairs")
     if not second.isEmpty():
         links = links.unionByName(confirm(second, sets, percent, total))
         comps = stash(connected_components(links, scratch=scratch), "comps")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from orbitspark.llm import decontaminate, exact_dedup, html_text, lattice_lm, near_dedup, packing, quality, sharding, token_counts, token_files
+from orbitspark.llm import decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files
 from orbitspark.llm.common import table
 
 
@@ -48,8 +48,13 @@ def op10_quality(spark, sf_dir):
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op7_tree_scoring, op8_minhash_near_dedup, op9_token_counts, op10_quality)} | {"pipeline": corpus_pipeline.run}
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.op13(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op7_tree_scoring, op8_minhash_near_dedup, op9_token_counts, op10_quality, op13_line_dedup)} | {"pipeline": corpus_pipeline.run}
 SPACES = r"[\x20\x09-\x0D]+"
+ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: The others need a tokenizer, a hash or a fit that SQL does not have; tests hold them against brute force.
@@ -63,4 +68,10 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT n.doc_id, n AS n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON n.doc_id = c.a""",
+    "op13_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, {ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from orbitspark.llm import conversations, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files
+from orbitspark.llm import alignment, conversations, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, near_dedup, packing, quality, sharding, token_counts, token_files
 from orbitspark.llm.common import table
 
 
@@ -52,11 +52,15 @@ def op11_signature_repair(spark, sf_dir):
     return conversations.op11(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_transducer(spark, sf_dir):
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))[0]
+
+
 def op13_line_dedup(spark, sf_dir):
     return line_dedup.op13(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op7_tree_scoring, op8_minhash_near_dedup, op9_token_counts, op10_quality, op11_signature_repair, op13_line_dedup)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_histogram_shards, op3_pack_binary, op4_stream_dedup, op5_spaced_seeds, op6_simple8b, op7_tree_scoring, op8_minhash_near_dedup, op9_token_counts, op10_quality, op11_signature_repair, op12_suffix_transducer, op13_line_dedup)} | {"pipeline": corpus_pipeline.run}
 SPACES = r"[\x20\x09-\x0D]+"
 ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
 Mat = tuple[Vec, Vec, Vec]
 
 
+def step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds (or replaces) columns that later ones may use any number of times.
+
+    Plain columns are folded into those that use them, so a chain of formulas that each use the last one
+    twice doubles with every link. A row generator of one row stands between: what is before it is computed once.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def named(names: str, values) -> dict[str, Column]:
+    """Columns of a vector or a flat list under names that are separated by spaces."""
+    return dict(zip(names.split(), values, strict=True))
+
+
 def lit3(x: float, y: float, z: float) -> Vec:
     return F.lit(float(x)), F.lit(float(y)), F.lit(float(z))
 
@@ -97,6 +112,14 @@ def null_vector(m: Mat) -> Vec:
     return unit((best(0), best(1), best(2)))
 
 
+def across(u: Vec) -> Vec:
+    """The axis on which a vector has its smallest component, so that the two are far from parallel."""
+    a, b, c = (F.abs(x) for x in u)
+    first, second = (a <= b) & (a <= c), (b < a) & (b <= c)
+    one = lambda test: F.when(test, 1.0).otherwise(0.0)
+    return one(first), one(second), one(~first & ~second)
+
+
 def rotation_between(u: Vec, v: Vec) -> Mat:
     """Smallest rotation of unit vector u onto unit vector v; half a turn for opposite ones."""
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v)))
@@ -104,8 +127,7 @@ def rotation_between(u: Vec, v: Vec) -> Mat:
     zero = F.lit(0.0)
     cx = (zero, -k[2], k[1]), (k[2], zero, -k[0]), (-k[1], k[0], zero)
     square = matmul(cx, cx)
-    helper = F.when(F.abs(u[0]) < 0.9, F.lit(1.0)).otherwise(0.0), F.when(F.abs(u[0]) < 0.9, F.lit(0.0)).otherwise(1.0), zero
-    axis = unit(cross(u, helper))
+    axis = unit(cross(u, across(u)))
     out = []
     for i in range(3):
         row = []

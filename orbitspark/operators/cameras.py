@@ -38,21 +38,19 @@ def forward() -> la.Vec:
 
 
 def look_at(df: DataFrame, target: la.Vec, world_up: la.Vec) -> DataFrame:
-    """Adds the pose of a camera at (px, py, pz) that looks at a point; another up is taken along the view.
-
-    Each step is a column of its own, so that no expression holds another more than once.
-    """
+    """Adds the pose of a camera at (px, py, pz) that looks at a point; another up is taken along the view."""
     toward = la.sub(target, la.vec("px", "py", "pz"))
-    df = df.withColumn("_n", la.norm(toward)).withColumns({f"_f{i}": F.try_divide(x, F.col("_n")) for i, x in enumerate(toward)})
-    ahead = la.vec("_f0", "_f1", "_f2")
-    df = df.withColumns({f"_s{i}": x for i, x in enumerate(la.cross(ahead, world_up))}).withColumn("_l", la.norm(la.vec("_s0", "_s1", "_s2")))
-    along_x = F.abs("_f0") > 0.9
-    spare = la.cross(ahead, (F.when(along_x, 0.0).otherwise(1.0), F.lit(0.0), F.when(along_x, 1.0).otherwise(0.0)))
-    df = df.withColumns({f"_s{i}": F.when(F.col("_l") < 1e-9, x).otherwise(F.col(f"_s{i}")) for i, x in enumerate(spare)})
-    df = df.withColumn("_l", la.norm(la.vec("_s0", "_s1", "_s2"))).withColumns({f"r0{i}": F.col(f"_s{i}") / F.col("_l") for i in range(3)})
-    df = df.withColumns({f"r1{i}": x for i, x in enumerate(la.cross(ahead, la.vec("r00", "r01", "r02")))}).withColumns({f"r2{i}": F.col(f"_f{i}") for i in range(3)})
+    df = la.step(df, {"_n": la.norm(toward)} | la.named("_f0 _f1 _f2", toward))
+    df = la.step(df, {f"r2{i}": F.try_divide(F.col(f"_f{i}"), F.col("_n")) for i in range(3)})
+    ahead = la.vec("r20", "r21", "r22")
+    df = la.step(df, la.named("_s0 _s1 _s2", la.cross(ahead, world_up)))
+    df = la.step(df, {"_l": la.norm(la.vec("_s0", "_s1", "_s2"))} | la.named("_h0 _h1 _h2", la.across(ahead)))
+    spare = la.cross(ahead, la.vec("_h0", "_h1", "_h2"))
+    df = la.step(df, {f"_s{i}": F.when(F.col("_l") < 1e-9, x).otherwise(F.col(f"_s{i}")) for i, x in enumerate(spare)})
+    df = la.step(df, la.named("r00 r01 r02", la.unit(la.vec("_s0", "_s1", "_s2"))))
+    df = la.step(df, la.named("r10 r11 r12", la.cross(ahead, la.vec("r00", "r01", "r02"))))
     df = df.withColumns({f"t{i}": -x for i, x in enumerate(la.matvec(rotation(), la.vec("px", "py", "pz")))})
-    return df.drop("_n", "_l", *(f"_{c}{i}" for c in "fs" for i in range(3)))
+    return df.drop("_n", "_l", *(f"_{c}{i}" for c in "fsh" for i in range(3)))
 
 
 def pinned(one: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orbitspark.functions import linalg as la
 from orbitspark.functions.measures import finite
-from orbitspark.operators.quantiles import quantile_row
+from orbitspark.operators.quantiles import group_quantiles, quantile_row
+from orbitspark.storage import written
 
 AXES = ("x", "y", "z")
 
@@ -16,56 +17,82 @@ def is_valid_point() -> Column:
     return finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
 
 
-def iqr_bounds(points: DataFrame, k: float = 3.0) -> DataFrame:
-    """One row: per axis the bounds k inter-quartile ranges outside the quartiles, of finite points only.
+def with_row(points: DataFrame, one: DataFrame, run: str | None) -> DataFrame:
+    """Points with the columns of ``one``: a single row, broadcast, or with ``run`` a row a run (null is a run).
 
-    Quartiles are exact and interpolated. Bounds are null for a cloud without finite points.
+    The rows of a run are few beside its points; whether they are broadcast is left to their size at run time, and
+    a run that holds most points is split there.
     """
-    quartiles = quantile_row(points.where(is_valid_point()).select(*AXES), list(AXES), [0.25, 0.75])
-    out = []
+    if run is None:
+        return points.crossJoin(F.broadcast(one))
+    return points.join(one.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
+
+
+def quantiles(points: DataFrame, columns: list[str], fractions: list[float], run: str | None) -> DataFrame:
+    return quantile_row(points.select(*columns), columns, fractions) if run is None else group_quantiles(points.select(run, *columns), run, columns, fractions)
+
+
+def iqr_bounds(points: DataFrame, k: float = 3.0, run: str | None = None) -> DataFrame:
+    """Per axis the bounds k inter-quartile ranges outside the quartiles, of finite points only: one row, or with ``run`` one a run.
+
+    Quartiles are exact and interpolated. Bounds are null for a cloud without finite points; such a run has no row.
+    """
+    quartiles = quantiles(points.where(is_valid_point()), list(AXES), [0.25, 0.75], run)
+    out = [] if run is None else [run]
     for c in AXES:
         low, high = F.get(c, F.lit(0)), F.get(c, F.lit(1))
         out += [(low - k * (high - low)).alias(f"lo_{c}"), (high + k * (high - low)).alias(f"hi_{c}")]
     return quartiles.select(*out)
 
 
-def filter_outliers(points: DataFrame, k: float = 3.0) -> DataFrame:
-    """Finite points within the bounds of all three axes, bounds included. The bounds are one row, broadcast."""
-    inside = F.lit(True)
+def within() -> Column:
+    inside = is_valid_point()
     for c in AXES:
         inside = inside & F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
-    return points.where(is_valid_point()).crossJoin(F.broadcast(iqr_bounds(points, k))).where(inside).select(*points.columns)
+    return inside
 
 
-def outlier_info(points: DataFrame, k: float = 3.0) -> DataFrame:
-    """One row: points, finite points, points kept, and the bounds."""
-    bounds = iqr_bounds(points, k)
-    counts = points.crossJoin(F.broadcast(bounds))
-    inside = is_valid_point()
-    for c in AXES:
-        inside = inside & F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
-    counts = counts.agg(F.count("*").alias("n_total"), F.count_if(is_valid_point()).alias("n_finite"), F.count_if(inside).alias("n_kept"))
-    return counts.crossJoin(F.broadcast(bounds))
+def filter_outliers(points: DataFrame, k: float = 3.0, run: str | None = None) -> DataFrame:
+    """Finite points within the bounds of all three axes (of their run), bounds included."""
+    return with_row(points.where(is_valid_point()), iqr_bounds(points, k, run), run).where(within()).select(*points.columns)
+
+
+def outlier_info(points: DataFrame, k: float = 3.0, run: str | None = None) -> DataFrame:
+    """Points, finite points, points kept, and the bounds: one row, or one a run."""
+    bounds = iqr_bounds(points, k, run)
+    counted = (F.count("*").alias("n_total"), F.count_if(is_valid_point()).alias("n_finite"), F.count_if(within()).alias("n_kept"))
+    if run is None:
+        return with_row(points, bounds, None).agg(*counted).crossJoin(F.broadcast(bounds))
+    met = points.join(bounds.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run")), "left")
+    return met.groupBy(run).agg(*counted, *(F.first(c).alias(c) for c in bounds.columns if c != run))
 
 
-def bounding_box(points: DataFrame) -> DataFrame:
-    """One row: least and greatest finite coordinates, with a reason where there is none."""
-    box = points.where(is_valid_point()).agg(F.count("*").alias("n_points"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in AXES))
+def bounding_box(points: DataFrame, run: str | None = None) -> DataFrame:
+    """Least and greatest finite coordinates, with a reason where there is none: one row, or one a run."""
+    ok = is_valid_point()
+    box = points.groupBy(*([] if run is None else [run])).agg(F.count_if(ok).alias("n_points"), *(f(F.when(ok, F.col(c))).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in AXES))
     return box.withColumn("reason", F.when(F.col("n_points") == 0, "no finite points"))
 
 
-def medians(points: DataFrame) -> DataFrame:
-    row = quantile_row(points.where(is_valid_point()).select(*AXES), list(AXES), [0.5])
-    return row.select(*(F.get(c, F.lit(0)).alias(f"m{c}") for c in AXES))
+def medians(points: DataFrame, run: str | None = None) -> DataFrame:
+    row = quantiles(points.where(is_valid_point()), list(AXES), [0.5], run)
+    return row.select(*([] if run is None else [run]), *(F.get(c, F.lit(0)).alias(f"m{c}") for c in AXES))
 
 
-def robust_extent(points: DataFrame, percent: float = 98.0) -> DataFrame:
-    """One row: median centre and the radius that holds ``percent`` of the points; (0, 0, 0) and 1 for none."""
-    middle = medians(points)
+def robust_extent(points: DataFrame, percent: float = 98.0, run: str | None = None) -> DataFrame:
+    """Median centre and the radius that holds ``percent`` of the points: one row, or one a run; (0, 0, 0) and 1 for none."""
+    key = [] if run is None else [run]
+    middle = written(medians(points, run), "medians")
     away = la.norm(la.sub(la.vec(*AXES), la.vec("mx", "my", "mz")))
-    centred = points.where(is_valid_point()).crossJoin(F.broadcast(middle)).select(away.alias("away"))
-    row = middle.crossJoin(quantile_row(centred, ["away"], [percent / 100]).select(F.get("away", F.lit(0)).alias("r")))
-    return row.select(*(F.coalesce(f"m{c}", F.lit(0.0)).alias(f"c{c}") for c in AXES), F.when(F.col("r").isNull(), 1.0).otherwise(F.greatest("r", F.lit(1e-6))).alias("radius"))
+    centred = with_row(points.where(is_valid_point()), middle, run).select(*key, away.alias("away"))
+    reach = quantiles(centred, ["away"], [percent / 100], run).select(*key, F.get("away", F.lit(0)).alias("r"))
+    if run is None:
+        row = middle.crossJoin(reach)
+    else:
+        row = points.select(run).distinct()
+        for part in (middle, reach):
+            row = row.join(part.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run")), "left").drop("_run")
+    return row.select(*key, *(F.coalesce(f"m{c}", F.lit(0.0)).alias(f"c{c}") for c in AXES), F.when(F.col("r").isNull(), 1.0).otherwise(F.greatest("r", F.lit(1e-6))).alias("radius"))
 
 
 def with_voxels(points: DataFrame, size: float | Column) -> DataFrame:
@@ -150,13 +177,12 @@ def disk_offsets(radius: float) -> Column:
     return F.filter(grid, lambda o: o["dx"] * o["dx"] + o["dy"] * o["dy"] <= r * r + 1e-9)
 
 
-def shade_by_depth(seen: DataFrame, amount: float = 0.35) -> DataFrame:
-    """Colours darkened by depth between the 2nd and 98th percentile of ``depth``."""
-    ends = quantile_row(seen.select("depth"), ["depth"], [0.02, 0.98]).select(F.col("depth").alias("e"))
-    out = seen.crossJoin(F.broadcast(ends))
+def shade_by_depth(seen: DataFrame, amount: float = 0.35, view: str | None = None) -> DataFrame:
+    """Adds ``shade``, the light left by depth between the exact 2nd and 98th percentile of ``depth`` (of a view)."""
+    ends = quantiles(seen, ["depth"], [0.02, 0.98], view).select(*([] if view is None else [view]), F.col("depth").alias("e"))
     near, far = F.get("e", F.lit(0)), F.get("e", F.lit(1))
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("depth") - near) / F.greatest(far - near, F.lit(1e-9))))
-    return out.withColumn("shade", 1 - amount * part).drop("e")
+    return with_row(seen, ends, view).withColumn("shade", 1 - amount * part).drop("e")
 
 
 def nearest_per_pixel(splats: DataFrame, index: str = "point_id") -> DataFrame:

@@ -95,16 +95,57 @@ def test_outliers_and_bounds(spark):
     assert empty["min_x"] is None and empty["reason"] == "no finite points"
 
 
-def test_quantiles_of_long_columns(spark):
-    from orbitspark.operators.quantiles import quantile_row
+def test_quantiles_of_groups(spark):
+    from orbitspark.operators.quantiles import group_quantiles, quantile_row
 
     rng = np.random.default_rng(12)
-    data = np.column_stack([rng.normal(size=20_000), rng.integers(0, 3, 20_000).astype(float), rng.pareto(0.5, 20_000)])
-    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "x double, y double, z double").repartition(5)
+    n = 20_000
+    data = np.column_stack([rng.normal(size=n), rng.integers(0, 2, n).astype(float), rng.pareto(0.2, n), rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n)])
+    data[0] = [1e300, 5.0, 1.7e308, -1.7e308]
+    group = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 9, n))
+    rows = [(None if g == 8 else int(g), *map(float, r)) for g, r in zip(group, data)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double, w double").repartition(5)
     fractions = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
     for few in (10, 500, 50_000):
-        got = quantile_row(df, ["x", "y", "z"], fractions, at_once=100, few=few).first()
-        assert np.allclose([got[c] for c in "xyz"], np.percentile(data, [100 * f for f in fractions], axis=0).T, rtol=1e-12)
+        got = {r["g"]: [r[c] for c in "xyzw"] for r in group_quantiles(df, "g", ["x", "y", "z", "w"], fractions, few).collect()}
+        assert set(got) == {None, *range(8)}
+        for g, found in got.items():
+            want = np.percentile(data[group == (8 if g is None else g)], [100 * f for f in fractions], axis=0).T
+            assert np.allclose(found, want, rtol=1e-12), (few, g)
+    assert quantile_row(df.where("g = 77"), ["x"], [0.5]).first()["x"] is None
+
+
+def test_quantiles_collect_no_repeated_values(spark):
+    """A wanted rank between two values that are each repeated far beyond what may be sorted: the values are counted, never gathered."""
+    from orbitspark.operators import quantiles
+
+    df = spark.range(3_000_000, numPartitions=8).select((F.col("id") % 2).cast("double").alias("x"), F.lit("one").alias("run"))
+    assert quantiles.quantile_row(df, ["x"], [0.25, 0.5, 0.75], few=1000).first()["x"] == [0.0, 0.5, 1.0]
+    long = df.select(F.struct("run").alias("g"), F.lit("x").alias("c"), F.col("x").alias("v"))
+    sizes = long.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo_x"), F.max("v").alias("hi_x"))
+    state = quantiles.narrowed(long, quantiles.ranges(sizes, ["x"], [0.5]), 1)
+    assert sorted((r["lo"], r["hi"], r["n"], r["below"]) for r in state.collect()) == [(0.0, 0.0, 1_500_000, 0), (1.0, 1.0, 1_500_000, 1_500_000)]
+
+
+def test_clouds_by_run(spark):
+    rng = np.random.default_rng(6)
+    runs = {"a": rng.normal(size=(300, 3)), "b": rng.normal(5, 2, (50, 3)), None: rng.normal(size=(20, 3)), "none": np.full((2, 3), np.nan)}
+    runs["a"][0] = [1e6, 0, 0]
+    rows = [(r, k, *map(float, p)) for r, ps in runs.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "run string, point_id long, x double, y double, z double")
+    kept = {r["run"]: r["n"] for r in cl.filter_outliers(df, 3.0, "run").groupBy("run").agg(F.count("*").alias("n")).collect()}
+    info = {r["run"]: r for r in cl.outlier_info(df, 3.0, "run").collect()}
+    ext = {r["run"]: r for r in cl.robust_extent(df, 98.0, "run").collect()}
+    box = {r["run"]: r for r in cl.bounding_box(df, "run").collect()}
+    assert set(info) == set(ext) == set(box) == set(runs) and (ext["none"]["cx"], ext["none"]["radius"]) == (0.0, 1.0) and box["none"]["reason"]
+    for run, xyz in runs.items():
+        if run == "none":
+            continue
+        one = points(spark, xyz)
+        assert kept[run] == cl.filter_outliers(one).count() == info[run]["n_kept"]
+        q = cl.robust_extent(one).first()
+        assert all(ext[run][c] == pytest.approx(q[c]) for c in ("cx", "cy", "cz", "radius"))
+        assert [box[run][f"max_{c}"] for c in "xyz"] == xyz.max(axis=0).tolist()
 
 
 def test_extent(spark):

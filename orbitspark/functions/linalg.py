@@ -91,27 +91,6 @@ def solve(m: Mat, b: Vec) -> Vec:
     return det(transpose((b, cols[1], cols[2]))) / d, det(transpose((cols[0], b, cols[2]))) / d, det(transpose((cols[0], cols[1], b))) / d
 
 
-def eigenvalues(a11: Column, a12: Column, a13: Column, a22: Column, a23: Column, a33: Column) -> Vec:
-    """Eigenvalues of a symmetric matrix, largest first, by the trigonometric roots of its cubic."""
-    q = (a11 + a22 + a33) / 3
-    off = a12 * a12 + a13 * a13 + a23 * a23
-    p = F.sqrt(((a11 - q) * (a11 - q) + (a22 - q) * (a22 - q) + (a33 - q) * (a33 - q) + 2 * off) / 6)
-    s = F.nullif(p, F.lit(0.0))
-    b = ((a11 - q) / s, a12 / s, a13 / s), (a12 / s, (a22 - q) / s, a23 / s), (a13 / s, a23 / s, (a33 - q) / s)
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(det(b), F.lit(2.0)) / 2))) / 3
-    high = q + 2 * p * F.cos(phi)
-    low = q + 2 * p * F.cos(phi + F.lit(2.0943951023931953))
-    return high, 3 * q - high - low, low
-
-
-def null_vector(m: Mat) -> Vec:
-    """Unit vector of a singular symmetric matrix's kernel: the longest cross product of two rows."""
-    a, b, c = cross(m[0], m[1]), cross(m[0], m[2]), cross(m[1], m[2])
-    na, nb, nc = dot(a, a), dot(b, b), dot(c, c)
-    best = lambda i: F.when((na >= nb) & (na >= nc), a[i]).when(nb >= nc, b[i]).otherwise(c[i])
-    return unit((best(0), best(1), best(2)))
-
-
 def across(u: Vec) -> Vec:
     """The axis on which a vector has its smallest component, so that the two are far from parallel."""
     a, b, c = (F.abs(x) for x in u)
@@ -120,24 +99,6 @@ def across(u: Vec) -> Vec:
     return one(first), one(second), one(~first & ~second)
 
 
-def rotation_between(u: Vec, v: Vec) -> Mat:
-    """Smallest rotation of unit vector u onto unit vector v; half a turn for opposite ones."""
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v)))
-    k = cross(u, v)
-    zero = F.lit(0.0)
-    cx = (zero, -k[2], k[1]), (k[2], zero, -k[0]), (-k[1], k[0], zero)
-    square = matmul(cx, cx)
-    axis = unit(cross(u, across(u)))
-    out = []
-    for i in range(3):
-        row = []
-        for j in range(3):
-            one = F.lit(1.0 if i == j else 0.0)
-            row.append(F.when(c > 1 - 1e-12, one).when(c < -1 + 1e-12, 2 * axis[i] * axis[j] - one).otherwise(one + cx[i][j] + square[i][j] / (1 + c)))
-        out.append(tuple(row))
-    return tuple(out)
-
-
 def quaternion_to_matrix(w: Column, x: Column, y: Column, z: Column) -> Mat:
     """Rotation of a quaternion, normalised first; null for a zero or non-finite one."""
     n = F.sqrt(w * w + x * x + y * y + z * z)
@@ -171,3 +132,57 @@ def matrix_to_quaternion(m: Mat) -> tuple[Column, Column, Column, Column]:
         q.append(x.otherwise(rest[k]))
     sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
     return tuple(x * sign for x in q)
+
+
+def with_eigenvalues(df: DataFrame, entries: list[str], out: list[str]) -> DataFrame:
+    """Adds the eigenvalues of the symmetric matrix of six columns (11, 12, 13, 22, 23, 33), largest first, by the trigonometric roots of its cubic."""
+    a11, a12, a13, a22, a23, a33 = (F.col(c) for c in entries)
+    q, p = F.col("_q"), F.col("_p")
+    df = step(df, {"_q": (a11 + a22 + a33) / 3})
+    df = step(df, {"_p": F.sqrt(((a11 - q) * (a11 - q) + (a22 - q) * (a22 - q) + (a33 - q) * (a33 - q) + 2 * (a12 * a12 + a13 * a13 + a23 * a23)) / 6)})
+    d = F.nullif(p, F.lit(0.0))
+    df = step(df, named("_b0 _b1 _b2 _b3 _b4 _b5", ((a11 - q) / d, a12 / d, a13 / d, (a22 - q) / d, a23 / d, (a33 - q) / d)))
+    b = [F.col(f"_b{i}") for i in range(6)]
+    half = F.coalesce(det(((b[0], b[1], b[2]), (b[1], b[3], b[4]), (b[2], b[4], b[5]))) / 2, F.lit(1.0))
+    df = step(df, {"_phi": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3})
+    df = step(df, {out[0]: q + 2 * p * F.cos("_phi"), out[2]: q + 2 * p * F.cos(F.col("_phi") + F.lit(2.0943951023931953))})
+    df = df.withColumn(out[1], 3 * q - F.col(out[0]) - F.col(out[2]))
+    return df.drop("_q", "_p", "_phi", *(f"_b{i}" for i in range(6)))
+
+
+def with_null_vector(df: DataFrame, entries: list[str], low: str, out: list[str]) -> DataFrame:
+    """Adds the unit eigenvector of the eigenvalue ``low``: the longest cross product of two rows of the matrix less that value."""
+    a11, a12, a13, a22, a23, a33 = (F.col(c) for c in entries)
+    e = F.col(low)
+    rows = (a11 - e, a12, a13), (a12, a22 - e, a23), (a13, a23, a33 - e)
+    pairs = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
+    df = step(df, {f"_v{i}{j}": x for i, v in enumerate(pairs) for j, x in enumerate(v)})
+    sides = [vec(*(f"_v{i}{j}" for j in range(3))) for i in range(3)]
+    df = step(df, {f"_w{i}": dot(v, v) for i, v in enumerate(sides)})
+    w = [F.col(f"_w{i}") for i in range(3)]
+    longest = [F.when((w[0] >= w[1]) & (w[0] >= w[2]), sides[0][j]).when(w[1] >= w[2], sides[1][j]).otherwise(sides[2][j]) for j in range(3)]
+    df = step(df, named("_l0 _l1 _l2", longest))
+    df = step(df, dict(zip(out, unit(vec("_l0", "_l1", "_l2")))))
+    return df.drop(*(f"_v{i}{j}" for i in range(3) for j in range(3)), *(f"_{c}{i}" for c in "wl" for i in range(3)))
+
+
+def with_rotation(df: DataFrame, u: list[str], v: Vec, out: list[str]) -> DataFrame:
+    """Adds the nine entries of the smallest rotation of the unit vector ``u`` (columns) onto ``v``; half a turn for opposite ones."""
+    here = vec(*u)
+    df = step(df, {"_c": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(here, v)))} | named("_k0 _k1 _k2", cross(here, v)) | named("_h0 _h1 _h2", across(here)))
+    df = step(df, named("_x0 _x1 _x2", unit(cross(here, vec("_h0", "_h1", "_h2")))))
+    c, k, axis = F.col("_c"), vec("_k0", "_k1", "_k2"), vec("_x0", "_x1", "_x2")
+    turn, entries = rodrigues(k, 1 / (1 + c)), {}
+    for i in range(3):
+        for j in range(3):
+            one = F.lit(1.0 if i == j else 0.0)
+            entries[out[3 * i + j]] = F.when(c > 1 - 1e-12, one).when(c < -1 + 1e-12, 2 * axis[i] * axis[j] - one).otherwise(turn[i][j])
+    return step(df, entries).drop("_c", *(f"_{n}{i}" for n in "khx" for i in range(3)))
+
+
+def rodrigues(k: Vec, factor: Column) -> Mat:
+    """I + K + factor K K for the cross-product matrix K of k."""
+    zero = F.lit(0.0)
+    m = (zero, -k[2], k[1]), (k[2], zero, -k[0]), (-k[1], k[0], zero)
+    square = matmul(m, m)
+    return tuple(tuple(F.lit(1.0 if i == j else 0.0) + m[i][j] + square[i][j] * factor for j in range(3)) for i in range(3))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from orbitspark.functions import linalg as la
 from orbitspark.functions.measures import finite
+from orbitspark.operators.cloud import medians, with_row
+from orbitspark.storage import written
 
 R = [f"r{i}{j}" for i in range(3) for j in range(3)]
 T = ["t0", "t1", "t2"]
-#: Gate of the alignment: least cameras, greatest planarity, least arc, least agreement of up.
+#: Fixed values, the gate of the alignment: least cameras, greatest planarity, least arc, least agreement of up.
 GATE = {"min_cameras": 6, "max_planarity": 0.25, "min_arc_deg": 180.0, "min_sign_agreement": 0.3}
 
 
@@ -68,20 +70,20 @@ def framing_distance(radius: Column, fov_deg: float = 35.0, margin: float = 1.12
     return radius * margin / F.sin(F.lit(fov_deg * pi / 360))
 
 
-def transform_points(points: DataFrame, transform: DataFrame) -> DataFrame:
-    """x' = A x + a for the one-row ``transform`` of columns r00..r22, t0..t2, broadcast."""
+def transform_points(points: DataFrame, transform: DataFrame, run: str | None = None) -> DataFrame:
+    """x' = A x + a for ``transform`` of columns r00..r22, t0..t2: one row, broadcast, or with ``run`` one a run."""
     moved = la.add(la.matvec(rotation(), la.vec("x", "y", "z")), translation())
     rest = [c for c in points.columns if c not in ("x", "y", "z")]
-    return points.crossJoin(F.broadcast(transform.select(*R, *T))).select(*rest, *(m.alias(c) for m, c in zip(moved, "xyz")))
+    return with_row(points, transform.select(*([] if run is None else [run]), *R, *T), run).select(*rest, *(m.alias(c) for m, c in zip(moved, "xyz")))
 
 
-def transform_poses(cameras: DataFrame, transform: DataFrame) -> DataFrame:
-    """Poses in the moved world: R' = R A', t' = t - R' a."""
-    one = transform.select(*(F.col(c).alias(f"A{c}") for c in R), *(F.col(c).alias(f"A{c}") for c in T))
+def transform_poses(cameras: DataFrame, transform: DataFrame, run: str | None = None) -> DataFrame:
+    """Poses in the moved world: R' = R A', t' = t - R' a; one transform, or with ``run`` one a run."""
+    one = transform.select(*([] if run is None else [run]), *(F.col(c).alias(f"A{c}") for c in R), *(F.col(c).alias(f"A{c}") for c in T))
     r = la.matmul(rotation(), la.transpose(la.mat([f"A{c}" for c in R])))
     t = la.sub(translation(), la.matvec(r, la.vec(*(f"A{c}" for c in T))))
     rest = [c for c in cameras.columns if c not in R + T]
-    return cameras.crossJoin(F.broadcast(one)).select(*rest, *(r[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), *(x.alias(c) for x, c in zip(t, T)))
+    return with_row(cameras, one, run).select(*rest, *(r[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), *(x.alias(c) for x, c in zip(t, T)))
 
 
 def invert_transform(transform: DataFrame) -> DataFrame:
@@ -106,114 +108,144 @@ def project(points: DataFrame, cameras: DataFrame, least_depth: float = 0.0) ->
     return seen.withColumn("u", F.when(F.col("valid"), u)).withColumn("v", F.when(F.col("valid"), v)).drop("fx", "fy", "cx", "cy", "_x", "_y")
 
 
-def ring_plane(cameras: DataFrame) -> DataFrame:
-    """One row: cameras, centroid, plane normal (its sign by the mean up), singular values and planarity s3/s2."""
-    names = [f"c{a}" for a in "xyz"]
-    rows = cameras.select(*(c.alias(n) for c, n in zip(centre(), names)), *(c.alias(f"u{a}") for c, a in zip(up(), "xyz")))
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    one = rows.agg(
-        F.count("*").alias("n"), *(F.avg(f"c{a}").alias(f"c{a}") for a in "xyz"), *(F.avg(f"u{a}").alias(f"u{a}") for a in "xyz"),
-        *(F.covar_pop(f"c{a}", f"c{b}").alias(f"s{a}{b}") for a, b in pairs),
-    )
-    one = pinned(one)
-    e = la.eigenvalues(*(F.col(f"s{a}{b}") for a, b in pairs))
-    one = one.select("*", *(x.alias(f"e{i}") for i, x in enumerate(e)))
-    low = F.col("e2")
-    m = (F.col("sxx") - low, F.col("sxy"), F.col("sxz")), (F.col("sxy"), F.col("syy") - low, F.col("syz")), (F.col("sxz"), F.col("syz"), F.col("szz") - low)
-    normal = la.null_vector(m)
-    one = one.select("*", *(x.alias(f"m{a}") for x, a in zip(normal, "xyz")))
-    sign = F.when(la.dot(la.vec("mx", "my", "mz"), la.vec("ux", "uy", "uz")) < 0, -1.0).otherwise(1.0)
-    s = [F.sqrt(F.greatest(F.col(f"e{i}"), F.lit(0.0)) * F.col("n")) for i in range(3)]
-    one = one.select("n", "cx", "cy", "cz", "ux", "uy", "uz", *((F.col(f"m{a}") * sign).alias(f"n{a}") for a in "xyz"), *(x.alias(f"s{i + 1}") for i, x in enumerate(s)))
-    return one.withColumn("planarity", F.when(F.col("s2") > 1e-12, F.col("s3") / F.col("s2")))
-
-
-def nearest_point_to_rays(rays: DataFrame) -> DataFrame:
-    """One row: the least-squares point of all rays (o, d), null if they are nearly parallel."""
+RING, RAYS = [f"s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")], [f"a{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+
+
+def keys(run: str | None) -> list[str]:
+    return [] if run is None else [run]
+
+
+def ring_sums() -> list[Column]:
+    """Aggregates of camera centres (cx, cy, cz) and ups (ux, uy, uz): count, means, covariances."""
+    means = [F.avg(f"{n}{a}").alias(f"{n}{a}") for n in "cu" for a in "xyz"]
+    return [F.count("*").alias("n"), *means, *(F.covar_pop(f"c{s[1]}", f"c{s[2]}").alias(s) for s in RING)]
+
+
+def ring_frame(one: DataFrame) -> DataFrame:
+    """Adds the plane's normal (nx, ny, nz; its sign by the mean up), singular values s1 to s3 and planarity to rows of ``ring_sums``."""
+    one = la.with_eigenvalues(one, RING, ["_e1", "_e2", "_e3"])
+    one = la.with_null_vector(one, RING, "_e3", ["_m0", "_m1", "_m2"])
+    m = la.vec("_m0", "_m1", "_m2")
+    one = la.step(one, {"_sign": F.when(la.dot(m, la.vec("ux", "uy", "uz")) < 0, -1.0).otherwise(1.0)} | {f"s{i}": F.sqrt(F.greatest(F.col(f"_e{i}"), F.lit(0.0)) * F.col("n")) for i in (1, 2, 3)})
+    one = one.withColumns({f"n{a}": x * F.col("_sign") for a, x in zip("xyz", m)}).withColumn("planarity", F.when(F.col("s2") > 1e-12, F.col("s3") / F.col("s2")))
+    return one.drop("_sign", *(f"_e{i}" for i in (1, 2, 3)), *(f"_m{i}" for i in range(3)), *RING)
+
+
+def ray_sums() -> list[Column]:
+    """Aggregates of rays (ox, oy, oz) along unit vectors (dx, dy, dz): the normal equations of their nearest point."""
+    o, d = la.vec("ox", "oy", "oz"), la.vec("dx", "dy", "dz")
+    at = dict(zip("xyz", range(3)))
+    sums = [F.sum(F.lit(1.0 if s[1] == s[2] else 0.0) - d[at[s[1]]] * d[at[s[2]]]).alias(s) for s in RAYS]
+    return sums + [F.sum(o[i] - d[i] * la.dot(d, o)).alias(f"b{a}") for a, i in at.items()]
+
+
+def ray_point(one: DataFrame) -> DataFrame:
+    """Adds the least-squares point (px, py, pz) to rows of ``ray_sums``, null where rays are nearly parallel."""
+    one = la.with_eigenvalues(one, RAYS, ["_high", "_mid", "_low"])
+    a = {s[1:]: F.col(s) for s in RAYS}
+    m = (a["xx"], a["xy"], a["xz"]), (a["xy"], a["yy"], a["yz"]), (a["xz"], a["yz"], a["zz"])
+    good = (F.col("_low") > 0) & (F.col("_high") / F.nullif(F.col("_low"), F.lit(0.0)) <= 1e8)
+    one = la.step(one, {f"p{a}": F.when(good, x) for a, x in zip("xyz", la.solve(m, la.vec("bx", "by", "bz")))})
+    return one.drop("_high", "_mid", "_low", *RAYS, "bx", "by", "bz")
+
+
+def ring_plane(cameras: DataFrame, run: str | None = None) -> DataFrame:
+    """Cameras, centroid, plane normal (its sign by the mean up), singular values and planarity s3/s2: one row, or one a run."""
+    rows = cameras.select(*keys(run), *(c.alias(f"c{a}") for c, a in zip(centre(), "xyz")), *(c.alias(f"u{a}") for c, a in zip(up(), "xyz")))
+    one = ring_frame(rows.groupBy(*keys(run)).agg(*ring_sums()))
+    return one.select(*keys(run), "n", "cx", "cy", "cz", "ux", "uy", "uz", "nx", "ny", "nz", "s1", "s2", "s3", "planarity")
+
+
+def nearest_point_to_rays(rays: DataFrame, run: str | None = None) -> DataFrame:
+    """The least-squares point of all rays (o, d), null if they are nearly parallel: one row, or one a run."""
     d = la.unit(la.vec("dx", "dy", "dz"))
-    o = la.vec("ox", "oy", "oz")
-    entries = {}
-    for i, a in enumerate("xyz"):
-        for j, b in enumerate("xyz"):
-            entries[f"a{a}{b}"] = F.sum(F.lit(1.0 if i == j else 0.0) - d[i] * d[j])
-        entries[f"b{a}"] = F.sum(o[i] - d[i] * la.dot(d, o))
-    one = pinned(rays.agg(F.count("*").alias("n"), *(x.alias(k) for k, x in entries.items())))
-    high, _, low = la.eigenvalues(*(F.col(c) for c in ("axx", "axy", "axz", "ayy", "ayz", "azz")))
-    m = la.mat([f"a{a}{b}" for a in "xyz" for b in "xyz"])
-    x = la.solve(m, la.vec("bx", "by", "bz"))
-    good = (low > 0) & (high / F.nullif(low, F.lit(0.0)) <= 1e8)
-    return one.select("n", *(F.when(good, v).alias(f"p{a}") for v, a in zip(x, "xyz")))
-
-
-def arc_coverage(cameras: DataFrame, frame: DataFrame) -> DataFrame:
-    """One row: 360 degrees less the widest gap between camera azimuths around (px, py, pz) in the plane of (nx, ny, nz).
-
-    The few cameras of one run are ordered; ``frame`` is one row, broadcast.
-    """
-    rows = cameras.select(*(c.alias(f"c{a}") for c, a in zip(centre(), "xyz"))).crossJoin(F.broadcast(frame.select("px", "py", "pz", "nx", "ny", "nz")))
+    rows = la.step(rays.select(*keys(run), "ox", "oy", "oz", "dx", "dy", "dz"), la.named("dx dy dz", d))
+    return ray_point(rows.groupBy(*keys(run)).agg(F.count("*").alias("n"), *ray_sums())).select(*keys(run), "n", "px", "py", "pz")
+
+
+def arc_coverage(cameras: DataFrame, frame: DataFrame, run: str | None = None) -> DataFrame:
+    """360 degrees less the widest gap between camera azimuths around (px, py, pz) in the plane of (nx, ny, nz): one row, or one a run."""
     n = la.vec("nx", "ny", "nz")
-    helper = F.when(F.abs("nx") < 0.9, 1.0).otherwise(0.0), F.when(F.abs("nx") < 0.9, 0.0).otherwise(1.0), F.lit(0.0)
-    e1 = la.unit(la.cross(n, helper))
-    e2 = la.cross(n, e1)
-    away = la.sub(la.vec("cx", "cy", "cz"), la.vec("px", "py", "pz"))
-    angle = F.pmod(F.degrees(F.atan2(la.dot(away, e2), la.dot(away, e1))), F.lit(360.0))
-    return widest_gap(rows.select(F.lit(1).alias("run"), angle.alias("angle")), "run").select("arc_deg")
+    axes = la.step(frame.select(*keys(run), "px", "py", "pz", "nx", "ny", "nz"), la.named("_h0 _h1 _h2", la.across(n)))
+    axes = la.step(axes, la.named("_a0 _a1 _a2", la.unit(la.cross(n, la.vec("_h0", "_h1", "_h2")))))
+    axes = la.step(axes, la.named("_b0 _b1 _b2", la.cross(n, la.vec("_a0", "_a1", "_a2"))))
+    rows = with_row(cameras.select(*keys(run), *(c.alias(f"_c{a}") for c, a in zip(centre(), "xyz"))), axes, run)
+    away = la.sub(la.vec("_cx", "_cy", "_cz"), la.vec("px", "py", "pz"))
+    angle = F.pmod(F.degrees(F.atan2(la.dot(away, la.vec("_b0", "_b1", "_b2")), la.dot(away, la.vec("_a0", "_a1", "_a2")))), F.lit(360.0))
+    out = widest_gap(rows.select(*(keys(run) or [F.lit(1).alias("run")]), angle.alias("angle")), run or "run")
+    return out.select(*keys(run), "arc_deg")
+
 
+def widest_gap(angles: DataFrame, run: str, sectors: int = 1024) -> DataFrame:
+    """Per run: 360 less the widest gap between neighbouring angles around the circle; 0 below two.
 
-def widest_gap(angles: DataFrame, run: str) -> DataFrame:
-    """Per run: 360 less the widest gap between neighbouring angles around the circle; 0 below two."""
-    w = Window.partitionBy(run).orderBy("angle")
-    nxt = F.coalesce(F.lead("angle").over(w), F.first("angle").over(w) + 360)
-    gaps = angles.withColumn("gap", nxt - F.col("angle"))
-    return gaps.groupBy(run).agg(F.when(F.count("*") < 2, 0.0).otherwise(360 - F.max("gap")).alias("arc_deg"))
+    Neighbours are found within sectors of the circle first, so that a run of any length is dealt over tasks; then
+    between the ends of its sectors, ``sectors`` rows a run at most.
+    """
+    sector = F.floor(F.pmod("angle", F.lit(360.0)) / 360.0 * sectors)
+    rows = angles.select(run, "angle", sector.alias("_sector"))
+    within_ = Window.partitionBy(run, "_sector").orderBy("angle")
+    rows = rows.withColumn("_gap", F.lead("angle").over(within_) - F.col("angle"))
+    ends = rows.groupBy(run, "_sector").agg(F.max("_gap").alias("_gap"), F.min("angle").alias("_low"), F.max("angle").alias("_high"), F.count("*").alias("_n"))
+    w = Window.partitionBy(run)
+    following = F.coalesce(F.lead("_low").over(w.orderBy("_low")), F.min("_low").over(w) + 360)
+    ends = ends.withColumn("_gap", F.greatest("_gap", following - F.col("_high")))
+    return ends.groupBy(run).agg(F.when(F.sum("_n") < 2, 0.0).otherwise(360 - F.max("_gap")).alias("arc_deg"))
 
 
-def estimate_alignment(cameras: DataFrame, points: DataFrame | None = None, gate: dict | None = None, first: str = "k") -> DataFrame:
-    """One row: status, reason, centre method, quality and the transform that puts the object at the origin, +Y up.
+def estimate_alignment(cameras: DataFrame, points: DataFrame | None = None, gate: dict | None = None, first: str = "k", run: str | None = None) -> DataFrame:
+    """Status, reason, centre method, quality and the transform that puts the object at the origin, +Y up: one row, or with ``run`` one a run, of any number of runs.
 
     The centre is where the optical axes meet if it lies before most cameras, else the median of the
     points, else the mean of the cameras. If a check of the gate fails, the world is only re-centred.
     The camera of the smallest ``first`` goes to the front (+Z).
+
+    Cameras are read three times: for the sums of a run, for the share that looks at the meeting point, and for their
+    azimuths. All else are formulas over one row a run; nothing goes through the driver.
     """
-    gate = gate or GATE
-    ring = ring_plane(cameras)
-    rays = cameras.select(F.col(first).alias("k"), *(c.alias(f"o{a}") for c, a in zip(centre(), "xyz")), *(c.alias(f"d{a}") for c, a in zip(forward(), "xyz")))
-    meet = pinned(nearest_point_to_rays(rays).drop("n"))
-    before = rays.crossJoin(F.broadcast(meet)).agg(F.avg((la.dot(la.sub(la.vec("px", "py", "pz"), la.vec("ox", "oy", "oz")), la.vec("dx", "dy", "dz")) > 0).cast("double")).alias("before"), F.min_by(F.struct("ox", "oy", "oz"), "k").alias("o"))
+    gate, key = gate or GATE, keys(run) or ["_one"]
+    cameras = cameras if run else cameras.withColumn("_one", F.lit(1))
+    points = points if points is None or run else points.withColumn("_one", F.lit(1))
+    rows = cameras.select(key[0], F.col(first).alias("_k"), *(c.alias(f"c{a}") for c, a in zip(centre(), "xyz")), *(c.alias(f"u{a}") for c, a in zip(up(), "xyz")), *(c.alias(f"d{a}") for c, a in zip(forward(), "xyz")))
+    rows = la.step(rows, la.named("dx dy dz", la.unit(la.vec("dx", "dy", "dz"))) | {f"o{a}": F.col(f"c{a}") for a in "xyz"})
+    one = rows.groupBy(*key).agg(*ring_sums(), *ray_sums(), F.min_by(F.struct("ox", "oy", "oz"), "_k").alias("o"))
+    one = written(ray_point(ring_frame(one)).select(*key, "n", *(f"{v}{a}" for v in "cupn" for a in "xyz"), "s1", "s2", "s3", "planarity", "o.*"), "frames")
+    meet = one.select(*key, "px", "py", "pz")
+    toward = la.dot(la.sub(la.vec("px", "py", "pz"), la.vec("ox", "oy", "oz")), la.vec("dx", "dy", "dz"))
+    before = with_row(rows.select(*key, "ox", "oy", "oz", "dx", "dy", "dz"), meet, key[0]).groupBy(*key).agg(F.avg((toward > 0).cast("double")).alias("_before"))
+    one = with_row(one, before, key[0])
     if points is None:
-        mid = cameras.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(f"m{a}") for a in "xyz"))
+        one = one.withColumns({f"m{a}": F.lit(None).cast("double") for a in "xyz"})
     else:
-        from orbitspark.operators.cloud import medians
-
-        mid = medians(points)
-    one = pinned(ring.crossJoin(meet).crossJoin(before).crossJoin(mid))
-    axes = F.col("px").isNotNull() & (F.col("before") >= 0.5)
+        middle = medians(points, key[0]).withColumnRenamed(key[0], "_of")
+        one = one.join(middle, F.col(key[0]).eqNullSafe(F.col("_of")), "left").drop("_of")
+    axes = F.col("px").isNotNull() & (F.col("_before") >= 0.5)
     by_points = F.col("mx").isNotNull()
-    one = one.withColumn("centre_method", F.when(axes, "optical_axes").when(by_points, "points_median").otherwise("camera_centroid"))
-    for a in "xyz":
-        one = one.withColumn(f"p{a}", F.when(axes, F.col(f"p{a}")).when(by_points, F.col(f"m{a}")).otherwise(F.col(f"c{a}")))
-    one = pinned(one.crossJoin(pinned(arc_coverage(cameras, one))))
+    method = F.when(axes, "optical_axes").when(by_points, "points_median").otherwise("camera_centroid")
+    one = la.step(one, {"centre_method": method} | {f"p{a}": F.when(axes, F.col(f"p{a}")).when(by_points, F.col(f"m{a}")).otherwise(F.col(f"c{a}")) for a in "xyz"})
+    one = written(one, "frames")
+    one = with_row(one, arc_coverage(cameras, one, key[0]), key[0])
     one = one.withColumn("sign_agreement", la.dot(la.vec("nx", "ny", "nz"), la.vec("ux", "uy", "uz")))
-    enough = F.col("n") >= 3
+    some = F.col("n") >= 3
     checks = {
-        "min_cameras": F.col("n") >= gate["min_cameras"], "max_planarity": enough & (F.col("planarity") <= gate["max_planarity"]),
-        "min_arc_deg": enough & (F.col("arc_deg") >= gate["min_arc_deg"]), "min_sign_agreement": enough & (F.col("sign_agreement") >= gate["min_sign_agreement"]),
+        "min_cameras": F.col("n") >= gate["min_cameras"], "max_planarity": some & (F.col("planarity") <= gate["max_planarity"]),
+        "min_arc_deg": some & (F.col("arc_deg") >= gate["min_arc_deg"]), "min_sign_agreement": some & (F.col("sign_agreement") >= gate["min_sign_agreement"]),
     }
-    failed = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items())))
-    one = one.withColumn("failed", F.array_join(failed, ", "))
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in checks.items())))
+    one = la.step(one, {"failed": F.array_join(failed, ", ")})
+    # The tilt takes the normal to +Y; the yaw then takes the first camera, seen from above, to +Z.
+    tilt_names, yaw_names = ([f"_{n}{i}{j}" for i in range(3) for j in range(3)] for n in "tw")
+    one = la.with_rotation(one, ["nx", "ny", "nz"], la.lit3(0, 1, 0), tilt_names)
+    tilt, yaw = la.mat(tilt_names), la.mat(yaw_names)
+    one = la.step(one, la.named("_g0 _g1 _g2", la.matvec(tilt, la.sub(la.vec("ox", "oy", "oz"), la.vec("px", "py", "pz")))))
+    level = la.unit((F.col("_g0"), F.lit(0.0), F.col("_g2")))
+    one = la.step(one, {f"_l{i}": F.coalesce(x, F.lit(1.0 if i == 2 else 0.0)) for i, x in enumerate(level)})
+    one = la.with_rotation(one, ["_l0", "_l1", "_l2"], la.lit3(0, 0, 1), yaw_names)
     good = F.col("failed") == ""
-    tilt = la.rotation_between(la.vec("nx", "ny", "nz"), la.lit3(0, 1, 0))
-    one = pinned(one.select("*", *(tilt[i][j].alias(f"a{i}{j}") for i in range(3) for j in range(3))))
-    tilt = la.mat([f"a{i}{j}" for i in range(3) for j in range(3)])
-    ahead = la.matvec(tilt, la.sub((F.col("o.ox"), F.col("o.oy"), F.col("o.oz")), la.vec("px", "py", "pz")))
-    level = (ahead[0], F.lit(0.0), ahead[2])
-    one = pinned(one.select("*", *(F.coalesce(x, F.lit(1.0 if i == 2 else 0.0)).alias(f"h{i}") for i, x in enumerate(la.unit(level)))))
-    yaw = la.rotation_between(la.vec("h0", "h1", "h2"), la.lit3(0, 0, 1))
-    one = pinned(one.select("*", *(yaw[i][j].alias(f"b{i}{j}") for i in range(3) for j in range(3))))
-    both = la.matmul(la.mat([f"b{i}{j}" for i in range(3) for j in range(3)]), tilt)
-    one = one.select("*", *(F.when(good, both[i][j]).otherwise(1.0 if i == j else 0.0).alias(f"r{i}{j}") for i in range(3) for j in range(3)))
+    both = la.matmul(yaw, tilt)
+    one = la.step(one, {f"r{i}{j}": F.when(good, both[i][j]).otherwise(1.0 if i == j else 0.0) for i in range(3) for j in range(3)})
     t = la.scale(la.matvec(rotation(), la.vec("px", "py", "pz")), -1.0)
     return one.select(
-        F.when(good, "estimated").otherwise("not_estimated").alias("status"), F.when(~good, F.concat(F.lit("quality gate not passed: "), F.col("failed"))).alias("reason"), "centre_method",
+        *keys(run), F.when(good, "estimated").otherwise("not_estimated").alias("status"), F.when(~good, F.concat(F.lit("quality gate not passed: "), F.col("failed"))).alias("reason"), "centre_method",
         F.col("n").alias("num_cameras"), "planarity", F.col("arc_deg").alias("arc_coverage_deg"), "sign_agreement", *R, *(x.alias(c) for x, c in zip(t, T)),
     )

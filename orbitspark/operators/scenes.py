@@ -104,18 +104,17 @@ def render_points(points: DataFrame, cameras: DataFrame, point_size: float = 2.2
     """The pixels that points cover in each camera's picture: view, px, py, r, g, b; pixels not listed are background.
 
     Splats are disks in a picture ``supersample`` times as large. Of those on a pixel the nearest wins, of equals the smallest index. Far points are darkened
-    by up to ``shading`` between the 2nd and 98th percentile of depth of a view. A pixel of the picture is the mean of its fine pixels, uncovered ones white.
+    by up to ``shading`` between the exact 2nd and 98th percentile of depth of a view. A pixel of the picture is the mean of its fine pixels, uncovered ones white.
     A point whose disk misses the picture is dropped before its disk is spread out, and points that share a fine pixel as
     their middle are reduced to the nearest first, so that the spread is bounded by the pictures and not by the points.
     """
     reach = max(point_size * supersample / 2, 0.5)
     rows = seen(points, cameras).withColumns({"mx": F.rint(F.col("u") * supersample).cast("long"), "my": F.rint(F.col("v") * supersample).cast("long")})
-    ends = rows.groupBy("view").agg(F.percentile_approx("depth", F.array(F.lit(0.02), F.lit(0.98)), 10_000).alias("ends"), F.min("depth").alias("lo"), F.max("depth").alias("hi"))
-    near, far = F.get("ends", F.lit(0)), F.get("ends", F.lit(1))
-    dark = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("depth") - near) / F.greatest(far - near, F.lit(1e-9))))
+    ends = cl.quantiles(rows, ["depth"], [0.02, 0.98], "view").select("view", F.get("depth", F.lit(0)).alias("_near"), F.get("depth", F.lit(1)).alias("_far"))
+    dark = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("depth") - F.col("_near")) / F.greatest(F.col("_far") - F.col("_near"), F.lit(1e-9))))
     inside = F.col("mx").between(-reach, F.col("width") * supersample + reach) & F.col("my").between(-reach, F.col("height") * supersample + reach)
     nearest = rows.where(inside).groupBy("view", "mx", "my").agg(F.min_by(F.struct("depth", index, "r", "g", "b", "width", "height"), F.struct("depth", index)).alias("p")).select("view", "mx", "my", "p.*")
-    shaded = nearest.join(F.broadcast(ends), "view").withColumn("light", F.when(F.col("hi") > F.col("lo"), 1 - shading * dark).otherwise(1.0))
+    shaded = cl.with_row(nearest, ends, "view").withColumn("light", 1 - shading * dark)
     splats = shaded.withColumn("o", F.explode(cl.disk_offsets(reach))).withColumns({"px": F.col("mx") + F.col("o.dx"), "py": F.col("my") + F.col("o.dy")})
     splats = splats.where((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < F.col("width") * supersample) & (F.col("py") < F.col("height") * supersample))
     fine = splats.groupBy("view", "px", "py").agg(F.min_by(F.struct(*((F.col(c) * F.col("light")).alias(c) for c in "rgb")), F.struct("depth", index)).alias("p"))

@@ -67,9 +67,11 @@ def q_transform_poses(spark, sf_dir):
     return cam.transform_poses(cameras(spark, sf_dir), transform(spark)).select("k", *(r6(c, c) for c in cam.R + cam.T))
 
 
-@query(f"WITH {MOVE} SELECT {', '.join(s6(f'a{j}{i}', f'r{i}{j}') for i, j in IJ)}, {', '.join(s6(f'-(a0{i} * a0 + a1{i} * a1 + a2{i} * a2)', f't{i}') for i in range(3))} FROM mv")
+@query(f"WITH {POSES} SELECT k, {', '.join(s6(f'm{j}{i}', f'r{i}{j}') for i, j in IJ)}, {', '.join(s6('-(' + ' + '.join(f'm{j}{i} * (t{j} - (m{j}0 * a0 + m{j}1 * a1 + m{j}2 * a2))' for j in range(3)) + ')', f't{i}') for i in range(3))} FROM moved")
 def q_invert(spark, sf_dir):
-    return cam.invert_transform(transform(spark)).select(*(r6(c, c) for c in cam.R + cam.T))
+    """Camera-to-world poses of all cameras of the moved world."""
+    moved = cam.transform_poses(cameras(spark, sf_dir), transform(spark))
+    return cam.invert_transform(moved).select("k", *(r6(c, c) for c in cam.R + cam.T))
 
 
 SCALED = CLOUD + """, pts AS (SELECT point_id, (x - 150) / 300 AS x, (y - 48) / 97 AS y, (z - 1200) / 2400 AS z FROM cloud)"""
@@ -177,6 +179,28 @@ def q_alignment(spark, sf_dir):
     return a.select("status", "centre_method", "num_cameras", r4("planarity", "planarity"), r4("arc_coverage_deg", "arc_coverage_deg"), r4("sign_agreement", "sign_agreement"), *(r4(F.col(c), c) for c in cam.R + cam.T))
 
 
+#: Four runs, each with its own part of the circle; the second one's is too short to be aligned.
+ARCS = "(CASE s_suppkey % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 WHEN 2 THEN 1.0 ELSE 0.8 END)"
+RUNS_SQL = TILT_SQL.replace("0.6::DOUBLE * s_suppkey", f"{ARCS}::DOUBLE * s_suppkey").replace("mo AS (SELECT count(*) AS n", "mo AS (SELECT k % 4 AS run_id, count(*) AS n").replace("FROM arc_ring),\ne1", "FROM arc_ring GROUP BY k % 4),\ne1")
+
+
+@query(f"""WITH {RUNS_SQL}, az AS (SELECT s_suppkey % 4 AS run_id, 360 * {ARCS}::DOUBLE * s_suppkey / count(*) OVER () AS angle FROM supplier),
+turned AS (SELECT run_id, CASE WHEN angle >= 360 THEN angle - 360 ELSE angle END AS angle FROM az),
+gaps AS (SELECT run_id, coalesce(lead(angle) OVER (PARTITION BY run_id ORDER BY angle), min(angle) OVER (PARTITION BY run_id) + 360) - angle AS gap FROM turned), arcs AS (SELECT run_id, 360 - max(gap) AS arc FROM gaps GROUP BY run_id),
+q AS (SELECT run_id, n, sqrt(greatest(v3, 0)) / sqrt(v2) AS planarity, arc FROM e5 JOIN arcs USING (run_id)),
+o AS (SELECT k % 4 AS run_id, arg_min(c, k) AS c, arg_min(s, k) AS s FROM ring GROUP BY k % 4),
+good AS (SELECT *, n >= 6 AND planarity <= 0.25 AND arc >= 180 AS good FROM q JOIN o USING (run_id))
+SELECT run_id, CASE WHEN good THEN 'estimated' ELSE 'not_estimated' END AS status, 'optical_axes' AS centre_method, n AS num_cameras, {s4('CASE WHEN n >= 6 THEN planarity END', 'planarity')}, {s4('CASE WHEN n >= 6 THEN arc END', 'arc_coverage_deg')},
+       {', '.join(s4(f'CASE WHEN good THEN {a} ELSE {b} END', x) for x, a, b in zip(cam.R, ('-s', '0.5::DOUBLE * c', 'sqrt(0.75) * c', '0', '-sqrt(0.75)', '0.5', 'c', '0.5::DOUBLE * s', 'sqrt(0.75) * s'), (1, 0, 0, 0, 1, 0, 0, 0, 1)))}, {', '.join(s4('0', x) for x in cam.T)} FROM good""")
+def q_alignment_by_run(spark, sf_dir):
+    """All cameras as four runs, aligned in one job; planarity and arc are stated for runs of six cameras or more, fewer may have no plane."""
+    run = F.col("k") % 4
+    rings = cameras(spark, sf_dir, F.when(run == 0, 0.6).when(run == 1, 0.3).when(run == 2, 1.0).otherwise(0.8))
+    a = cam.estimate_alignment(tilted(spark, rings).withColumn("run_id", run), run="run_id")
+    many = F.col("num_cameras") >= 6
+    return a.select("run_id", "status", "centre_method", "num_cameras", *(r4(F.when(many, F.col(c)), c) for c in ("planarity", "arc_coverage_deg")), *(r4(F.col(c), c) for c in cam.R + cam.T))
+
+
 @query()
 def q_aligned_cloud_bbox(spark, sf_dir):
     """All cameras, squeezed into three fifths of the ring, and the whole cloud aligned, outliers dropped in the aligned world, and its box."""

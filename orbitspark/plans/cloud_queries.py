@@ -94,3 +94,36 @@ def q_splat(spark, sf_dir):
 SELECT point_id, {s6('1 - 0.35::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (depth - near) / greatest(far - near, 1e-9)))', 'shade')} FROM seen, e""")
 def q_depth_shade(spark, sf_dir):
     return cl.shade_by_depth(seen(spark, sf_dir)).select("point_id", r6("shade", "shade"))
+
+
+RUNS = FLAWED + ", runs AS (SELECT *, point_id % 7 AS run_id FROM flawed), valid_runs AS (SELECT *, point_id % 7 AS run_id FROM valid)"
+QUARTS = ", quart AS (SELECT run_id, " + ", ".join(f"quantile_cont({c}, 0.25) AS l{c}, quantile_cont({c}, 0.75) AS h{c}" for c in AXES) + " FROM valid_runs GROUP BY run_id), bounds AS (SELECT run_id, " + ", ".join(
+    f"l{c} - 3.0::DOUBLE * (h{c} - l{c}) AS lo_{c}, h{c} + 3.0::DOUBLE * (h{c} - l{c}) AS hi_{c}" for c in AXES) + " FROM quart)"
+
+
+def clouds(spark, sf_dir):
+    """The flawed cloud as seven runs."""
+    return flawed_cloud(spark, sf_dir).withColumn("run_id", F.col("point_id") % 7)
+
+
+@query(f"WITH {RUNS}{QUARTS} SELECT run_id, point_id FROM valid_runs JOIN bounds USING (run_id) WHERE {' AND '.join(f'{c} BETWEEN lo_{c} AND hi_{c}' for c in AXES)}")
+def q_iqr_by_run(spark, sf_dir):
+    return cl.filter_outliers(clouds(spark, sf_dir), 3.0, "run_id").select("run_id", "point_id")
+
+
+@query(f"WITH {RUNS}{QUARTS} SELECT run_id, count(*) AS n_total, count(*) FILTER (isfinite(x) AND isfinite(y) AND isfinite(z)) AS n_finite, count(*) FILTER ({' AND '.join(f'isfinite({c}) AND {c} BETWEEN lo_{c} AND hi_{c}' for c in AXES)}) AS n_kept, {', '.join(s6(f'any_value({b}_{c})', f'{b}_{c}') for c in AXES for b in ('lo', 'hi'))} FROM runs JOIN bounds USING (run_id) GROUP BY run_id")
+def q_outliers_by_run(spark, sf_dir):
+    info = cl.outlier_info(clouds(spark, sf_dir), 3.0, "run_id")
+    return info.select("run_id", "n_total", "n_finite", "n_kept", *(r6(f"{b}_{c}", f"{b}_{c}") for c in AXES for b in ("lo", "hi")))
+
+
+@query(f"""WITH {RUNS}, mid AS (SELECT run_id, median(x) AS mx, median(y) AS my, median(z) AS mz FROM valid_runs GROUP BY run_id)
+SELECT run_id, {s6('any_value(mx)', 'cx')}, {s6('any_value(my)', 'cy')}, {s6('any_value(mz)', 'cz')}, {s6('quantile_cont(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 0.98)', 'radius')} FROM valid_runs JOIN mid USING (run_id) GROUP BY run_id""")
+def q_extent_by_run(spark, sf_dir):
+    return cl.robust_extent(clouds(spark, sf_dir), 98.0, "run_id").select("run_id", r6("cx", "cx"), r6("cy", "cy"), r6("cz", "cz"), r6("radius", "radius"))
+
+
+@query(f"""WITH {SEEN}, v AS (SELECT *, point_id % 5 AS view FROM seen), e AS (SELECT view, quantile_cont(depth, 0.02) AS near, quantile_cont(depth, 0.98) AS far FROM v GROUP BY view)
+SELECT view, point_id, {s6('1 - 0.35::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (depth - near) / greatest(far - near, 1e-9)))', 'shade')} FROM v JOIN e USING (view)""")
+def q_depth_shade_by_view(spark, sf_dir):
+    return cl.shade_by_depth(seen(spark, sf_dir).withColumn("view", F.col("point_id") % 5), view="view").select("view", "point_id", r6("shade", "shade"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitspark.operators import frames as fr
@@ -64,12 +64,12 @@ FLAWED = CLOUD + """, flawed AS (
   FROM cloud), valid AS (SELECT * FROM flawed WHERE isfinite(x) AND isfinite(y) AND isfinite(z))"""
 
 
-def cameras(spark: SparkSession, sf_dir: str, arc: float = 1.0) -> DataFrame:
+def cameras(spark: SparkSession, sf_dir: str, arc: float | Column = 1.0) -> DataFrame:
     """A ring of cameras, one a supplier: radius 3, 1 above the plane, each looking at the origin; all within ``arc`` of the circle."""
     s = table(spark, sf_dir, "supplier")
     n = s.agg(F.count("*").alias("n"))
     s = s.select(F.col("s_suppkey").alias("k")).crossJoin(F.broadcast(n))
-    phi = F.lit(2 * pi * arc) * F.col("k") / F.col("n")
+    phi = F.lit(2 * pi) * arc * F.col("k") / F.col("n")
     s = s.withColumn("c", F.cos(phi)).withColumn("s", F.sin(phi))
     q = F.sqrt(F.lit(10.0))
     zero = F.lit(0.0)
@@ -85,7 +85,7 @@ cams AS (SELECT *, -(r00 * px + r01 * py + r02 * pz) AS t0, -(r10 * px + r11 * p
 centres AS (SELECT *, -(r00 * t0 + r10 * t1 + r20 * t2) AS cx, -(r01 * t0 + r11 * t1 + r21 * t2) AS cy, -(r02 * t0 + r12 * t1 + r22 * t2) AS cz, -r10 AS ux, -r11 AS uy, -r12 AS uz FROM cams)"""
 
 
-def cameras_sql(arc: float) -> str:
+def cameras_sql(arc: float | str) -> str:
     """The ring within a part of the circle."""
     return CAMERAS.replace("1.0::DOUBLE * s_suppkey", f"{arc}::DOUBLE * s_suppkey")
 

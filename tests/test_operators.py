@@ -210,6 +210,36 @@ def test_alignment_gate(spark, arc, status):
     assert a["status"] == status and (a["reason"] is None) == (status == "estimated")
 
 
+def test_alignment_of_many_runs(spark):
+    rings = {"a": ring(spark, tilt=52, offset=(0.7, -1.3, 2.1)), "b": ring(spark, n=8, tilt=-20), "c": ring(spark, arc=90, tilt=10), "d": ring(spark, n=3), None: ring(spark, n=12, radius=2.0, tilt=180)}
+    cams = None
+    for run, part in rings.items():
+        part = part.withColumn("run", F.lit(run).cast("string"))
+        cams = part if cams is None else cams.unionByName(part)
+    got = {r["run"]: r.asDict() for r in cam.estimate_alignment(cams, run="run").collect()}
+    assert set(got) == set(rings)
+    for run, part in rings.items():
+        alone = cam.estimate_alignment(part).first().asDict()
+        g = {k: v for k, v in got[run].items() if k != "run"}
+        assert all(g[k] == pytest.approx(v, abs=1e-9) if isinstance(v, float) else g[k] == v for k, v in alone.items()), run
+    assert [got[r]["status"] for r in ("a", "b", "c", "d")] == ["estimated", "estimated", "not_estimated", "not_estimated"] and "min_cameras" in got["d"]["reason"]
+    moved = cam.transform_poses(cams, cam.estimate_alignment(cams, run="run"), "run").where("run = 'a' and k = 0").select(*(c.alias(n) for c, n in zip(cam.centre(), "xyz"))).first()
+    assert moved["x"] == pytest.approx(0, abs=1e-6) and moved["z"] > 0
+    pts = spark.createDataFrame([("c", 1.0, 2.0, 3.0), ("c", 3.0, 2.0, 1.0), ("c", 2.0, 2.0, 2.5)], "run string, x double, y double, z double")
+    parallel = spark.createDataFrame([("c", k, *map(float, np.eye(3).ravel()), float(k), 0.0, 0.0) for k in range(7)], ", ".join(["run string, k long", *(f"{c} double" for c in cam.R + cam.T)]))
+    a = cam.estimate_alignment(parallel, pts, run="run").first()
+    assert a["centre_method"] == "points_median" and (a["t0"], a["t1"], a["t2"]) == (-2.0, -2.0, -2.5)
+
+
+def test_widest_gap_is_dealt_by_sector(spark):
+    rng = np.random.default_rng(3)
+    runs = {0: rng.random(5000) * 300, 1: np.array([10.0, 10.0]), 2: np.array([359.9, 0.1, 180.0]), 3: np.array([5.0]), 4: np.arange(0, 360, 15.0), 5: rng.random(40) * 3}
+    df = spark.createDataFrame([(r, float(a)) for r, v in runs.items() for a in v], "run int, angle double")
+    for r in cam.widest_gap(df, "run").collect():
+        v = np.sort(runs[r["run"]])
+        assert r["arc_deg"] == pytest.approx(0 if len(v) < 2 else 360 - np.diff(np.append(v, v[0] + 360)).max(), abs=1e-9)
+
+
 def test_parallel_rays_have_no_meeting_point(spark):
     df = spark.createDataFrame([(float(i), 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(4)], "ox double, oy double, oz double, dx double, dy double, dz double")
     assert cam.nearest_point_to_rays(df).first()["px"] is None
@@ -233,7 +263,7 @@ def test_eigenvalues_follow_numpy(spark):
     rng = np.random.default_rng(9)
     ms_ = [(lambda a: a @ a.T)(rng.normal(size=(3, 3))) for _ in range(40)] + [np.eye(3)]
     df = spark.createDataFrame([(i, *map(float, m[np.triu_indices(3)])) for i, m in enumerate(ms_)], "i long, a double, b double, c double, d double, e double, f double")
-    for r in df.select("i", *(x.alias(f"e{k}") for k, x in enumerate(la.eigenvalues(*(F.col(c) for c in "abcdef"))))).collect():
+    for r in la.with_eigenvalues(df, list("abcdef"), ["e0", "e1", "e2"]).collect():
         assert np.allclose([r["e0"], r["e1"], r["e2"]], np.linalg.eigvalsh(ms_[r["i"]])[::-1], atol=1e-9)
 
 

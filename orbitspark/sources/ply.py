@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from orbitspark.errors import AlreadyThere, MissingOrForeign
+from orbitspark.sources import streams
 
 ROW = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 FIELDS = (("float", "x"), ("float", "y"), ("float", "z"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue"))
@@ -26,15 +31,17 @@ def header(count: int, comments: dict[str, str]) -> bytes:
     return "\n".join(lines).encode("ascii")
 
 
-def parse(content: bytes) -> tuple[dict[str, str], np.ndarray]:
-    """Comments and rows; MissingOrForeign for another layout or a payload of the wrong length."""
-    mark = b"end_header\n"
-    end = content.find(mark)
-    if not content.startswith(b"ply\n") or end < 0:
+MARK = b"end_header\n"
+MOST_HEADER = 1 << 20
+
+
+def parse_header(head: bytes) -> tuple[dict[str, str], int, int]:
+    """Comments, number of points, and where their bytes start; MissingOrForeign for another layout."""
+    end = head.find(MARK)
+    if not head.startswith(b"ply\n") or end < 0:
         raise MissingOrForeign("not a PLY file")
-    lines = content[:end].decode("ascii", "replace").split("\n")
     comments, count, fields = {}, None, []
-    for line in lines[1:]:
+    for line in head[:end].decode("ascii", "replace").split("\n")[1:]:
         kind, _, rest = line.partition(" ")
         if kind == "comment":
             key, _, value = rest.partition(": ")
@@ -45,30 +52,85 @@ def parse(content: bytes) -> tuple[dict[str, str], np.ndarray]:
             fields.append(tuple(rest.split()))
         elif kind == "format" and not rest.startswith("binary_little_endian"):
             raise MissingOrForeign("not a little-endian binary PLY file")
-    payload = content[end + len(mark) :]
-    if count is None or tuple(fields) != FIELDS or len(payload) != count * ROW.itemsize:
-        raise MissingOrForeign("the PLY file has another layout or length")
-    return comments, np.frombuffer(payload, ROW)
+    if count is None or tuple(fields) != FIELDS:
+        raise MissingOrForeign("the PLY file has another layout")
+    return comments, count, end + len(MARK)
+
+
+def check_length(size: int, start: int, count: int) -> None:
+    if size != start + count * ROW.itemsize:
+        raise MissingOrForeign("the PLY file has another length than its header says")
+
+
+def parse(content: bytes) -> tuple[dict[str, str], np.ndarray]:
+    """Comments and rows of a whole file; MissingOrForeign for another layout or a payload of the wrong length."""
+    comments, count, start = parse_header(content)
+    check_length(len(content), start, count)
+    return comments, np.frombuffer(content, ROW, count, start)
+
+
+SCHEMA = "file string, run_id string, point_id long, x double, y double, z double, r int, g int, b int"
+
 
+def batch_of(file: str, comments: dict[str, str], first: int, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of a file from row ``first`` on."""
+    n, base = len(rows), int(comments.get("first_point_id", 0)) + first
+    return pa.RecordBatch.from_arrays(
+        [pa.array([file] * n, pa.string()), pa.array([comments.get("run_id")] * n, pa.string()), pa.array(np.arange(base, base + n)), *(pa.array(rows[c].astype("f8")) for c in "xyz"), *(pa.array(rows[c].astype("i4")) for c in "rgb")],
+        names=["file", "run_id", "point_id", *"xyzrgb"],
+    )
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all PLY files under a path: file, run_id (of the header), point_id (row), x, y, z, r, g, b."""
+
+class PlyReader(streams.RangeReader):
+    """Splits hold the rows that start in their bytes; each looks at the header and the file's length for itself."""
+
+    pattern = re.compile(r"\.ply$")
+
+    def batches(self, f, split: streams.Split) -> Iterator[pa.RecordBatch]:
+        head = f.read(4096)
+        while MARK not in head and len(head) < min(split.size, MOST_HEADER):
+            head += f.read(len(head))
+        comments, count, start = parse_header(head)
+        check_length(split.size, start, count)
+        row_at = lambda byte: min(count, max(0, -(-(byte - start) // ROW.itemsize)))
+        at, end = row_at(split.start), row_at(split.end)
+        f.seek(start + at * ROW.itemsize)
+        while at < end:
+            n = min(end - at, streams.BLOCK // ROW.itemsize)
+            data = f.read(n * ROW.itemsize)
+            yield batch_of(split.uri, comments, at, np.frombuffer(data, ROW, n))
+            at += n
+
+
+class PlySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "orbitspark_ply"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> PlyReader:
+        return PlyReader(self.options)
+
+
+def read_ply(spark: SparkSession, path: str, split: int = streams.SPLIT) -> DataFrame:
+    """Points of all PLY files under a path: file, run_id (of the header), point_id (row), x, y, z, r, g, b.
+
+    A file is read in splits of ``split`` bytes by as many tasks, whatever its length; where only Spark can open it, whole.
+    """
+    if streams.readable(streams.qualified(spark, path)):
+        return streams.load(spark, PlySource, path, split=split)
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 comments, rows = parse(content.as_py())
-                first = int(comments.get("first_point_id", 0))
                 for a in range(0, len(rows), 1_000_000):
-                    part = rows[a : a + 1_000_000]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array([comments.get("run_id")] * n, pa.string()), pa.array(np.arange(first + a, first + a + n)), *(pa.array(part[c].astype("f8")) for c in "xyz"), *(pa.array(part[c].astype("i4")) for c in "rgb")],
-                        names=["file", "run_id", "point_id", *"xyzrgb"],
-                    )
+                    yield batch_of(name, comments, a, rows[a : a + 1_000_000])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, run_id string, point_id long, x double, y double, z double, r int, g int, b int")
+    return files.mapInArrow(run, SCHEMA)
 
 
 def write_ply(points: DataFrame, folder: str, run_id: str, comments: dict[str, str] | None = None, parts: int = 1) -> DataFrame:

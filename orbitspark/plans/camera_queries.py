@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbitspark.functions import linalg as la
 from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
+from orbitspark.operators import visibility as vis
 from orbitspark.plans.book import Book, r6, s6
 from orbitspark.plans.views import CAMERAS, CLOUD, cameras, cameras_sql, cloud, table, transform
 
@@ -100,8 +101,36 @@ def q_project(spark, sf_dir):
 @query(f"""WITH {VIEW}, obs AS (SELECT k, point_id FROM proj WHERE depth > 1e-6 AND u >= 0 AND u < 640 AND v >= 0 AND v < 480)
 SELECT point_id, count(*) AS track_length, array_to_string(list_sort(list(k)), ',') AS seen_by FROM obs GROUP BY point_id""")
 def q_observations_tracks(spark, sf_dir):
-    seen = cam.project(scaled_points(spark, sf_dir), seeing_cameras(spark, sf_dir), 1e-6).where("valid and u >= 0 and u < 640 and v >= 0 and v < 480")
-    return seen.groupBy("point_id").agg(F.count("*").alias("track_length"), F.array_join(F.sort_array(F.collect_list("k")), ",").alias("seen_by"))
+    t = vis.tracks(vis.observations(scaled_points(spark, sf_dir), pictured(seeing_cameras(spark, sf_dir))))
+    return t.select("point_id", "track_length", F.array_join("seen_by", ",").alias("seen_by"))
+
+
+def pictured(cams):
+    return cams.withColumns({"width": F.lit(640), "height": F.lit(480)})
+
+
+#: The cloud thirty times as wide, so that the cameras stand within it and each sees a part.
+AROUND = CAMERAS + ", " + CLOUD + """, pts AS (SELECT point_id, (x - 150) / 10 AS x, (y - 48) * 30 / 97 AS y, (z - 1200) / 80 AS z FROM cloud),
+cc AS (SELECT k, point_id, r00 * x + r01 * y + r02 * z + t0 AS vx, r10 * x + r11 * y + r12 * z + t1 AS vy, r20 * x + r21 * y + r22 * z + t2 AS depth FROM cams, pts),
+proj AS (SELECT k, point_id, depth, 900 * vx / depth + 320 AS u, 900 * vy / depth + 240 AS v FROM cc WHERE depth > 1e-6), seen AS (SELECT * FROM proj WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480)"""
+
+
+def around(spark, sf_dir):
+    c = cloud(spark, sf_dir).select("point_id", ((F.col("x") - 150) / 10).alias("x"), ((F.col("y") - 48) * 30 / 97).alias("y"), ((F.col("z") - 1200) / 80).alias("z"))
+    return c, pictured(seeing_cameras(spark, sf_dir)).withColumns({"fx": F.lit(900.0), "fy": F.lit(900.0)})
+
+
+@query(f"WITH {AROUND} SELECT k, count(*) AS n_points, {s4('avg(depth)', 'mean_depth')}, {', '.join(s4(f'{f}({c})', f'{f}_{c}') for f in ('min', 'max') for c in 'uv')} FROM seen GROUP BY k")
+def q_pictures(spark, sf_dir):
+    """What each of all cameras sees of the whole cloud around it; about a sixth of the pairs are tested."""
+    p = vis.pictures(vis.observations(*around(spark, sf_dir)))
+    return p.select("k", "n_points", r4("mean_depth", "mean_depth"), *(r4(f"{f}_{c}", f"{f}_{c}") for f in ("min", "max") for c in "uv"))
+
+
+@query(f"WITH {AROUND} SELECT point_id, count(*) AS track_length, min(k) AS first_camera, max(k) AS last_camera FROM seen GROUP BY point_id")
+def q_tracks_around(spark, sf_dir):
+    t = vis.tracks(vis.observations(*around(spark, sf_dir)))
+    return t.select("point_id", "track_length", F.get("seen_by", F.lit(0)).alias("first_camera"), F.element_at("seen_by", -1).alias("last_camera"))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, 2.0::DOUBLE + n_nationkey % 4 AS d, radians(n_nationkey * 30.0::DOUBLE) AS a, radians(n_nationkey % 5 * 15.0::DOUBLE) AS e FROM nation)

@@ -4,10 +4,12 @@ A page is read once into elements and blocks of text (runs between block-level t
 passes points for its length and commas to its ancestors, all to the nearest container, half as many
 to each one above. A container's worth is its points and what its element counts for, discounted
 by the share of its text that is links. The best container is kept, with those of its siblings that
-have points of their own or read like prose and what lies between them; an article that holds it is kept whole.
+have points of their own or read like prose and what lies between them; an article that holds it is kept whole,
+and so are further articles beside it.
 
 Tags and roles of surroundings drop what they hold. Class names, ids and forms only lower the score of an
 element: it goes if its text is short, made of links or beside the text, and stays if it holds most of the page.
+Readers' comments go whatever their length; they are only taken for the text of a page that has no other prose.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl".split())
 #: Elements that hold no main text.
-DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer head iframe input map menu nav noscript object optgroup option select svg math search template textarea video".split()) | RAW
+DROPPED = frozenset("annotation annotation-xml aside audio canvas dialog embed footer head iframe input map menu nav noscript optgroup option select svg search template textarea video".split()) | RAW
+#: Elements that are text within a paragraph, and one that is within an article; elsewhere they hold none.
+WITHIN_PROSE, WITHIN_ARTICLE = frozenset({"button", "object"}), frozenset({"fieldset", "object"})
 CONTAINERS = frozenset("article blockquote body center dd div figure html main pre section table td th".split())
 #: What an element counts for before its text does.
 WORTH = {"article": 30.0, "main": 15.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "body": -5.0, "html": -10.0, "dd": -3.0, "th": -5.0, "figure": -3.0}
@@ -60,27 +64,36 @@ FIRM = re.compile(
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 #: Names of a layout that has a sidebar, not of the sidebar.
 LAYOUT = re.compile(r"(?:has|with|no|without)[_-]|sidebar[_-](?:left|right|none|off|on)\b|\w+[_-](?:enabled|open|closed)\b", re.I)
-COMMENT_NAMES = re.compile(r"(?:^|\s)comments?(?=$|\s)", re.I)
+#: Words that name what readers have written, alone or at an end of a class or id.
+READER_NAMES = re.compile(r"(?:comments?|comment-?list|commenters?|disqus|respond|replies)", re.I)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-#: What an element may be by its tag and attributes: text, text of a lower score in three grades, or surroundings.
-TEXT, WEAK, FORM, LOW, OUT = range(5)
+#: What an element may be by its tag and attributes: text, text of a lower score in three grades, surroundings, or readers' comments.
+TEXT, WEAK, FORM, LOW, OUT, READERS = range(6)
 #: The share of its points that text of a lower score passes on, and that counts when it is weighed against the rest of the page.
-PASSES = {WEAK: 0.5, FORM: 0.0, LOW: 0.0}
-WEIGHS = {WEAK: 1.0, FORM: 1.0, LOW: 0.25}
-#: Characters under which text of a lower score is short.
-SHORT = 140
+PASSES = {WEAK: 0.5, FORM: 0.0, LOW: 0.0, READERS: 0.0}
+WEIGHS = {WEAK: 1.0, FORM: 1.0, LOW: 0.25, READERS: 0.25}
+#: Characters under which text of a lower score is short, and from which a block without links is prose.
+SHORT, LINE = 140, 25
 #: Surroundings that may hold the text of a page that has none elsewhere.
 LENIENT = frozenset("aside dialog footer header".split())
 #: What an end tag of a few elements doesn't reach beyond.
 WALLS = ("table", "td", "article", "main", "body")
 
 
-def surrounds(tag: str, attrs: str, in_article: bool, lenient: bool = False) -> int:
+def reader_name(token: str) -> bool:
+    """Whether a class or id names readers' comments, and not a layout that has them."""
+    parts = re.split("[_-]+", token.strip("_-"))
+    return not LAYOUT.match(token) and any(READER_NAMES.fullmatch(x) for x in ("-".join(parts), parts[0], parts[-1]))
+
+
+def surrounds(tag: str, attrs: str, in_article: bool, in_prose: bool, lenient: bool = False) -> int:
     """Whether an element and all it holds is taken for surroundings, or how it is graded; if lenient, some only get a grade."""
     out = FORM if lenient else OUT
+    if tag in WITHIN_PROSE | WITHIN_ARTICLE and not (in_prose and tag in WITHIN_PROSE) and not (in_article and tag in WITHIN_ARTICLE):
+        return OUT
     if tag in DROPPED or (tag == "header" and not in_article):
         return out if tag in LENIENT else OUT
     plain = FORM if tag == "form" else TEXT
@@ -98,11 +111,13 @@ def surrounds(tag: str, attrs: str, in_article: bool, lenient: bool = False) ->
     if not names or tag in ("html", "body", "main"):
         return plain
     if tag == "article":
-        return LOW if COMMENT_NAMES.search(names) else plain
+        return READERS if any(READER_NAMES.fullmatch(token) for token in names.split()) else plain
     if tag in HEADINGS or tag == "header":
         return plain
     boxes, own = TEXT, False
     for token in names.split():
+        if tag in BLOCK and tag != "p" and reader_name(token):
+            return READERS
         around = AROUND.search(token)
         if around and around[0].strip("_-") == token:
             return LOW if FIRM.fullmatch(token) and tag in BLOCK and tag != "p" else max(WEAK, plain)
@@ -159,7 +174,7 @@ class Page:
         self.places.setdefault(tag, []).append(depth)
         if tag in BLOCK:
             self.blocks.append(depth)
-        grade = TEXT if self.dropped else surrounds(tag, attrs, self.articles > 0, self.lenient)
+        grade = TEXT if self.dropped else surrounds(tag, attrs, self.articles > 0, self.nearest("p") > 0, self.lenient)
         if grade == OUT:
             self.dropped.add(i)
         elif grade:
@@ -283,13 +298,28 @@ def chosen_text(page: Page, least: int = 0) -> str:
     def density(k: int) -> float:
         return min(1.0, linked[k] / length[k])
 
-    # An element that holds most of the page is not taken for surroundings, whatever its name.
-    total = sum(gains)
+    # Readers' comments are never the text, however long they are, while other prose stands.
+    read, low = [False] * n, [False] * n
+    for i in range(1, n):
+        p, grade = parents[i], page.grades.get(i, TEXT)
+        read[i] = read[p] or grade == READERS
+        low[i] = low[p] or grade in (FORM, LOW)
+    prose = any(not read[i] and not low[i] and tags[i] not in HEADINGS and len(text) - in_links >= LINE for i, text, in_links in page.runs)
+    # An element that holds most of the page, comments left out, is not taken for surroundings, whatever its name.
+    counted = [0.0] * n
+    for (i, _, _), gain in zip(page.runs, gains):
+        counted[i] += 0.0 if prose and read[i] else gain
+    for i in range(n - 1, 0, -1):
+        counted[parents[i]] += counted[i]
+    total = counted[0]
     grades = {}
     for k, grade in page.grades.items():
-        rest = total - own[k]
-        alone = rest <= 1e-9 and grade != LOW and length[k] >= least
-        if length[k] and not (alone or (length[k] >= SHORT and own[k] * WEIGHS[grade] * (1 - density(k)) > rest)):
+        if prose and grade == READERS:
+            grades[k] = grade
+            continue
+        rest = total - counted[k]
+        alone = rest <= 1e-9 and grade not in (LOW, READERS) and length[k] >= least
+        if length[k] and not (alone or (length[k] >= SHORT and counted[k] * WEIGHS[grade] * (1 - density(k)) > rest)):
             grades[k] = grade
 
     share, graded, barred, nearest = [1.0] * n, [False] * n, [False] * n, [0] * n
@@ -297,7 +327,7 @@ def chosen_text(page: Page, least: int = 0) -> str:
         p, grade = parents[i], grades.get(i, TEXT)
         share[i] = share[p] * PASSES.get(grade, 1.0)
         graded[i] = graded[p] or grade != TEXT
-        barred[i] = barred[p] or grade in (FORM, LOW)
+        barred[i] = barred[p] or grade in (FORM, LOW, READERS)
         nearest[i] = i if tags[i] in CONTAINERS else nearest[p]
     gained, holds = [0.0] * n, [False] * n
     for (i, _, _), gain in zip(page.runs, gains):
@@ -329,7 +359,7 @@ def chosen_text(page: Page, least: int = 0) -> str:
     def spare(k: int) -> bool:
         """Whether an element of a lower score within the text is kept: neither short nor made of links."""
         enough = 0.0 if grades[k] == WEAK and not page_wide else 0.1 * total
-        return grades[k] != LOW and length[k] >= SHORT and density(k) <= 0.33 and own[k] >= enough
+        return grades[k] not in (LOW, READERS) and length[k] >= SHORT and density(k) <= 0.33 and own[k] >= enough
 
     def keep_sibling(s: int) -> bool:
         """Whether an element beside the best container belongs to the text."""
@@ -341,13 +371,14 @@ def chosen_text(page: Page, least: int = 0) -> str:
         return points_of * (1 - density(s)) >= max(10.0, 0.2 * top)
 
     keeps = {best}
-    if parent >= 0 and tags[best] not in ("article", "main", "body"):
+    several = tags[best] == "article" and any(tags[s] == "article" and parents[s] == parent and s != best for s in range(max(parent, 0), n))
+    if parent >= 0 and (several or tags[best] not in ("article", "main", "body")):
         # Those that belong to the text by themselves, then what lies between them, and lists next to them with their headings.
         row = [i for i in range(parent + 1, n) if parents[i] == parent and length[i]]
-        held = [j for j, s in enumerate(row) if s == best or (keep_sibling(s) and (s not in grades or spare(s)))]
+        held = [j for j, s in enumerate(row) if s == best or ((not several or tags[s] == "article") and keep_sibling(s) and (s not in grades or spare(s)))]
         keeps.update(row[j] for j in held)
         keeps.update(s for s in row[held[0] : held[-1]] if s not in grades and (tags[s] in LISTS or density(s) <= 0.6))
-        for step, edge in ((1, held[-1]), (-1, held[0])):
+        for step, edge in ((1, held[-1]), (-1, held[0])) if not several else ():
             waiting = []
             j = edge + step
             while 0 <= j < len(row) and row[j] not in grades and density(row[j]) <= 0.6 and (tags[row[j]] in LISTS or tags[row[j]] in HEADINGS):

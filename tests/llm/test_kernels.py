@@ -292,3 +292,35 @@ def test_text_only_within_surroundings():
 
 def test_long_character_references():
     assert html_text.main_text("<p>a&#" + "9" * 5000 + ";b &#x" + "f" * 5000 + "; &#0000000000065; &#x000000000041;") == "a�b � A A"
+
+
+@pytest.mark.parametrize("n", [1, 8, 12, 20, 100])
+@pytest.mark.parametrize("names", ["class=comments", "class='comment-list'", "id=comments", "class='user-comments box'", "id=disqus_thread"])
+def test_comments_never_replace_or_join_the_article(n, names):
+    story, want = f"<h1>T</h1><p>{PROSE}</p><p>{PROSE}</p>", f"T\n{PROSE.strip()}\n{PROSE.strip()}"
+    box = "".join(f"<p>I read this, reader {i}, and I think, well, that it goes on for long, and on, and on, as they do.</p>" for i in range(n))
+    items = "".join(f"<li class=comment><div class=comment-body><p>I read this, reader {i}, and it goes on for long, and on.</p></div></li>" for i in range(n))
+    single = "".join(f"<article class=comment><p>I read this, reader {i}, and it goes on for long, and on.</p></article>" for i in range(n))
+    for comments in (f"<div {names}>{box}</div>", f"<section {names}><h3>Comments</h3>{box}</section>", f"<div {names}><ol>{items}</ol></div>", f"<ol {names}>{items}</ol>", f"<div {names}>{single}</div>"):
+        assert html_text.main_text(f"<body><div class=post>{story}</div>{comments}</body>") == want
+        assert html_text.main_text(f"<body><article>{story}</article>{comments}</body>") == want
+        assert html_text.main_text(f"<body><article>{story}{comments}</article></body>") == want
+        assert html_text.main_text(f"<body><main><article>{story}</article>{comments}</main></body>") == want
+
+
+def test_formulas_and_boxes_within_the_article_are_text():
+    story = f"<p>{PROSE * 2}</p>"
+    line = "<p>Let <math><mi>x</mi> = <mn>2</mn><annotation encoding=tex>x=2</annotation></math> hold, press <button>Go</button> now, see <object data=a>a drawing</object> here.</p>"
+    box = f"<fieldset><legend>Note</legend>{PROSE}</fieldset>"
+    want = f"{(PROSE * 2).strip()}\nLet x = 2 hold, press Go now, see a drawing here."
+    assert html_text.main_text(f"<article>{story}{line}{box}</article>") == f"{want}\nNote\n{PROSE.strip()}"
+    assert html_text.main_text(f"<body><div class=post>{story}{line}</div><div><button>Share</button><object>Flash</object><fieldset>Search</fieldset></div></body>") == want
+    assert html_text.main_text(f"<article>{story}<form><fieldset>Mail <input><button>Send</button></fieldset></form></article>") == (PROSE * 2).strip()
+
+
+def test_several_articles_are_kept():
+    parts = [f"Part {k}. {PROSE * 2}".strip() for k in range(3)]
+    page = "<main>" + "<hr>".join(f"<article><h2>H{k}</h2><p>{t}</p></article>" for k, t in enumerate(parts)) + "<article class=comment><p>Nice, nice, nice, really nice.</p></article></main>"
+    assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>") == "\n".join(x for k, t in enumerate(parts) for x in (f"H{k}", t))
+    cards = "".join(f"<article><a href=/{k}><h3>Another story {k}</h3></a></article>" for k in range(5))
+    assert html_text.main_text(f"<body><main><article><p>{parts[0]}</p></article>{cards}</main></body>") == parts[0]

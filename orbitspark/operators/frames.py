@@ -26,13 +26,18 @@ def stride_sample(df: DataFrame, run: str, most: int) -> DataFrame:
 
 
 def laplacian_variance(px: Column, height: Column, width: Column) -> Column:
-    """Population variance of the 4-neighbour Laplacian inside the border; 0 below 3 x 3."""
+    """Population variance of the 4-neighbour Laplacian inside the border, in one pass that doesn't cancel; 0 below 3 x 3, null for a missing pixel."""
     rows, cols = F.sequence(F.lit(1), height - 2), F.sequence(F.lit(1), width - 2)
     at = lambda i: F.get(px, i).cast("double")
     inner = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: at((r - 1) * width + c) + at((r + 1) * width + c) + at(r * width + c - 1) + at(r * width + c + 1) - 4 * at(r * width + c))))
-    mean = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x) / F.size(inner)
-    spread = F.aggregate(inner, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: a["q"] / F.size(inner) - (a["s"] / F.size(inner)) * (a["s"] / F.size(inner)))
-    return F.when((height < 3) | (width < 3), F.lit(0.0)).otherwise(F.when(mean.isNotNull(), F.greatest(spread, F.lit(0.0))))
+
+    def add(a: Column, x: Column) -> Column:
+        """Count, mean and sum of squared distances from the mean, with one more value."""
+        n, gap = a["n"] + 1, x - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap / n).alias("mean"), (a["m2"] + gap * (x - a["mean"] - gap / n)).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.when((height < 3) | (width < 3), F.lit(0.0)).otherwise(F.aggregate(inner, start, add, lambda a: a["m2"] / a["n"]))
 
 
 def frame_difference(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Command line: check, prepare, ingest, verify, export, report, visual-check, media, view, compare. Refusals end with their exit code."""
+"""Command line: check, prepare, ingest, verify, export, report, visual-check, media, view, conditions, compare, compare-runs. Refusals end with their exit code."""
 
 from __future__ import annotations
 
@@ -7,16 +7,15 @@ import sys
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from orbitspark.errors import ConditionsDiffer, InputUnusable, MissingOrForeign, PackageBroken, Refusal
+from orbitspark.errors import InputUnusable, MissingOrForeign, PackageBroken, Refusal
 from orbitspark.functions.text import full_report, report
+from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
 from orbitspark.operators import results as rs
 from orbitspark.operators import scenes
-from orbitspark.operators import runs as rn
 from orbitspark.plans import pipelines
-from orbitspark.sources import checksums, ply, run_folders, sparse_model, video
+from orbitspark.sources import checksums, experiments, ply, run_folders, sparse_model, video
 
 
 def _check(spark, args):
@@ -38,8 +37,11 @@ def _ingest(spark, args):
 def _prepare(spark, args):
     """Selects from a table of candidates (run_id, src_index, timestamp_us, sharpness, path) and packs the selected frames."""
     candidates = spark.read.parquet(args.candidates)
+    ids = [r[0] for r in candidates.select("run_id").distinct().limit(2).collect()]
+    if len(ids) != 1:
+        raise InputUnusable(f"one package holds one run, and there are {'more' if ids else 'none'} in {args.candidates}")
     fate = pipelines.prepare(candidates.drop("path"), budget=args.budget, selector=args.selector, min_frames=args.min_frames)
-    totals = run_folders.build_package(fate, candidates.select("src_index", "path"), args.package, {"run_id": candidates.first()["run_id"], "frame_budget": args.budget, "selector": args.selector})
+    totals = run_folders.build_package(fate, candidates.select("run_id", "src_index", "path"), args.package, {"run_id": ids[0], "frame_budget": args.budget, "selector": args.selector})
     print(totals)
     return 0
 
@@ -82,8 +84,7 @@ def _visual_check(spark, args):
     if args.item:
         if args.item not in rs.ITEMS or args.result not in rs.OUTCOMES:
             raise InputUnusable(f"no such item or result: {args.item}, {args.result}")
-        now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).first()[0]
-        stored[args.item] = {"result": args.result, "note": args.note, "checked_at": None if args.result == "not_checked" else now}
+        stored[args.item] = {"result": args.result, "note": args.note, "checked_at": None if args.result == "not_checked" else experiments.now_utc()}
         run_folders.write_json(spark, path, document, overwrite=True)
     for item in [*rs.ITEMS, *(k for k in stored if k not in rs.ITEMS)]:
         print(item, stored.get(item, {}).get("result", "not_checked"))
@@ -94,9 +95,14 @@ def _media(spark, args):
     """Pixel tables of the named views of a run's cloud, the turntable, and their index."""
     manifest = run_folders.find_run(spark, args.run)
     points = ply.read_ply(spark, f"{args.run}/normalized")
-    cameras = scenes.view_cameras(cl.robust_extent(points), args.size)
+    extent = cam.pinned(cl.robust_extent(points))
+    cameras = scenes.view_cameras(extent, args.size)
     if args.turntable:
-        cameras = cameras.unionByName(scenes.view_cameras(cl.robust_extent(points), args.size, args.turntable))
+        cameras = cameras.unionByName(scenes.view_cameras(extent, args.size, args.turntable))
+    poses = run_folders.camera_poses(spark, run_folders.read_json(spark, f"{args.run}/{run_folders.CAMERAS}"))
+    if not poses.isEmpty():
+        cameras = cameras.unionByName(scenes.trajectory_camera(poses, extent, args.size))
+    cameras = cam.pinned(cameras)
     scenes.render_points(points, cameras).write.partitionBy("view").parquet(f"{args.out}/pixels")
     scenes.media_index(cameras, manifest["run_id"]).coalesce(1).write.json(f"{args.out}/index")
     return 0
@@ -121,16 +127,26 @@ def _verify(spark, args):
     return PackageBroken.exit_code if problems else 0
 
 
+def _conditions(spark, args):
+    """Fixes the conditions of an experiment, once."""
+    print(experiments.init_conditions(spark, args.experiment, args.video, args.budget, args.seed, args.reconstructor, args.repeat_baseline)["digest"])
+    return 0
+
+
 def _compare(spark, args):
-    runs, conditions = spark.read.parquet(args.runs), spark.read.parquet(args.conditions)
-    done = pipelines.compare(runs, conditions).select("exp_id", "relative_difference", "verdict").orderBy("exp_id")
-    for r in done.toLocalIterator():
-        print(r["exp_id"], r["relative_difference"], r["verdict"])
-    refused = False
-    for r in rn.condition_violations(runs, conditions).orderBy("exp_id", "run_id").toLocalIterator():
-        refused = True
-        print(r["exp_id"], r["run_id"], "differs from the conditions in", ", ".join(r["differs"]))
-    return ConditionsDiffer.exit_code if refused else 0
+    """Verdicts of all experiments of a table of runs and one of conditions."""
+    code = 0
+    for r in experiments.compare_tables(spark.read.parquet(args.runs), spark.read.parquet(args.conditions)).orderBy("exp_id").toLocalIterator():
+        code = max(code, r["exit_code"])
+        print(r["exp_id"], *((r["relative_difference"], r["verdict"]) if not r["exit_code"] else ("refused:", r["reasons"])))
+    return code
+
+
+def _compare_runs(spark, args):
+    """Verdict of one experiment from its folder and those of its runs."""
+    done = experiments.compare_folders(spark, args.experiment, args.baseline, args.variant, args.repeat)
+    print(done["exp_id"], done["relative_difference"], done["verdict"])
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -139,13 +155,15 @@ def main(argv: list[str] | None = None) -> int:
     for name, run, options in (
         ("check", _check, ("probe_json",)), ("prepare", _prepare, ("candidates", "package")), ("ingest", _ingest, ("model", "frames", "out", "run_id")), ("verify", _verify, ("folder",)), ("export", _export, ("run",)),
         ("report", _report, ("run",)), ("visual-check", _visual_check, ("run",)), ("media", _media, ("run", "out")), ("view", _view, ("run",)), ("compare", _compare, ("runs", "conditions")),
+        ("conditions", _conditions, ("experiment", "video")), ("compare-runs", _compare_runs, ("experiment", "baseline", "variant")),
     ):
         p = sub.add_parser(name)
         for o in options:
             p.add_argument(o)
         for flag, of, settings in (
             ("--lenient", ("verify",), {"action": "store_true"}), ("--force", ("export",), {"action": "store_true"}), ("--out", ("export", "report"), {}), ("--item", ("visual-check",), {}), ("--result", ("visual-check",), {}),
-            ("--note", ("visual-check",), {}), ("--size", ("media",), {"type": int, "default": 640}), ("--turntable", ("media",), {"type": int, "default": 0}), ("--budget", ("prepare",), {"type": int, "default": 48}),
+            ("--note", ("visual-check",), {}), ("--size", ("media",), {"type": int, "default": 640}), ("--turntable", ("media",), {"type": int, "default": 0}), ("--budget", ("prepare", "conditions"), {"type": int, "default": 48}), ("--seed", ("conditions",), {"type": int, "default": 42}),
+            ("--reconstructor", ("conditions",), {"default": ""}), ("--repeat-baseline", ("conditions",), {"action": "store_true"}), ("--repeat", ("compare-runs",), {}),
             ("--selector", ("prepare",), {"default": "uniform"}), ("--min-frames", ("prepare",), {"type": int, "default": 12}),
         ):
             if name in of:

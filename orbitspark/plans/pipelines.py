@@ -1,4 +1,4 @@
-"""The three long chains as Spark jobs: candidates to selected frames, model to aligned cloud, runs to verdicts."""
+"""The long chains as Spark jobs: candidates to selected frames, model to aligned cloud."""
 
 from __future__ import annotations
 
@@ -58,18 +58,3 @@ def ingest(cameras: DataFrame, points: DataFrame, selected: DataFrame, k: float
     row = row.withColumn("registration_ratio", ratio).withColumn("mean_reprojection_error", ms.measure(F.col("e"), "no point has an error", "px")).drop("e")
     row = row.withColumn("saturated", F.col("num_points_valid") >= rn.POINT_CAP)
     return {"cameras": poses, "points": kept, "alignment": alignment, "diagnostics": row}
-
-
-def compare(runs: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Verdict of every experiment whose runs keep its conditions.
-
-    runs: exp_id, run_id, branch (baseline, variant, repeat), video_sha256, frame_budget, seed, code_id,
-    points, registration_ratio, defects. Ratios of the rule come from the conditions.
-    """
-    bad = rn.condition_violations(runs, conditions).select("exp_id").distinct()
-    good = runs.join(bad, "exp_id", "left_anti")
-    metrics = ["points", "registration_ratio", "defects"]
-    wide = good.groupBy("exp_id").agg(*(F.max(F.when(F.col("branch") == b, F.col(m).cast("double"))).alias(f"{b}_{m}") for b in ("baseline", "variant", "repeat") for m in metrics))
-    met = wide.join(conditions.select("exp_id", "improvement_ratio", "regression_ratio"), "exp_id")
-    call = rn.verdict(*(F.col(c) for c in ("baseline_points", "variant_points", "repeat_points", "baseline_registration_ratio", "variant_registration_ratio", "baseline_defects", "variant_defects")), F.col("improvement_ratio"), F.col("regression_ratio"))
-    return met.withColumn("relative_difference", ms.relative_difference(F.col("variant_points"), F.col("baseline_points"))).withColumn("verdict", call)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import subprocess
+import uuid
 from hashlib import sha256
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -33,11 +35,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    """One small file; AlreadyThere if there is one and it may not be replaced."""
+    """One small file; AlreadyThere if there is one and it may not be replaced.
+
+    The file system itself refuses a file that is there: nobody looks first, so of two writers at the same time one is refused.
+    """
     p, fs = _path(spark, path)
-    if fs.exists(p) and not overwrite:
-        raise AlreadyThere(f"already there: {path}")
-    out = fs.create(p, True)
+    if not overwrite and p.toUri().getScheme() in (None, "file") and fs.getUri().getScheme() == "file":
+        place = p.toUri().getPath()
+        fs.mkdirs(p.getParent())
+        try:
+            with open(place, "x", encoding="utf-8", newline="") as f:
+                f.write(text)
+        except FileExistsError as e:
+            raise AlreadyThere(f"already there: {path}") from e
+        return
+    try:
+        out = fs.create(p, overwrite)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise AlreadyThere(f"already there: {path}") from e
+        raise
     out.write(bytearray(text.encode()))
     out.close()
 
@@ -151,14 +168,15 @@ def copy_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def package_plan(frames: DataFrame, files: DataFrame) -> DataFrame:
-    """Selected frames with the source of each by ``src_index``; ``source`` is null where there is no file. frames: frame_id, src_index, selected."""
-    return frames.where("selected").select("frame_id", "src_index").join(files.select("src_index", F.col("path").alias("source")), "src_index", "left").withColumn("target", F.concat(F.lit("images/"), "frame_id", F.lit(".jpg")))
+    """Selected frames with the source of each by ``src_index``, and by ``run_id`` where both have it; ``source`` is null where there is no file. frames: frame_id, src_index, selected."""
+    key = [c for c in ("run_id", "src_index") if c in frames.columns and c in files.columns]
+    return frames.where("selected").select("frame_id", *key).join(files.select(*key, F.col("path").alias("source")), key, "left").withColumn("target", F.concat(F.lit("images/"), "frame_id", F.lit(".jpg")))
 
 
 def build_package(frames: DataFrame, files: DataFrame, folder: str, manifest: dict) -> dict:
     """Copies the selected frames as images/<frame_id>.jpg, and writes the manifest and the checksum list; returns the totals.
 
-    InputUnusable if a frame has no source; AlreadyThere if the folder holds anything. The same input gives the same sums.
+    InputUnusable if a frame has no source or several; AlreadyThere if the folder holds anything. The same input gives the same sums.
     """
     spark = frames.sparkSession
     p, fs = _path(spark, folder)
@@ -168,6 +186,9 @@ def build_package(frames: DataFrame, files: DataFrame, folder: str, manifest: di
     lost = [r[0] for r in plan.where("source is null").select("frame_id").orderBy("frame_id").limit(6).collect()]
     if lost:
         raise InputUnusable("no source for " + ", ".join(lost[:5]) + (" and more" if len(lost) > 5 else ""))
+    twice = [r[0] for r in plan.groupBy("frame_id").count().where("count > 1").select("frame_id").orderBy("frame_id").limit(5).collect()]
+    if twice:
+        raise InputUnusable("several sources for " + ", ".join(twice))
     copied = copy_files(plan, folder)
     text = canonical(manifest) + "\n"
     write_text(spark, f"{folder}/{MANIFEST}", text)
@@ -218,14 +239,25 @@ def export_cloud(spark: SparkSession, run: str, target: str | None = None, force
         raise AlreadyThere(f"there is an export {at}")
     if code:
         raise ResultEmpty("the cloud has no points" if not n else f"the status is {state}")
-    p, fs = _path(spark, at)
-    if fs.exists(p):
-        fs.delete(p, True)
     usable = state in ("success", "partial")
     scale = str((cameras.get("conventions") or {}).get("scale_status", "not_determined"))
-    done = ply.write_ply(points, at, run_id, summary(n, len(cameras["cameras"]), state, scale, None if usable else f"status {state}, written because it was forced"), ply.parts_for(n))
+    p, fs = _path(spark, at)
+    if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
+        raise AlreadyThere(f"{at} is a file")
+    # The new cloud is whole before the old one goes, and of the target folder only PLY files are replaced.
+    beside = f"{at.rstrip('/')}.new-{uuid.uuid4().hex}"
+    done = ply.write_ply(points, beside, run_id, summary(n, len(cameras["cameras"]), state, scale, None if usable else f"status {state}, written because it was forced"), ply.parts_for(n))
     if done.agg(F.sum("n_points")).first()[0] != n:
+        fs.delete(_path(spark, beside)[0], True)
         raise ResultEmpty("the export has fewer points than the cloud")
+    fs.mkdirs(p)
+    for old in list(fs.listStatus(p)):
+        if old.isFile() and old.getPath().getName().endswith(".ply"):
+            fs.delete(old.getPath(), False)
+    for new in list(fs.listStatus(_path(spark, beside)[0])):
+        if new.getPath().getName().endswith(".ply"):
+            fs.rename(new.getPath(), _path(spark, f"{at}/{new.getPath().getName()}")[0])
+    fs.delete(_path(spark, beside)[0], True)
     return at
 
 
@@ -238,3 +270,11 @@ def write_web_cloud(spark: SparkSession, source: str, folder: str, target: int =
     kept, size = cl.voxel_decimate(points, target)
     done = ply.write_ply(kept, folder, run_id or "", {"axes": axes, "voxel_size": "none" if size is None else f"{size:.9g}"})
     return cl.count_label(done.agg(F.sum("n_points")).first()[0], total)
+
+
+def camera_poses(spark: SparkSession, document: dict) -> DataFrame:
+    """The poses of a camera document as a table: frame_id, r00..r22, t0..t2. Cameras without a pose are left out."""
+    from orbitspark.operators import cameras as cam
+
+    rows = [(c.get("frame_id"), *(float(x) for line in c["R"] for x in line), *map(float, c["t"])) for c in document.get("cameras") or [] if c.get("R") and c.get("t")]
+    return spark.createDataFrame(rows, "frame_id string, " + ", ".join(f"{c} double" for c in cam.R + cam.T))

@@ -36,14 +36,6 @@ def test_ingest(spark):
     assert np.allclose(sorted(r["x"] for r in back.collect()), np.sort(xyz[:, 0]), atol=1e-6)
 
 
-def test_compare(spark):
-    fixed = ("v", 48, 42, "c")
-    runs = [("e1", "a", "baseline", *fixed, 100, 1.0, 1), ("e1", "b", "variant", *fixed, 130, 1.0, 1), ("e2", "c", "baseline", *fixed, 100, 1.0, 1), ("e2", "d", "variant", "v", 24, 42, "c", 130, 1.0, 1)]
-    runs = spark.createDataFrame(runs, "exp_id string, run_id string, branch string, video_sha256 string, frame_budget int, seed int, code_id string, points int, registration_ratio double, defects int")
-    conditions = spark.createDataFrame([(e, *fixed, 1.1, 0.9) for e in ("e1", "e2")], "exp_id string, video_sha256 string, frame_budget int, seed int, code_id string, improvement_ratio double, regression_ratio double")
-    assert [(r["exp_id"], r["verdict"]) for r in pipelines.compare(runs, conditions).collect()] == [("e1", "improvement")]
-
-
 def test_streams(spark, tmp_path, sf_dir):
     frames = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id"), "ts", F.col("value").alias("sharpness"), F.col("event_id").alias("src_index"))
     frames = frames.withColumn("timestamp_us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -57,17 +49,3 @@ def test_streams(spark, tmp_path, sf_dir):
     assert spark.table("hours").agg(F.sum("n_frames")).first()[0] == frames.count()
 
 
-def test_compare_command_names_violations(spark, tmp_path, capsys):
-    from orbitspark import cli
-
-    fixed = ("v", 48, 42, "c")
-    runs = [("e1", "a", "baseline", *fixed, 100, 1.0, 1), ("e1", "b", "variant", *fixed, 130, 1.0, 1), ("e2", "c", "baseline", *fixed, 100, 1.0, 1), ("e2", "d", "variant", "v", 24, 42, "c", 130, 1.0, 1)]
-    runs = spark.createDataFrame(runs, "exp_id string, run_id string, branch string, video_sha256 string, frame_budget int, seed int, code_id string, points int, registration_ratio double, defects int")
-    conditions = spark.createDataFrame([(e, *fixed, 1.1, 0.9) for e in ("e1", "e2")], "exp_id string, video_sha256 string, frame_budget int, seed int, code_id string, improvement_ratio double, regression_ratio double")
-    runs.write.parquet(f"{tmp_path}/runs")
-    runs.where("exp_id = 'e1'").write.parquet(f"{tmp_path}/good")
-    conditions.write.parquet(f"{tmp_path}/conditions")
-    assert cli.main(["compare", f"{tmp_path}/runs", f"{tmp_path}/conditions"]) == 9
-    out = capsys.readouterr().out
-    assert "e1 0.3 improvement" in out and "e2 d differs from the conditions in frame_budget" in out
-    assert cli.main(["compare", f"{tmp_path}/good", f"{tmp_path}/conditions"]) == 0

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitspark.functions import measures as ms
+from orbitspark.functions.measures import finite
+
 #: Status texts and the mark of a stored example.
 BANNERS = {
     "prepared": "data prepared, reconstruction not run", "running": "reconstruction in progress", "success": "result obtained", "partial": "partial result",
@@ -108,3 +111,41 @@ def selection_time(commands: Column) -> Column:
     """Total seconds of the first command that has a ``select`` stage; null without one."""
     first = F.get(F.filter(commands, lambda c: F.map_contains_key(c, "select")), F.lit(0))
     return F.when(first.isNotNull(), F.aggregate(F.map_values(first), F.lit(0.0), lambda a, x: a + x))
+
+
+def contradiction(cameras: Column, points: Column, frames: Column) -> Column:
+    """What is impossible about the counts of a run; null for counts that can be."""
+    return F.when((cameras < 0) | (points < 0) | (frames < 0), "a negative count").when(cameras > frames, F.concat(cameras.cast("string"), F.lit(" cameras of "), frames.cast("string"), F.lit(" selected frames")))
+
+
+def diagnostics(frames: DataFrame, cameras: DataFrame, points: DataFrame, run: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """One row a run with all that is known of it, and a rejects table (run, reason, exit_code) of runs whose counts contradict each other.
+
+    frames: run, selected, reject_reason; cameras: run; points: run, x, y, z, and r and error, which may be null. Every run of any of the three has a
+    row or a reject; a contradictory one stops no other. What can't be known is unavailable with its reason, never 0. The three
+    tables meet in one grouping by run, to which frames come counted by reason, so a run's rows are summed before they are dealt.
+    """
+    ok = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
+    has = set(points.columns)
+    reasons = frames.select(run, F.coalesce("selected", F.lit(False)).alias("selected"), "reject_reason").groupBy(run, "selected", "reject_reason").agg(F.count("*").alias("n_frames"))
+    parts = reasons.unionByName(cameras.select(run, F.lit(1).alias("camera")), True).unionByName(
+        points.select(run, F.lit(1).alias("point"), *"xyz", *((F.col(c) if c in has else F.lit(None)).cast("double").alias(c) for c in ("r", "error"))), True
+    )
+    chosen, told = F.coalesce("selected", F.lit(False)), F.length(F.coalesce("reject_reason", F.lit(""))) > 0
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n_frames"))), F.lit(0)).cast("long")
+    rows = parts.groupBy(run).agg(
+        total(F.col("n_frames").isNotNull()).alias("frames_considered"), total(chosen).alias("frames_selected"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~chosen & told, F.struct(F.col("reject_reason"), F.col("n_frames")))))).alias("reject_reasons"),
+        F.count("camera").alias("cameras_registered"), F.count("point").alias("num_points"), F.count_if(F.col("point").isNotNull() & ok).alias("num_points_valid"), F.count("r").alias("_coloured"),
+        *(f(F.when(ok, F.col(c))).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"), F.avg(F.when(finite(F.col("error")) & (F.col("error") >= 0), F.col("error"))).alias("_error"),
+    )
+    impossible = contradiction(F.col("cameras_registered"), F.col("num_points_valid"), F.col("frames_selected"))
+    rejects = rows.select(run, impossible.alias("reason"), F.lit(7).alias("exit_code")).where("reason is not null")
+    good = rows.where(impossible.isNull())
+    ratio = ms.measure(F.try_divide(F.col("cameras_registered").cast("double"), F.col("frames_selected").cast("double")), "no frames were selected")
+    box = F.struct(*(F.col(f"{n}_{c}") for n in ("min", "max") for c in "xyz"))
+    return good.select(
+        run, "frames_considered", "frames_selected", "reject_reasons", "cameras_registered", ratio.alias("registration_ratio"), "num_points", "num_points_valid", (F.col("num_points_valid") >= POINT_CAP).alias("saturated"),
+        F.when(F.col("num_points_valid") > 0, box).alias("bounding_box"), F.when(F.col("num_points_valid") == 0, "no finite points").alias("bounding_box_reason"), ms.measure(F.col("_error"), "no point has an error", "px").alias("mean_reprojection_error"),
+        ((F.col("_coloured") == F.col("num_points")) & (F.col("num_points") > 0)).alias("has_colours"), status(F.col("cameras_registered"), F.col("num_points_valid"), F.col("frames_selected"), F.lit(True)).alias("status"),
+    ), rejects

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbitspark.functions import linalg as la
 from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
+from orbitspark.operators.visibility import observations
 
 #: Name, azimuth and elevation of the views; the turntable's frames and elevation; the trajectory's elevation and margin; colours.
 VIEWS = (("view_front", 0.0, 15.0), ("view_side", 90.0, 15.0), ("view_three_quarter", 35.0, 30.0), ("view_top", 0.0, 85.0))
@@ -160,3 +161,21 @@ def make_scene(spark: SparkSession, n_cameras: int = 12, n_points: int = 500, ra
     place = {"x": F.when(axis == 0, fixed).otherwise(u), "y": F.when(axis == 1, fixed).when(axis == 0, u).otherwise(v), "z": F.when(axis == 2, fixed).otherwise(v)}
     colour = {c: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(256)).cast("int") for c, s in (("r", 3), ("g", 4), ("b", 5))}
     return ring, spark.range(n_points).select(F.col("id").alias("point_id"), *(e.alias(n) for n, e in (place | colour).items()))
+
+
+def scene_with_tracks(spark: SparkSession, distortion: DataFrame | None = None, jitter: float = 0.0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``make_scene`` and what its cameras see: cameras with image_id, points, and seen (image_id, point_id, u, v).
+
+    ``distortion`` is a rigid transform of the whole world (r00 to r22, t0 to t2; one row); ``jitter`` moves each camera up or down by at most that much
+    without turning it. Both leave every observation consistent with its pose, so that an alignment can be held against what was put in.
+    """
+    cameras, points = make_scene(spark, **options)
+    if jitter:
+        # t = -R c, so a step of the camera along +Y takes that step's second column of R from t.
+        lift = (F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 20)) / float(1 << 20) * 2 - 1) * jitter
+        cameras = cameras.withColumns({f"t{i}": F.col(f"t{i}") - F.col(f"r{i}1") * lift for i in range(3)})
+    if distortion is not None:
+        cameras, points = cam.transform_poses(cameras, distortion), cam.transform_points(points, distortion)
+    cameras = cameras.withColumn("image_id", (F.col("k") + 1).cast("int"))
+    seen = observations(points.select("point_id", *"xyz"), cameras.select("image_id", *cam.R, *cam.T, "fx", "fy", "cx", "cy", "width", "height"))
+    return cameras, points, seen.select("image_id", "point_id", "u", "v")

@@ -12,10 +12,10 @@ from orbitspark.plans.views import FRAMES, frames, table
 QUERIES = query = Book()
 
 
-@query("SELECT DISTINCT c_mktsegment AS run, CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_mktsegment AS run, CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q_foreign_names(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("run"), F.col("c_custkey").cast("string").alias("name"))
-    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"))
+    known = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("name"))
     return rn.foreign_names(names, known, "name").select("run", "name").distinct()
 
 
@@ -179,3 +179,40 @@ def q_inputs_digest(spark, sf_dir):
 @query("SELECT source AS artifact, count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY source")
 def q_artifact_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("artifact")).agg(F.count("*").alias("file_count"), F.sum(F.octet_length("text").cast("long")).alias("total_bytes"))
+
+
+#: Runs with frames, cameras and points; of one in twenty five every frame has a camera, which is more than were selected.
+EVIDENCE = """fr AS (SELECT user_id AS run_id, count(*) AS frames_considered, count(*) FILTER (event_id % 3 = 0) AS frames_selected, count(*) FILTER (event_id % 6 = 0 OR user_id % 25 = 7) AS cameras_registered,
+ count(*) FILTER (event_id % 3 <> 0 AND event_type = 'click') AS less_sharp FROM events GROUP BY user_id),
+pt AS (SELECT o_custkey % 200 AS run_id, count(*) AS num_points, count(*) FILTER (o_orderkey % 50 <> 0) AS num_points_valid, min(o_totalprice) FILTER (o_orderkey % 50 <> 0) AS min_x, max(o_totalprice) FILTER (o_orderkey % 50 <> 0) AS max_x,
+ avg(o_totalprice / 100000) FILTER (o_orderkey % 4 <> 0) AS error FROM orders GROUP BY o_custkey % 200),
+ev AS (SELECT run_id, coalesce(frames_considered, 0) AS frames_considered, coalesce(frames_selected, 0) AS frames_selected, coalesce(cameras_registered, 0) AS cameras_registered, coalesce(less_sharp, 0) AS less_sharp, coalesce(num_points, 0) AS num_points,
+ coalesce(num_points_valid, 0) AS num_points_valid, min_x, max_x, error FROM fr FULL OUTER JOIN pt USING (run_id))"""
+
+
+def evidence(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id"))
+    frames = e.select("run_id", (F.col("event_id") % 3 == 0).alias("selected"), F.when((F.col("event_id") % 3 != 0) & (F.col("event_type") == "click"), "less_sharp").alias("reject_reason"))
+    cameras = e.where("event_id % 6 = 0 or run_id % 25 = 7").select("run_id")
+    o = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 200).alias("run_id"), F.when(o % 50 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), F.lit(7).alias("r"),
+        F.when(o % 4 != 0, F.col("o_totalprice") / 100000).alias("error"),
+    )
+    return rn.diagnostics(frames, cameras, points)
+
+
+@query(f"""WITH {EVIDENCE} SELECT run_id, frames_considered, frames_selected, less_sharp, cameras_registered, num_points, num_points_valid, {s6('CAST(cameras_registered AS DOUBLE) / nullif(frames_selected, 0)', 'registration_ratio')}, CASE WHEN frames_selected = 0 THEN 'no frames were selected' END AS ratio_reason,
+{s6('min_x', 'min_x')}, {s6('max_x', 'max_x')}, round(error, 6) AS error, num_points > 0 AS has_colours,
+CASE WHEN cameras_registered = 0 OR num_points_valid = 0 OR frames_selected = 0 THEN 'invalid_result' WHEN cameras_registered = frames_selected THEN 'success' ELSE 'partial' END AS status FROM ev WHERE cameras_registered <= frames_selected""")
+def q_run_diagnostics(spark, sf_dir):
+    d, _ = evidence(spark, sf_dir)
+    return d.select(
+        "run_id", "frames_considered", "frames_selected", F.coalesce(F.element_at("reject_reasons", "less_sharp"), F.lit(0)).cast("long").alias("less_sharp"), "cameras_registered", "num_points", "num_points_valid", r6("registration_ratio.value", "registration_ratio"),
+        F.col("registration_ratio.reason").alias("ratio_reason"), r6("bounding_box.min_x", "min_x"), r6("bounding_box.max_x", "max_x"), F.round("mean_reprojection_error.value", 6).alias("error"), "has_colours", "status",
+    )
+
+
+@query(f"WITH {EVIDENCE} SELECT run_id, cameras_registered || ' cameras of ' || frames_selected || ' selected frames' AS reason, 7 AS exit_code FROM ev WHERE cameras_registered > frames_selected")
+def q_contradictory_runs(spark, sf_dir):
+    return evidence(spark, sf_dir)[1]

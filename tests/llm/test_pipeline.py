@@ -51,3 +51,39 @@ def test_entry_works_without_the_subpackage(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_tables(spark, folder, docs, labels, benchmark):
+    extra = ("rid", "id", "row", "n", "score", "digest", "kept", "first", "seed", "length")
+    df = spark.createDataFrame(docs, ODD)
+    df.withColumns({c: df["lang"] for c in extra}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, ties, a very long text, null labels and items, and columns named like those the stages use."""
+    base = common.table(spark, SF, "documents").collect()
+    docs = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in base]
+    item = " ".join(f"planted{i} words{i}" for i in range(20))
+    docs += [(None, None, None, None, None), (None, base[3]["text"], "en", "s", 1), (10**6, "", "en", "s", 0), (10**6 + 1, " \n\t", None, "s", 3), docs[5], docs[5], (10**6 + 2, (base[0]["text"] + " ") * 300, "en", "s", 1), (10**6 + 3, base[1]["text"] + " " + item, "en", "s", 1)]
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in common.table(spark, SF, "labels").collect()] + [(None, 1, 0), (7, None, None), (10**7, 1, None)]
+    sf = odd_tables(spark, f"file://{tmp_path}/odd", docs, labels, [(1, item), (2, None), (None, ""), (3, "one")])
+    rows = corpus_pipeline.run(spark, sf).collect()
+    ids = {r["doc_id"] for r in rows}
+    assert rows and 10**6 + 3 not in ids and len({(r["doc_id"], r["start"]) for r in rows if r["doc_id"] is not None}) == sum(r["doc_id"] is not None for r in rows)
+    known = {d[0] for d in docs}
+    assert ids <= known
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    docs = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in common.table(spark, SF, "documents").collect()]
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in common.table(spark, SF, "labels").collect()]
+    none = odd_tables(spark, f"file://{tmp_path}/none", docs, labels, [])
+    assert corpus_pipeline.run(spark, none).count() > 0
+    empty = odd_tables(spark, f"file://{tmp_path}/empty", [], [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0

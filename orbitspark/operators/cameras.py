@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbitspark.functions import linalg as la
 from orbitspark.functions.measures import finite
 from orbitspark.operators.cloud import medians, with_row
-from orbitspark.storage import written
+from orbitspark.storage import hinted, written
 
 R = [f"r{i}{j}" for i in range(3) for j in range(3)]
 T = ["t0", "t1", "t2"]
@@ -96,10 +96,11 @@ def invert_transform(transform: DataFrame) -> DataFrame:
 def project(points: DataFrame, cameras: DataFrame, least_depth: float = 0.0) -> DataFrame:
     """Every camera's view of every point: u, v (null where invalid), depth, valid.
 
-    ``cameras`` (with fx, fy, cx, cy) is the small side: hundreds of rows, broadcast.
+    The result has a row a pair, so this is for chosen views; ``visibility.observations`` finds what cameras see without all pairs.
+    ``cameras`` (with fx, fy, cx, cy) are broadcast if their counted rows are few.
     """
     names = [c for c in cameras.columns if c not in R + T + ["fx", "fy", "cx", "cy"]]
-    seen = points.crossJoin(F.broadcast(cameras))
+    seen = points.crossJoin(hinted(cameras, cameras.count(), 32 * len(cameras.columns)))
     c = la.add(la.matvec(rotation(), la.vec("x", "y", "z")), translation())
     seen = seen.select(*points.columns, *names, "fx", "fy", "cx", "cy", c[0].alias("_x"), c[1].alias("_y"), c[2].alias("depth"))
     valid = finite(F.col("_x")) & finite(F.col("_y")) & finite(F.col("depth")) & (F.col("depth") > least_depth)

@@ -40,10 +40,11 @@ def orbit_cameras(orbits: DataFrame, size: int, fov_deg: float = 35.0) -> DataFr
 
 
 def view_cameras(extent: DataFrame, size: int = 640, turntable: int = 0) -> DataFrame:
-    """The four named views of a cloud (cx, cy, cz, radius; one row), or ``turntable`` cameras around it."""
+    """The four named views, or ``turntable`` cameras around it, of each cloud of ``extent`` (cx, cy, cz, radius, and what tells clouds apart)."""
     listed = [(f"turn_{i:03d}", 360.0 * i / turntable, TURNTABLE_ELEVATION) for i in range(turntable)] or list(VIEWS)
-    rows = extent.sparkSession.createDataFrame(listed, "view string, azimuth double, elevation double").crossJoin(F.broadcast(extent))
-    return orbit_cameras(rows.select("view", "azimuth", "elevation", cam.framing_distance(F.col("radius")).alias("distance"), *(F.col(f"c{a}").alias(f"g{a}") for a in "xyz")), size)
+    named = [c for c in extent.columns if c not in ("cx", "cy", "cz", "radius")]
+    rows = extent.crossJoin(F.broadcast(extent.sparkSession.createDataFrame(listed, "view string, azimuth double, elevation double")))  # 72 rows or so
+    return orbit_cameras(rows.select(*named, "view", "azimuth", "elevation", cam.framing_distance(F.col("radius")).alias("distance"), *(F.col(f"c{a}").alias(f"g{a}") for a in "xyz")), size)
 
 
 def ring_radius(cameras: DataFrame, extent: DataFrame) -> DataFrame:

@@ -85,7 +85,9 @@ def q_zbuffer(spark, sf_dir):
 s AS (SELECT point_id, depth, px + dx AS px, py + dy AS py FROM seen, o WHERE px + dx BETWEEN 0 AND 127 AND py + dy BETWEEN 0 AND 95)
 SELECT px, py, arg_min(point_id, (depth, point_id)) AS point_id FROM s GROUP BY px, py""")
 def q_splat(spark, sf_dir):
-    s = seen(spark, sf_dir).withColumn("o", F.explode(cl.disk_offsets(2.2)))
+    """Points whose disk misses the picture go first, then all but the nearest of those with one middle; only then are disks spread out."""
+    s = seen(spark, sf_dir).where("px between -3 and 130 and py between -3 and 98")
+    s = cl.nearest_per_pixel(s).withColumn("o", F.explode(cl.disk_offsets(2.2)))
     s = s.select("point_id", "depth", (F.col("px") + F.col("o.dx")).alias("px"), (F.col("py") + F.col("o.dy")).alias("py"))
     return cl.nearest_per_pixel(s.where("px between 0 and 127 and py between 0 and 95")).select("px", "py", "point_id")
 

@@ -188,11 +188,14 @@ def q_render_points(spark, sf_dir):
     return scenes.render_points(points, scenes.view_cameras(cl.robust_extent(points), 160))
 
 
-@query(f"""WITH v(view, a, e) AS (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {e}::DOUBLE)" for n, a, e in scenes.VIEWS)}), d AS (SELECT view, 2.0::DOUBLE * 1.12 / sin(radians(17.5::DOUBLE)) AS d, sin(radians(a)) * cos(radians(e)) AS x, sin(radians(e)) AS y, cos(radians(a)) * cos(radians(e)) AS z FROM v)
-SELECT view, {s6('d * x', 'px')}, {s6('d * y + 1', 'py')}, {s6('d * z', 'pz')}, {s6('-x', 'r20')}, {s6('-y', 'r21')}, {s6('-z', 'r22')}, {s6('320 / tan(radians(17.5::DOUBLE))', 'fx')} FROM d""")
+@query(f"""WITH v(view, a, e) AS (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {e}::DOUBLE)" for n, a, e in scenes.VIEWS)}), x AS (SELECT s_nationkey, min(s_acctbal) / 1000 AS cx, CAST(count(*) AS DOUBLE) AS cy, max(s_acctbal) / 1000 AS cz, 1 + count(*) / 10.0::DOUBLE AS radius FROM supplier GROUP BY s_nationkey),
+d AS (SELECT s_nationkey, view, cx, cy, cz, radius * 1.12 / sin(radians(17.5::DOUBLE)) AS d, sin(radians(a)) * cos(radians(e)) AS x, sin(radians(e)) AS y, cos(radians(a)) * cos(radians(e)) AS z FROM v, x)
+SELECT s_nationkey, view, {s6('d * x + cx', 'px')}, {s6('d * y + cy', 'py')}, {s6('d * z + cz', 'pz')}, {s6('-x', 'r20')}, {s6('-y', 'r21')}, {s6('-z', 'r22')}, {s6('320 / tan(radians(17.5::DOUBLE))', 'fx')} FROM d""")
 def q_view_cameras(spark, sf_dir):
-    extent = spark.range(1).select(F.lit(0.0).alias("cx"), F.lit(1.0).alias("cy"), F.lit(0.0).alias("cz"), F.lit(2.0).alias("radius"))
-    return scenes.view_cameras(extent).select("view", *(r6(c, n) for c, n in zip(cam.centre(), ("px", "py", "pz"))), *(r6(f"r2{i}", f"r2{i}") for i in range(3)), r6("fx", "fx"))
+    """The four views of an extent a nation."""
+    b = F.col("s_acctbal") / 1000
+    extent = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min(b).alias("cx"), F.count("*").cast("double").alias("cy"), F.max(b).alias("cz"), (1 + F.count("*") / 10).alias("radius"))
+    return scenes.view_cameras(extent).select("s_nationkey", "view", *(r6(c, n) for c, n in zip(cam.centre(), ("px", "py", "pz"))), *(r6(f"r2{i}", f"r2{i}") for i in range(3)), r6("fx", "fx"))
 
 
 def voxel_search(points: str, target: int, rounds: int = 4, probes: int = 16) -> str:

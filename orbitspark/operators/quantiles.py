@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from orbitspark.storage import hinted, written
 
 FEW, BINS = 20_000, 4096
+#: Rows up to which all groups are left to Spark's own exact percentile, which keeps the distinct values of a group at once.
+AT_ONCE = 200_000
 
 
 def bin_of(v: Column, lo: Column, hi: Column) -> Column:
@@ -77,7 +79,7 @@ def order_statistics(long: DataFrame, first: DataFrame, few: int) -> DataFrame:
     return out
 
 
-def group_quantiles(df: DataFrame, group: str, columns: list[str], fractions: list[float], few: int = FEW) -> DataFrame:
+def group_quantiles(df: DataFrame, group: str, columns: list[str], fractions: list[float], few: int = FEW, at_once: int = AT_ONCE) -> DataFrame:
     """Per group: for each column an array of its exact quantiles, in the order of ``fractions``. Non-null, finite values only.
 
     Groups are as many and as long as they come. A null group is a group. Groups without rows have none in the result.
@@ -88,7 +90,7 @@ def group_quantiles(df: DataFrame, group: str, columns: list[str], fractions: li
     groups, longest = sizes.agg(F.count("*"), F.max("n")).first()
     if not groups:
         return df.sparkSession.createDataFrame([], "g int").select(F.lit(None).cast(kind).alias(group), *(F.lit(None).cast("array<double>").alias(c) for c in columns))
-    if longest <= few:
+    if longest <= at_once:
         return plain.groupBy("g").agg(*(F.percentile(c, F.array(*map(F.lit, fractions))).alias(c) for c in columns)).select(F.col("g.of").alias(group), *columns)
     long = plain.select("g", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("e")).select("g", "e.c", "e.v")
     values = order_statistics(long, ranges(sizes, columns, fractions), few)
@@ -104,7 +106,7 @@ def group_quantiles(df: DataFrame, group: str, columns: list[str], fractions: li
     return wide.select(F.col("g.of").alias(group), *(F.array(*(between(c, i) for i in range(len(fractions)))).alias(c) for c in columns))
 
 
-def quantile_row(df: DataFrame, columns: list[str], fractions: list[float], few: int = FEW) -> DataFrame:
+def quantile_row(df: DataFrame, columns: list[str], fractions: list[float], few: int = FEW, at_once: int = AT_ONCE) -> DataFrame:
     """One row: for each column an array of its exact quantiles, null for a column without values. Non-null, finite values only."""
-    out = group_quantiles(df.select(F.lit(0).alias("g"), *columns), "g", columns, fractions, few).select(*columns)
+    out = group_quantiles(df.select(F.lit(0).alias("g"), *columns), "g", columns, fractions, few, at_once).select(*columns)
     return df.sparkSession.range(1).join(out, F.lit(True), "left").select(*columns)

@@ -185,7 +185,7 @@ def q_artifact_sizes(spark, sf_dir):
 EVIDENCE = """fr AS (SELECT user_id AS run_id, count(*) AS frames_considered, count(*) FILTER (event_id % 3 = 0) AS frames_selected, count(*) FILTER (event_id % 6 = 0 OR user_id % 25 = 7) AS cameras_registered,
  count(*) FILTER (event_id % 3 <> 0 AND event_type = 'click') AS less_sharp FROM events GROUP BY user_id),
 pt AS (SELECT o_custkey % 200 AS run_id, count(*) AS num_points, count(*) FILTER (o_orderkey % 50 <> 0) AS num_points_valid, min(o_totalprice) FILTER (o_orderkey % 50 <> 0) AS min_x, max(o_totalprice) FILTER (o_orderkey % 50 <> 0) AS max_x,
- avg(o_totalprice / 100000) FILTER (o_orderkey % 4 <> 0) AS error FROM orders GROUP BY o_custkey % 200),
+ avg(o_totalprice / 70000) FILTER (o_orderkey % 4 <> 0) AS error FROM orders GROUP BY o_custkey % 200),
 ev AS (SELECT run_id, coalesce(frames_considered, 0) AS frames_considered, coalesce(frames_selected, 0) AS frames_selected, coalesce(cameras_registered, 0) AS cameras_registered, coalesce(less_sharp, 0) AS less_sharp, coalesce(num_points, 0) AS num_points,
  coalesce(num_points_valid, 0) AS num_points_valid, min_x, max_x, error FROM fr FULL OUTER JOIN pt USING (run_id))"""
 
@@ -197,7 +197,7 @@ def evidence(spark, sf_dir):
     o = F.col("o_orderkey")
     points = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 200).alias("run_id"), F.when(o % 50 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), F.lit(7).alias("r"),
-        F.when(o % 4 != 0, F.col("o_totalprice") / 100000).alias("error"),
+        F.when(o % 4 != 0, F.col("o_totalprice") / 70000).alias("error"),
     )
     return rn.diagnostics(frames, cameras, points)
 

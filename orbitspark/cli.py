@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from orbitspark.errors import InputUnusable, MissingOrForeign, PackageBroken, Refusal
-from orbitspark.functions.text import full_report, report
+from orbitspark.functions.text import full_report, panels, report
 from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
 from orbitspark.operators import results as rs
@@ -115,8 +115,18 @@ def _view(spark, args):
         from orbitspark.errors import ResultEmpty
 
         raise ResultEmpty(f"the status is {status.get('status')}")
-    n = ply.read_ply(spark, f"{args.run}/normalized").count()
-    print(manifest["run_id"], status.get("banner"), cl.count_label(n, n))
+    points = ply.read_ply(spark, f"{args.run}/normalized")
+    diagnostics, n = _optional(spark, f"{args.run}/{run_folders.DIAGNOSTICS}"), points.count()
+    run_folders.require_same_run(manifest["run_id"], **{"the status": status}, **({} if "missing" in diagnostics else {"the diagnostics": diagnostics}))
+    measures = [{"metric": k, "availability": "available", "value": v, "reason": None} | (v if isinstance(v, dict) else {}) for k, v in (diagnostics.get("measures") or {}).items()]
+    texts = panels(status | {"banner": status.get("banner") or status["status"]}, measures, cl.count_label(n, n))
+    print(manifest["run_id"], texts["status"], texts["info"])
+    if args.out:
+        document = run_folders.read_json(spark, f"{args.run}/{run_folders.CAMERAS}")
+        direction = (document.get("conventions") or {}).get("pose_direction", "world_to_camera")
+        shown = scenes.entities(points, run_folders.camera_poses(spark, document), direction)
+        shown.write.parquet(f"{args.out}/entities")
+        run_folders.write_json(spark, f"{args.out}/panels.json", {"run_id": manifest["run_id"]} | texts)
     return 0
 
 
@@ -161,7 +171,7 @@ def main(argv: list[str] | None = None) -> int:
         for o in options:
             p.add_argument(o)
         for flag, of, settings in (
-            ("--lenient", ("verify",), {"action": "store_true"}), ("--force", ("export",), {"action": "store_true"}), ("--out", ("export", "report"), {}), ("--item", ("visual-check",), {}), ("--result", ("visual-check",), {}),
+            ("--lenient", ("verify",), {"action": "store_true"}), ("--force", ("export",), {"action": "store_true"}), ("--out", ("export", "report", "view"), {}), ("--item", ("visual-check",), {}), ("--result", ("visual-check",), {}),
             ("--note", ("visual-check",), {}), ("--size", ("media",), {"type": int, "default": 640}), ("--turntable", ("media",), {"type": int, "default": 0}), ("--budget", ("prepare", "conditions"), {"type": int, "default": 48}), ("--seed", ("conditions",), {"type": int, "default": 42}),
             ("--reconstructor", ("conditions",), {"default": ""}), ("--repeat-baseline", ("conditions",), {"action": "store_true"}), ("--repeat", ("compare-runs",), {}),
             ("--selector", ("prepare",), {"default": "uniform"}), ("--min-frames", ("prepare",), {"type": int, "default": 12}),

@@ -137,3 +137,20 @@ def test_prepare_takes_one_run(spark, tmp_path):
     assert (tmp_path / "q" / "images" / "f4.jpg").read_bytes() == b"r2 4"
     with pytest.raises(errors.InputUnusable, match="several sources"):
         run_folders.build_package(frames.drop("run_id"), both.select("src_index", "path"), f"file://{tmp_path}/s", {})
+
+
+def test_view_writes_entities_and_panels(spark, tmp_path, capsys):
+    run = make_run(spark, f"file://{tmp_path}/run", n=25)
+    pose = {"R": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "t": [0.5, 0, 2]}
+    run_folders.write_json(spark, f"{run}/{run_folders.CAMERAS}", {"run_id": "r1", "cameras": [pose | {"frame_id": "0001"}, {"frame_id": "lost"}]}, True)
+    run_folders.write_json(spark, f"{run}/{run_folders.DIAGNOSTICS}", {"run_id": "r1", "measures": {"num_points_valid": 25, "mean_reprojection_error": {"value": None, "availability": "unavailable", "reason": "no point has an error"}}}, True)
+    assert cli.main(["view", run, "--out", f"file://{tmp_path}/view"]) == 0 and "25 of 25 points" in capsys.readouterr().out
+    shown = {r["path"]: r for r in spark.read.parquet(f"file://{tmp_path}/view/entities").collect()}
+    assert set(shown) == {"world/points", "world/cameras/0001"} and shown["world/points"]["n"] == 25 and (shown["world/cameras/0001"]["t0"], shown["world/cameras/0001"]["t2"]) == (-0.5, -2.0)
+    panel = json.loads((tmp_path / "view" / "panels.json").read_text())
+    assert "short_video" in panel["warnings"] and "unavailable: no point has an error" in panel["metrics"] and panel["info"] == "25 of 25 points"
+    assert cli.main(["media", run, f"file://{tmp_path}/media", "--size", "48"]) == 0
+    assert spark.read.json(f"file://{tmp_path}/media/index").where("kind = 'trajectory'").count() == 1
+    run_folders.write_json(spark, f"{run}/{run_folders.CAMERAS}", {"run_id": "r1", "cameras": [], "conventions": {"pose_direction": "camera_to_world"}}, True)
+    with pytest.raises(ValueError):
+        cli.main(["view", run, "--out", f"file://{tmp_path}/other"])

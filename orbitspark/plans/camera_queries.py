@@ -129,8 +129,7 @@ def q_pictures(spark, sf_dir):
 
 @query(f"WITH {AROUND} SELECT point_id, count(*) AS track_length, min(k) AS first_camera, max(k) AS last_camera FROM seen GROUP BY point_id")
 def q_tracks_around(spark, sf_dir):
-    t = vis.tracks(vis.observations(*around(spark, sf_dir)))
-    return t.select("point_id", "track_length", F.get("seen_by", F.lit(0)).alias("first_camera"), F.element_at("seen_by", -1).alias("last_camera"))
+    return vis.spans_of(*around(spark, sf_dir))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, 2.0::DOUBLE + n_nationkey % 4 AS d, radians(n_nationkey * 30.0::DOUBLE) AS a, radians(n_nationkey % 5 * 15.0::DOUBLE) AS e FROM nation)

@@ -12,15 +12,17 @@ The hashed shares enter linearly, so in scoring each distinct word has one value
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import bucket_of_id, stash, whole_text
+from orbitspark.llm.common import BATCH_BYTES, Scratch, bucket_of_id, hinted, whole_text
 from orbitspark.llm.near_dedup import mixed
 from orbitspark.llm.vocab import ChunkTable, cut_words, lean, per_text, release, slices, spread
+from orbitspark.operators.quantiles import quantile_row
 
 U = np.uint64
 NAMES = ("letters", "upper", "digits", "symbols", "punctuation", "repeats", "distinct", "top_word", "word_length", "words", "sentence_ends", "lines", "wordless")
@@ -30,6 +32,8 @@ for _chars, _kind in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRS
 #: Hashed features as a power of two, and the grams that count as much as all that is known of texts at large.
 WIDTH_BITS, PRIOR = 9, 100.0
 WIDTH = 1 << WIDTH_BITS
+#: Documents of the commoner class that meet in a bucket, and about the least number of the rarer one there.
+BUCKET, LEAST = 128, 16
 
 
 def features(text: str) -> list[float]:
@@ -129,58 +133,155 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int, seed: int = 5, penalty: float
     return w, mean, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, accept: float = 0.3, sample: int = 6_000, pairs: int = 100_000, slack: float = 0.01, penalty: float = 1e-3, gram_penalty: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Learn the ranking from at most ``sample`` labelled documents of each class, taken in hash order of their ids.
+def met_in_buckets(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, buckets: int, rarer: int, copies: int) -> DataFrame:
+    """The feature vectors of all labelled documents as a table, a row a bucket: n, kinds (of each document its label, plus 2 for a further copy) and x.
 
-    The bound on the sample bounds what the driver holds: that many feature vectors. Null labels and
-    labels without a document are passed over, as are documents whose labels contradict each other. A label given
-    twice, or a row of ``docs`` that occurs twice, counts once; different texts of one id count each. Without both
-    classes every score is one half. Weights of the rates cost ``penalty``, those of the hashed features
-    ``gram_penalty`` over the number of documents: with few of these they hardly count.
+    The hash of id and text says where a document is; of class ``rarer`` it is at ``copies`` places, so that documents of the other class meet some in every bucket.
     """
-    of = labels.where("quality in (0, 1)").groupBy(id_col).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
-    known = of.where("quality = _most").select(id_col, F.col("quality").cast("int").alias("quality")).where(F.col(id_col).isNotNull() & (bucket_of_id(id_col) != 0))
-    order = F.xxhash64(id_col), F.col(id_col)
-    taken = [known.where(F.col("quality") == q).orderBy(*order).limit(sample) for q in (0, 1)]
-    picked = stash(taken[0].unionByName(taken[1]), "labelled")
+    met = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(hinted(known.select(F.col(id_col).alias("of"), "quality")), F.col("id") == F.col("of"))
 
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column(0), 1_000_000):
                 texts = batch.column(0)[a:b]
                 rows = np.column_stack([np.array([features(t.as_py()) for t in texts]), shares(texts)]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1)[a:b]], names=["x", "quality"])
-
-    met = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "of")), F.col("id") == F.col("of")).select("id", "text", "quality")
-    data = met.dropDuplicates(["id", "text"]).select("text", "quality").mapInArrow(run, "x binary, quality int").toPandas()
-    data = data.iloc[sorted(range(len(data)), key=lambda i: (data["quality"][i], bytes(data["x"][i])))]  # the same pairs whatever the partitions
-    y = data["quality"].to_numpy()
-    share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
-    if not len(y) or y.min() == y.max():
-        return {"key": uuid.uuid4().hex, "w": np.zeros(len(NAMES)), "mean": np.zeros(len(NAMES)), "scale": np.ones(len(NAMES)), "shift": 0.0, "gram": np.zeros(WIDTH), "least": 0.0}
-    k = len(NAMES)
-    x = np.empty((len(y), k + WIDTH + 1), np.float32)
-    for row, values in zip(x, data["x"]):
-        row[:] = np.frombuffer(values, "<f4")
-    del data
-    x, size = x[:, :-1], x[:, -1:]
-    grams_of = x[:, k:]
-    usual = (grams_of.T @ (1 / np.maximum(size[:, 0], 1))) / len(y)
-    grams_of -= size * usual
-    grams_of /= size + np.float32(PRIOR)
-    w, mean, scale = fit(x, y, pairs, penalty=np.repeat([penalty, gram_penalty / len(y)], [k, WIDTH]))
-    worth = standard(x, mean, scale) @ w
-    # The sample may hold the classes in other shares than the labels; each class is weighted back.
-    weight = np.where(y == 0, share / (y == 0).sum(), (1 - share) / (y == 1).sum())
-    order = np.argsort(worth, kind="stable")
-    below = np.cumsum(weight[order])
-    # The cut lies at the quantile of the share of label 0; within ``slack`` of it, where the worths lie farthest apart.
-    low, high = np.searchsorted(below, [share - slack, share + slack])
-    cuts = np.arange(max(1, low), max(2, min(high + 1, len(order))))
-    cut = cuts[np.argmax(worth[order[cuts]] - worth[order[cuts - 1]])]
-    threshold = (worth[order[cut]] + worth[order[cut - 1]]) / 2
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *(c[a:b] for c in batch.columns[1:])], names=["x", "quality", "name"])
+
+    rows = met.select("text", "quality", F.sha2(F.concat_ws(":", F.col("id").cast("string"), "text"), 256).alias("name")).mapInArrow(run, "x binary, quality int, name string")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("quality") == rarer, copies - 1).otherwise(0))))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("name", "copy"), F.lit(buckets)).cast("int"))
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("name", "ascending"), ("copy", "ascending")])
+        names = group["name"].to_pylist()
+        once = [i for i, n in enumerate(names) if not i or n != names[i - 1]]
+        group = group.take(once)
+        kinds = group["quality"].to_numpy() + 2 * (group["copy"].to_numpy() > 0)
+        return pa.table({"n": pa.array([len(once)], pa.int32()), "kinds": pa.array([kinds.astype("i1").tobytes()], pa.binary()), "x": pa.array([b"".join(group["x"].to_pylist())], pa.binary())})
+
+    return rows.groupBy("bucket").applyInArrow(gather, "n int, kinds binary, x binary")
+
+
+def each_bucket(batches, usual: np.ndarray | None = None, mean: np.ndarray | None = None, scale: np.ndarray | None = None):
+    """Kinds and features of the documents of each bucket; hashed counts as shares less ``usual``, and all standardised, as far as these are given."""
+    for batch in batches:
+        for kinds, raw in zip(batch.column("kinds"), batch.column("x")):
+            kinds = np.frombuffer(kinds.as_py(), "i1")
+            x = np.frombuffer(raw.as_py(), "<f4").reshape(len(kinds), -1)
+            x, size = x[:, :-1].copy(), x[:, -1:]
+            if usual is not None:
+                x[:, len(NAMES) :] = (x[:, len(NAMES) :] - size * usual) / (size + np.float32(PRIOR))
+            else:
+                x[:, len(NAMES) :] /= np.maximum(size, 1)
+            yield kinds, x if mean is None else standard(x, mean, scale).astype("f4")
+
+
+def total(table: DataFrame, of_bucket, length: int, parts: int = 16) -> np.ndarray:
+    """The sum of the vector ``of_bucket(kinds, x)`` over all buckets: added up by task, and then by part of the vector."""
+
+    def run(batches):
+        out = np.zeros(length)
+        for vector in of_bucket(batches):
+            out += vector
+        for i, part in enumerate(np.array_split(out, parts)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "v"])
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.table({"part": group["part"][:1], "v": pa.array([np.sum([np.frombuffer(v, float) for v in sorted(group["v"].to_pylist())], axis=0).tobytes()], pa.binary())})
+
+    with small_batches(table.sparkSession):
+        rows = table.mapInArrow(run, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary").collect()
+    return np.concatenate([np.frombuffer(r["v"], float) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(length)
+
+
+@contextmanager
+def small_batches(spark):
+    """Arrow batches of 16 MB or one row, as a row holds a bucket."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, 16 << 20)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+def pair_sums(z: np.ndarray, good: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of pairs of a bucket, and the sums over them of the loss's gradient and curvature: each document of label 1 against each of label 0."""
+    k = z.shape[1]
+    if good.all() or not good.any():
+        return np.zeros(1 + k + k * k)
+    z = np.vstack([z[good], z[~good]])
+    g, s = good.sum(), z @ w.astype(z.dtype)
+    p = 1 / (1 + np.exp(np.clip(s[:g, None] - s[g:], -30, 30)))
+    bend = p * (1 - p)
+    m = np.diag(np.concatenate([bend.sum(1), bend.sum(0)]))
+    m[:g, g:], m[g:, :g] = -bend, -bend.T
+    return np.concatenate([[p.size], np.concatenate([-p.sum(1), p.sum(0)]) @ z, (z.T @ (m.astype(z.dtype) @ z)).ravel()])
+
+
+def cut_of(worths_of: DataFrame, share: float, n: int, slack: float) -> float:
+    """The cut at the quantile ``share`` of the worths of all documents; within ``slack`` of it, where they lie farthest apart."""
+    low, high = (min(max(int(np.ceil(n * f)) - 1, 0), n - 1) for f in (share - slack, share + slack))
+    ends = [max(1, low) - 1, max(2, min(high + 1, n)) - 1]
+    a, b = quantile_row(worths_of, ["worth"], [e / (n - 1) for e in ends]).first()["worth"]
+    # Only the documents within the slack, one in fifty, are ordered in one task.
+    near = worths_of.where(F.col("worth").between(a, b)).select("worth", F.lag("worth").over(Window.orderBy("worth")).alias("before")).where("before is not null")
+    row = near.orderBy(F.col("worth") - F.col("before"), F.col("worth"), ascending=[False, True]).first()
+    return a if row is None else (row["worth"] + row["before"]) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, accept: float = 0.3, slack: float = 0.01, penalty: float = 1e-3, gram_penalty: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Learn the ranking from all labelled documents: each meets all of the other class in its bucket of the hash, as one preference pair each.
+
+    Means, deviations, the Newton steps on the pairs' logistic loss and the cut are sums and quantiles over the whole table of feature
+    vectors; the driver holds the weights and their curvature. Null labels and
+    labels without a document are passed over, as are documents whose labels contradict each other. A label given
+    twice, or a row of ``docs`` that occurs twice, counts once; different texts of one id count each. Without both
+    classes every score is one half. Weights of the rates cost ``penalty``, those of the hashed features
+    ``gram_penalty`` over the number of documents: with few of these they hardly count. ``slack`` is the share of documents by which the cut may move to where worths lie farthest apart.
+    """
+    of = labels.where("quality in (0, 1)").groupBy(id_col).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
+    known = of.where("quality = _most").select(id_col, F.col("quality").cast("int").alias("quality")).where(F.col(id_col).isNotNull() & (bucket_of_id(id_col) != 0))
+    scratch, k = Scratch(docs.sparkSession), len(NAMES)
+    known = scratch.stash(known, "labelled")
+    counts = known.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1)).first()
+    flat = {"key": uuid.uuid4().hex, "w": np.zeros(k), "mean": np.zeros(k), "scale": np.ones(k), "shift": 0.0, "gram": np.zeros(WIDTH), "least": 0.0}
+    rarer, buckets = int(counts[1] < counts[0]), -(-max(counts) // BUCKET)
+    while True:
+        copies = max(1, -(-LEAST * buckets // max(1, min(counts))))
+        table = scratch.stash(met_in_buckets(docs, known, id_col, text_col, max(1, buckets), rarer, copies), "met", 16 << 20) if min(counts) else None
+        seen = total(table, lambda batches: (np.array([(y == 0).sum(), (y == 1).sum(), (y % 2 == y[0] % 2).all()], float) for y, _ in each_bucket(batches)), 3) if table else np.zeros(3)
+        if not min(seen[:2]):
+            scratch.drop([])
+            return flat
+        if not seen[2] or buckets == 1:
+            break
+        scratch.discard(table)  # some bucket has one class only, and its documents would be in no pair
+        buckets = max(1, buckets // 2)
+    n = int(seen[0] + seen[1])
+    share = seen[0] / n
+    usual = total(table, lambda batches: (x[y < 2, k:].sum(0, dtype=float) for y, x in each_bucket(batches)), WIDTH).astype("f4") / np.float32(n)
+    size = k + WIDTH
+    mean = total(table, lambda batches: (x[y < 2].sum(0, dtype=float) for y, x in each_bucket(batches, usual)), size) / n
+    scale = np.sqrt(total(table, lambda batches: (((x[y < 2] - mean) ** 2).sum(0) for y, x in each_bucket(batches, usual)), size) / n)
+    scale[scale < 1e-9] = 1.0
+    cost, w = np.repeat([penalty, gram_penalty / n], [k, WIDTH]), np.zeros(size)
+    for _ in range(30):
+        sums = total(table, lambda batches: (pair_sums(x, y % 2 == 1, w) for y, x in each_bucket(batches, usual, mean, scale)), 1 + size + size * size)
+        step = np.linalg.solve(sums[1 + size :].reshape(size, size) / sums[0] + np.diag(cost), sums[1 : 1 + size] / sums[0] + cost * w)
+        w = w - step
+        if np.abs(step).max() < 1e-4:
+            break
+
+    def worth(batches):
+        for y, x in each_bucket(batches, usual, mean, scale):
+            yield pa.RecordBatch.from_arrays([pa.array((x[y < 2] @ w).astype(float))], names=["worth"])
+
+    worths_of = scratch.stash(table.mapInArrow(worth, "worth double"), "worths", 16 << 20)
+    threshold = cut_of(worths_of, share, n, slack)
+    scratch.drop([])
     # In scoring the hashed part is linear: a weight for each feature and a constant, both by the size of the text.
-    gram = (w[k:] / scale[k:]).astype(float)
+    gram = w[k:] / scale[k:]
     return {
         "key": uuid.uuid4().hex, "w": w[:k], "mean": mean[:k], "scale": scale[:k], "gram": gram, "usual": float(gram @ usual), "least": float(gram @ mean[k:]),
         "shift": float(np.log(accept / (1 - accept)) - threshold),

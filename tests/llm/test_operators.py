@@ -464,6 +464,26 @@ def test_quality_labels_that_repeat_or_contradict(spark):
     assert all(abs(a[i] - b[i]) < 1e-6 for i in a)
 
 
+def test_quality_learns_from_all_labelled_documents(spark, monkeypatch):
+    """No label is left out, each document meets the other class, and the weights are where the loss over all pairs is least."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    known = labels.where((common.bucket_of_id("doc_id") != 0) & F.col("quality").isNotNull()).join(docs.select("doc_id"), "doc_id")
+    tables = []
+    monkeypatch.setattr(quality, "BUCKET", 8)
+    monkeypatch.setattr(quality, "LEAST", 4)
+    real = quality.met_in_buckets
+    monkeypatch.setattr(quality, "met_in_buckets", lambda *a: tables.append(real(*a).collect()) or real(*a))
+    model = quality.train(docs, labels)
+    kinds = [np.frombuffer(r["kinds"], "i1") for r in tables[-1]]
+    assert len(kinds) > 1 and sum((y < 2).sum() for y in kinds) == known.count() and all(len(set(y % 2)) == 2 for y in kinds)
+    assert model["gram"].any()
+    rng = np.random.default_rng(3)
+    z, good, w = rng.normal(size=(30, 4)), np.arange(30) < 11, rng.normal(size=4)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, 4)
+    p = 1 / (1 + np.exp(d @ w))
+    assert np.allclose(quality.pair_sums(z, good, w), [len(d), *(-p @ d), *((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>Hello, &lt;b&gt;</article>"), (2, None, None), (3, "v", ""), (1, "u", "<article><p>Hello, &lt;b&gt;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -267,6 +267,27 @@ def test_eigenvalues_follow_numpy(spark):
         assert np.allclose([r["e0"], r["e1"], r["e2"]], np.linalg.eigvalsh(ms_[r["i"]])[::-1], atol=1e-9)
 
 
+def test_projection_of_one_file_is_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cam, "PAIRS_OF_A_TASK", 100)
+    df = points(spark, np.random.default_rng(8).normal(size=(60, 3))).coalesce(1)
+    cams = ring(spark, n=20).withColumns({"fx": F.lit(500.0), "fy": F.lit(500.0), "cx": F.lit(320.0), "cy": F.lit(240.0)})
+    seen = cam.project(df, cams)
+    assert seen.rdd.getNumPartitions() == 12 and seen.count() == 1200
+
+
+def test_rounding_is_that_of_duckdb(spark):
+    import duckdb
+
+    from orbitspark.plans.book import rounded
+
+    values = [0.00005, -0.00005, 1.00005, -2.5, 0.0, -0.0, -0.00001, 123456.78905, 0.49999999999999994e-4, 1e15 + 0.3, 1e16, -1e300, 1e308, float("inf"), float("nan")] + list(np.random.default_rng(9).normal(0, 1000, 300))
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "x double").select(rounded(F.col("x"), 4)).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 4) + 0.0::DOUBLE", [float(v)]).fetchone()[0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert {repr(r[0]) for r in spark.createDataFrame([(None,)], "x double").select(rounded(F.col("x"), 4)).collect()} == {"None"}
+
+
 def test_projection_needs_positive_depth(spark):
     cams = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 800.0, 800.0, 320.0, 240.0)], ", ".join(["k long", *(f"{c} double" for c in cam.R + cam.T + ["fx", "fy", "cx", "cy"])]))
     seen = {r["point_id"]: r for r in cam.project(points(spark, [[0, 0, 2], [0, 0, -2], [np.nan, 0, 1]]), cams).collect()}

@@ -102,11 +102,24 @@ def project(points: DataFrame, cameras: DataFrame, least_depth: float = 0.0) ->
     ``cameras`` (with fx, fy, cx, cy) are broadcast if their counted rows are few. Points are dealt to tasks by the number of pairs, as a small file
     of points is one task's otherwise.
     """
-    names = [c for c in cameras.columns if c not in R + T + ["fx", "fy", "cx", "cy"]]
     n = cameras.count()
     tasks = points.count() * n // PAIRS_OF_A_TASK
     dealt = points.repartition(min(tasks, MOST_TASKS)) if tasks > 1 else points
-    seen = dealt.crossJoin(hinted(cameras, n, 32 * len(cameras.columns)))
+    return projected(dealt, cameras, n, least_depth)
+
+
+def spread(points: DataFrame, n: int) -> DataFrame:
+    """Points for ``n`` cameras, to be read more than once: as they are if their tasks are even or small, else dealt and written once."""
+    total, most = points.groupBy(F.spark_partition_id()).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if most * n <= PAIRS_OF_A_TASK or most * points.sparkSession.sparkContext.defaultParallelism <= 2 * total:
+        return points
+    return written(points.repartition(min(-(-total * n // PAIRS_OF_A_TASK), MOST_TASKS)), "spread")
+
+
+def projected(points: DataFrame, cameras: DataFrame, n: int, least_depth: float = 0.0) -> DataFrame:
+    """``project`` by the tasks that the points are in, of ``n`` cameras."""
+    names = [c for c in cameras.columns if c not in R + T + ["fx", "fy", "cx", "cy"]]
+    seen = points.crossJoin(hinted(cameras, n, 32 * len(cameras.columns)))
     c = la.add(la.matvec(rotation(), la.vec("x", "y", "z")), translation())
     seen = seen.select(*points.columns, *names, "fx", "fy", "cx", "cy", c[0].alias("_x"), c[1].alias("_y"), c[2].alias("depth"))
     valid = finite(F.col("_x")) & finite(F.col("_y")) & finite(F.col("depth")) & (F.col("depth") > least_depth)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orbitspark.functions import linalg as la
 from orbitspark.functions.measures import finite
@@ -200,8 +206,73 @@ def shade_by_depth(seen: DataFrame, amount: float = 0.35, view: str | None = Non
     return with_row(seen, ends, view).withColumn("shade", 1 - amount * part).drop("e")
 
 
+#: Rows that a task gathers before it reduces them to the nearest, and that it holds after that.
+MOST_HELD = 1 << 20
+
+
+def codes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 that tell the values of a column apart, and their bound."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        v = column.to_numpy()
+        low, high = int(v.min()), int(v.max())
+        if high - low < 1 << 40:
+            return v.astype("i8") - low, high - low + 1
+    values = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return values.indices.to_numpy().astype("i8"), len(values.dictionary)
+
+
+def sort_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Keys for lexsort that order a column as Spark does, null first and NaN last."""
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return [column.fill_null(0).to_numpy(), *([column.is_valid().to_numpy()] if column.null_count else [])]
+    return [pc.rank(column.combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy()]
+
+
+def nearest_rows(table: pa.Table, keys: list[str], index: str) -> pa.Table:
+    """Of the rows of equal ``keys`` that of least depth, of equals the one of the smallest index."""
+    cell, bound = np.zeros(len(table), "i8"), 1
+    for k in keys:
+        codes, n = codes_of(table[k])
+        if bound * n >= 1 << 62:
+            cell = np.unique(cell, return_inverse=True)[1]
+            bound = len(table)
+        cell, bound = cell * n + codes, bound * n
+    order = np.lexsort((*sort_keys(table[index]), *sort_keys(table["depth"]), cell))
+    cell = cell[order]
+    return table.take(pa.array(order[np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))]))
+
+
+def nearest_in_tasks(rows: DataFrame, keys: list[str], index: str = "point_id", made: Callable[[pa.RecordBatch], list[pa.RecordBatch]] | None = None, schema: StructType | None = None, most: int = MOST_HELD) -> DataFrame:
+    """Those rows that are nearest among the rows of a task: a few for each of ``keys`` instead of all. With ``made`` of the rows, of ``schema``, that it makes of a batch.
+
+    Spark would sort all rows before it aggregates the first of them, as the state of ``min_by`` over structs can't be held in its hash
+    table. A task gathers ``most`` rows, reduces them, and passes on what it holds when that is more than ``most`` itself.
+    """
+
+    def run(batches):
+        held, n, limit = [], 0, most
+        for batch in batches:
+            for part in made(batch) if made else [batch]:
+                held.append(part)
+                n += part.num_rows
+            if n >= limit:
+                found = nearest_rows(pa.Table.from_batches(held), keys, index)
+                if len(found) > most:
+                    yield from found.to_batches(max_chunksize=1 << 14)
+                    found = found.slice(0, 0)
+                held, n, limit = found.to_batches(), len(found), len(found) + most
+        if n:
+            yield from nearest_rows(pa.Table.from_batches(held), keys, index).to_batches(max_chunksize=1 << 14)
+
+    return rows.mapInArrow(run, schema or rows.schema)
+
+
+def nearest(some: DataFrame, keys: list[str], index: str = "point_id") -> DataFrame:
+    """Of the rows of equal ``keys`` the one of least depth, of equals the smallest index."""
+    rest = [c for c in some.columns if c not in keys]
+    return some.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("depth", index)).alias("s")).select(*keys, "s.*")
+
+
 def nearest_per_pixel(splats: DataFrame, index: str = "point_id") -> DataFrame:
     """z-buffer: of the splats on a pixel the one of least depth, of equals the smallest index."""
-    rest = [c for c in splats.columns if c not in ("px", "py")]
-    best = splats.groupBy("px", "py").agg(F.min_by(F.struct(*rest), F.struct("depth", index)).alias("s"))
-    return best.select("px", "py", "s.*")
+    return nearest(splats, ["px", "py"], index)

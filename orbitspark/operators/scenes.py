@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, pi, radians, sin, tan
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from orbitspark.functions import linalg as la
 from orbitspark.operators import cameras as cam
 from orbitspark.operators import cloud as cl
 from orbitspark.operators.visibility import observations
+from orbitspark.storage import hinted
 
 #: Name, azimuth and elevation of the views; the turntable's frames and elevation; the trajectory's elevation and margin; colours.
 VIEWS = (("view_front", 0.0, 15.0), ("view_side", 90.0, 15.0), ("view_three_quarter", 35.0, 30.0), ("view_top", 0.0, 85.0))
@@ -98,24 +103,56 @@ def cameras_from_records(cameras: DataFrame, width: Column | None = None, height
 
 def seen(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """Points before each camera with pixel coordinates u, v and ``depth``. ``cameras`` (``view`` and a pose each) are few and broadcast."""
-    out = cam.project(points, cameras.select("view", *cam.R, *cam.T, "fx", "fy", "cx", "cy", "width", "height"), 1e-6)
+    n = cameras.count()
+    out = cam.projected(cam.spread(points, n), cameras.select("view", *cam.R, *cam.T, "fx", "fy", "cx", "cy", "width", "height"), n, 1e-6)
     return out.where("valid").drop("valid")
 
 
+def middles(poses: np.ndarray, supersample: int, reach: float, rest: list[str]) -> Callable[[pa.RecordBatch], list[pa.RecordBatch]]:
+    """What makes of a batch of points the fine pixels (camera, mx, my) on which they lie and whose disk meets the picture, with depth and ``rest``: ``seen``, by the same steps."""
+
+    def of(batch):
+        x, y, z = (batch.column(a).to_numpy(zero_copy_only=False) for a in "xyz")
+        out = []
+        for k, pose in enumerate(poses):
+            r, t, (fx, fy, cx, cy, width, height) = pose[:9].reshape(3, 3), pose[9:12], pose[12:]
+            with np.errstate(all="ignore"):
+                px, py, depth = (r[i, 0] * x + r[i, 1] * y + r[i, 2] * z + t[i] for i in range(3))
+                mx, my = np.rint((fx * (px / depth) + cx) * supersample), np.rint((fy * (py / depth) + cy) * supersample)
+            ok = np.isfinite(px) & np.isfinite(py) & np.isfinite(depth) & (depth > 1e-6)
+            ok &= (mx >= -reach) & (mx <= width * supersample + reach) & (my >= -reach) & (my <= height * supersample + reach)
+            at = np.flatnonzero(ok)
+            if len(at):
+                here = [np.full(len(at), k, "i4"), mx[at].astype("i8"), my[at].astype("i8"), depth[at]]
+                out.append(pa.RecordBatch.from_arrays([*map(pa.array, here), *(batch.column(c).take(pa.array(at)) for c in rest)], names=["camera", "mx", "my", "depth", *rest]))
+        return out
+
+    return of
+
+
 def render_points(points: DataFrame, cameras: DataFrame, point_size: float = 2.2, shading: float = 0.35, supersample: int = 2, index: str = "point_id") -> DataFrame:
     """The pixels that points cover in each camera's picture: view, px, py, r, g, b; pixels not listed are background.
 
     Splats are disks in a picture ``supersample`` times as large. Of those on a pixel the nearest wins, of equals the smallest index. Far points are darkened
     by up to ``shading`` between the exact 2nd and 98th percentile of depth of a view. A pixel of the picture is the mean of its fine pixels, uncovered ones white.
     A point whose disk misses the picture is dropped before its disk is spread out, and points that share a fine pixel as
-    their middle are reduced to the nearest first, so that the spread is bounded by the pictures and not by the points.
+    their middle are reduced to the nearest first, by each task and then over all, so that what is dealt anew and spread is
+    bounded by the pictures and not by the points. ``cameras`` are few, a row a picture.
     """
     reach = max(point_size * supersample / 2, 0.5)
-    rows = seen(points, cameras).withColumns({"mx": F.rint(F.col("u") * supersample).cast("long"), "my": F.rint(F.col("v") * supersample).cast("long")})
-    ends = cl.quantiles(rows, ["depth"], [0.02, 0.98], "view").select("view", F.get("depth", F.lit(0)).alias("_near"), F.get("depth", F.lit(1)).alias("_far"))
+    rest = [index, "r", "g", "b"]
+    posed = cameras.select("view", *(F.col(c).cast("double").alias(c) for c in POSE)).toArrow()
+    n = len(posed)
+    few = points.sparkSession.createDataFrame([(r["view"], k, *(r[c] for c in POSE)) for k, r in enumerate(posed.to_pylist())], StructType([cameras.schema["view"], StructField("camera", IntegerType()), *(StructField(c, DoubleType()) for c in POSE)]))
+    points = cam.spread(points.select(*rest, *(F.col(a).cast("double").alias(a) for a in "xyz")), n)
+    depths = cam.projected(points.select(*"xyz"), few.select("view", *cam.R, *cam.T, "fx", "fy", "cx", "cy"), n, 1e-6).where("valid").select("view", "depth")
+    ends = cl.quantiles(depths, ["depth"], [0.02, 0.98], "view").select("view", F.get("depth", F.lit(0)).alias("_near"), F.get("depth", F.lit(1)).alias("_far"))
     dark = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("depth") - F.col("_near")) / F.greatest(F.col("_far") - F.col("_near"), F.lit(1e-9))))
-    inside = F.col("mx").between(-reach, F.col("width") * supersample + reach) & F.col("my").between(-reach, F.col("height") * supersample + reach)
-    nearest = rows.where(inside).groupBy("view", "mx", "my").agg(F.min_by(F.struct("depth", index, "r", "g", "b", "width", "height"), F.struct("depth", index)).alias("p")).select("view", "mx", "my", "p.*")
+    poses = np.array([[np.nan if r[c] is None else r[c] for c in POSE] for r in posed.select(POSE).to_pylist()]).reshape(-1, len(POSE))
+    keys = ["camera", "mx", "my"]
+    schema = StructType([StructField("camera", IntegerType()), StructField("mx", LongType()), StructField("my", LongType()), StructField("depth", DoubleType()), *(points.schema[c] for c in rest)])
+    nearest = cl.nearest(cl.nearest_in_tasks(points, keys, index, middles(poses, supersample, reach, rest), schema), keys, index)
+    nearest = nearest.join(hinted(few.select("view", "camera", "width", "height"), n), "camera").drop("camera")
     shaded = cl.with_row(nearest, ends, "view").withColumn("light", 1 - shading * dark)
     splats = shaded.withColumn("o", F.explode(cl.disk_offsets(reach))).withColumns({"px": F.col("mx") + F.col("o.dx"), "py": F.col("my") + F.col("o.dy")})
     splats = splats.where((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < F.col("width") * supersample) & (F.col("py") < F.col("height") * supersample))

@@ -78,10 +78,10 @@ def q_invert(spark, sf_dir):
 SCALED = CLOUD + """, pts AS (SELECT point_id, (x - 150) / 300 AS x, (y - 48) / 97 AS y, (z - 1200) / 2400 AS z FROM cloud)"""
 
 
-def scaled_points(spark, sf_dir):
-    """The whole cloud, scaled into the ring."""
+def scaled_points(spark, sf_dir, *more):
+    """The whole cloud, scaled into the ring, with ``more`` of its columns."""
     c = cloud(spark, sf_dir)
-    return c.select("point_id", ((F.col("x") - 150) / 300).alias("x"), ((F.col("y") - 48) / 97).alias("y"), ((F.col("z") - 1200) / 2400).alias("z"))
+    return c.select("point_id", *more, ((F.col("x") - 150) / 300).alias("x"), ((F.col("y") - 48) / 97).alias("y"), ((F.col("z") - 1200) / 2400).alias("z"))
 
 
 def seeing_cameras(spark, sf_dir):

@@ -184,7 +184,7 @@ def q_camera_records(spark, sf_dir):
 @query()
 def q_render_points(spark, sf_dir):
     """The four views of the whole cloud; a numpy twin tests it."""
-    points = scaled_points(spark, sf_dir).join(cloud(spark, sf_dir).select("point_id", "r", "g", "b"), "point_id")
+    points = scaled_points(spark, sf_dir, "r", "g", "b")
     return scenes.render_points(points, scenes.view_cameras(cl.robust_extent(points), 160))
 
 

@@ -457,3 +457,24 @@ def test_ingest_writes_files_by_point_count(spark, tmp_path, monkeypatch):
     assert cli._ingest(spark, SimpleNamespace(model="m", frames=f"{tmp_path}/frames", out=f"file://{tmp_path}/out", run_id="r")) == 0
     assert len(list((tmp_path / "out").glob("*.ply"))) == 4
     assert ply.read_ply(spark, f"{tmp_path}/out").count() == 1000
+
+
+@pytest.mark.parametrize("index", ["cast(id % 50 AS bigint)", "format_string('%03d', id % 50)", "nullif(id % 50, 7)"])
+def test_nearest_in_tasks_is_the_nearest_of_all(spark, index):
+    depth = "CASE id % 11 WHEN 0 THEN null WHEN 1 THEN double('NaN') WHEN 2 THEN -0.0D ELSE double(id * 7 % 13) END"
+    rows = spark.range(0, 6000, 1, 3).selectExpr("nullif(id % 5, 3) AS px", "(id % 7 - 3) * 3000000000000000000 AS py", "CASE id % 4 WHEN 0 THEN null ELSE format_string('v%d', id % 4) END AS view", f"{depth} AS depth", f"{index} AS point_id")
+    keys = ["view", "px", "py"]
+    want = sorted(map(repr, cl.nearest(rows, keys).collect()))
+    for most in (100, 1 << 20):  # 132 pixels at most: with 100 a task passes on what it holds
+        some = cl.nearest_in_tasks(rows, keys, most=most)
+        assert sorted(map(repr, cl.nearest(some, keys).collect())) == want
+    assert some.count() <= 3 * len(want)
+    assert cl.nearest_in_tasks(rows.where("px > 9"), keys).isEmpty()
+
+
+def test_points_are_spread_where_one_task_has_them_all(spark, monkeypatch):
+    monkeypatch.setattr(cam, "PAIRS_OF_A_TASK", 1000)
+    one, even = spark.range(0, 4000, 1, 1), spark.range(0, 4000, 1, 4)
+    assert cam.spread(even, 3) is even and cam.spread(one, 0) is one
+    dealt = cam.spread(one, 3)
+    assert dealt.rdd.getNumPartitions() > 1 and dealt.distinct().count() == 4000

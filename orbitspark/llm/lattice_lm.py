@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitspark.llm.common import Scratch, bucket_of_id, whole_text
+from orbitspark.llm.common import WIDE_ROWS, Scratch, bucket_of_id, whole_text
 from orbitspark.llm.vocab import cut_words, lean, per_text, slices, tokenizer_path
 
 U = np.uint64
@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, train: Column, vocabulary: str = "piece_bpe_32k
     """
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), whole_text(text_col).alias("text"))
-    cut = scratch.stash(cut_texts(plain), "slices", BATCH)
+    cut = scratch.stash(cut_texts(plain), "slices", BATCH, WIDE_ROWS)
     counts = cut.select(F.explode(F.arrays_zip("words", "trained")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c"), F.count("*").alias("slices"))
     counts = scratch.stash(counts, "word-counts")
     seen, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

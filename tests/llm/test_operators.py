@@ -422,6 +422,22 @@ def test_lattice_score_is_the_sum_over_all_segmentations(spark):
         assert sorted((r["doc_id"], round(r["score"], 6)) for r in got.collect()) == want
 
 
+def test_lattice_slices_are_read_few_at_a_time(spark, monkeypatch, tmp_path):
+    """Slices are rows of megabytes, and a reader holds a row group: one has a few of them, however many a task writes."""
+    import pyarrow.parquet as pq
+
+    rng, written = np.random.default_rng(8), {}
+    texts = [(i, " ".join(map(str, rng.integers(0, 3000, 6000)))) for i in range(40)]
+    monkeypatch.setattr(lattice_lm, "SLICE", 10_000)
+    monkeypatch.setattr(lattice_lm, "WIDE_ROWS", getattr(lattice_lm, "WIDE_ROWS", {}) | {"parquet.block.size": 1 << 16}, raising=False)
+    monkeypatch.setattr(common, "new_path", lambda spark, name: written.setdefault(name, f"file://{tmp_path}/{name}"))
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, but: None)
+    assert lattice_lm.score_texts(docs_of(spark, texts).coalesce(1), common.bucket_of_id("doc_id") != 1, rounds=0).count() == 40
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "slices").glob("*.parquet")]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) == 40 and max(rows) <= 5
+
+
 def test_quality(spark, odd_docs):
     docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = quality.op10(docs, labels).join(labels, "doc_id").where("held_out").collect()
